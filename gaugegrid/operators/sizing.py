@@ -1,0 +1,20 @@
+"""Broadcast only what was counted."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gaugegrid.settings import BROADCAST_ROWS
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, keep: bool = False) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else return it unmarked.
+
+    The count stops at ``max_rows + 1``. Unmarked, the join is a shuffle join that AQE may still convert and
+    split where skewed. ``keep=True`` persists a side that is costly to derive, so counting it is not extra work.
+    """
+    if keep:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -1,0 +1 @@
+"""Reserved. All inventory items are batch jobs, so no streaming operator is offered."""
