@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import bucketize, from_tenths, tenths
-from gaugegrid.functions.clock import time_of, wall
+from gaugegrid.functions.clock import time_of, year_month
 from gaugegrid.operators.windows import add_chunks, chunk_window, own_rows
 from gaugegrid.settings import Grid
 
@@ -65,11 +65,8 @@ def class_summary(labels: DataFrame) -> DataFrame:
     per_class = labels.groupBy("label").agg(
         F.count("*").alias("n"), F.min("y_mm").alias("y_min"), F.max("y_mm").alias("y_max")
     )
-    total = labels.select(F.count("*").alias("total"))
-    # one row, so the broadcast has a fixed size
-    return per_class.join(F.broadcast(total)).select(
-        "label", "n", "y_min", "y_max", F.round(F.col("n") / F.col("total"), 5).alias("share")
-    )
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over at most nine rows
+    return per_class.withColumn("share", F.round(F.col("n") / total, 5))
 
 
 def event_share(labels: DataFrame, *keys: Column | str) -> DataFrame:
@@ -91,9 +88,10 @@ def label_violations(labels: DataFrame, flagged: DataFrame | None = None) -> Dat
         F.count_if(F.col("y_mm").isNull() | F.col("label").isNull()).alias("null_rows"),
         F.count_if(bucketize("y_mm") != F.col("label")).alias("outside_class"),
         F.count_if(F.col("past30_mm").isNull() != (F.col("regime") == "unknown")).alias("regime_conflicts"),
-    ).join(repeated.agg(F.count("*").alias("repeated_keys")))
+    ).withColumn("repeated_keys", repeated.agg(F.count("*")).scalar())
     if flagged is None:
         return checks
-    month = F.substring(wall("ts").cast("string"), 1, 7)
-    inside = labels.withColumn("ym", month).join(flagged.select("station_id", "ym"), ["station_id", "ym"], "left_semi")
-    return checks.join(inside.agg(F.count("*").alias("in_flagged_months")))
+    inside = labels.withColumn("ym", year_month("ts")).join(
+        flagged.select("station_id", "ym"), ["station_id", "ym"], "left_semi"
+    )
+    return checks.withColumn("in_flagged_months", inside.agg(F.count("*")).scalar())
