@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.clock import season_code, time_of
 from gaugegrid.functions.geo import bearing, length, with_xy
+from gaugegrid.operators.packed import PACKED_STATIONS, packed_summaries
 from gaugegrid.operators.sizing import small_side
 from gaugegrid.settings import (
     CHANGE_LAG_SLOTS,
@@ -170,42 +171,52 @@ def _network(now: Column, w) -> dict[str, Column]:
     }
 
 
-def neighbour_features(trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3")) -> DataFrame:
+def neighbour_features(
+    trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3"), form: str = "auto"
+) -> DataFrame:
     """Tier 2 and tier 3 of every (station, slot) that reported, in one pass.
 
-    ``trailing`` needs ``t1_rain_15`` and ``t1_rain_30``. Rows are hash-partitioned by slot once; the neighbour
-    table is joined by broadcast and the grouping by (slot, station) needs no further shuffle because a slot lives
-    in one partition. A slot holds at most one row per station, so no partition can grow hot. For the changes of
-    tier 3 each reading is also sent to the slot ``CHANGE_LAG_SLOTS`` later in the role of the earlier state.
+    ``trailing`` needs ``t1_rain_15`` and ``t1_rain_30``. Two forms give the same numbers: ``packed`` multiplies
+    blocks of slots with the network's weight matrices, ``joined`` joins the readings with the neighbour table.
+    ``auto`` packs networks of up to PACKED_STATIONS stations.
     """
     lagged = "t3" in tiers
-    lag = CHANGE_LAG_SLOTS
     rows = trailing.select(
         F.col("station_id").alias("j"),
         "slot",
         F.round(F.col("t1_rain_15") * 10).cast("long").alias("r15"),
         F.round(F.col("t1_rain_30") * 10).cast("long").alias("r30"),
     )
+    if form == "auto":
+        form = "packed" if stations.limit(PACKED_STATIONS + 1).count() <= PACKED_STATIONS else "joined"
+    if form == "packed":
+        summaries = packed_summaries(rows, with_xy(stations), grid, lagged)
+    else:
+        summaries = joined_summaries(rows, stations, grid, lagged)
+    return summaries.select("station_id", "slot", F.year(time_of("slot", grid)).alias("year"), *_feature_columns(tiers))
+
+
+def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool) -> DataFrame:
+    """The summaries from a join with the neighbour table.
+
+    Rows are hash-partitioned by slot once; the neighbour table is broadcast if it is small, and then the grouping by
+    (slot, station) needs no further shuffle because a slot lives in one partition. A slot holds at most one row per
+    station, so no partition grows hot. For the changes each reading is also sent to the slot ``CHANGE_LAG_SLOTS``
+    later in the role of the earlier state; a neighbour or a whole network missing there counts as no rain.
+    """
     if lagged:
-        roles = F.array(F.struct(F.col("slot"), F.lit(1).alias("now")), F.struct((F.col("slot") + lag).alias("slot"), F.lit(0).alias("now")))
+        later = (F.col("slot") + CHANGE_LAG_SLOTS).alias("slot")
+        roles = F.array(F.struct(F.col("slot"), F.lit(1).alias("now")), F.struct(later, F.lit(0).alias("now")))
         rows = rows.select("j", "r15", "r30", F.explode(roles).alias("role")).select("j", "r15", "r30", "role.slot", "role.now")
     else:
         rows = rows.withColumn("now", F.lit(1))
     now, then = F.col("now") == 1, F.col("now") == 0
-
     in_slot = Window.partitionBy("slot")
     network = {f"now_{k}": v for k, v in _network(now, in_slot).items()}
-    if lagged:
-        network |= {f"then_{k}": v for k, v in _network(then, in_slot).items()}
-    rows = rows.repartition("slot").withColumns(network)
-
-    # the neighbour table has one row per pair in reach and so is bounded by the network, but it is counted anyway
-    nb = small_side(neighbour_weights(stations), keep=True)
-    paired = rows.join(nb, "j")
     values = {f"now_{k}": v for k, v in _summaries(now).items()}
     if lagged:
+        network |= {f"then_{k}": v for k, v in _network(then, in_slot).items()}
         values |= {f"then_{k}": v for k, v in _summaries(then).items()}
-        # a whole network absent at the earlier slot counts as no rain anywhere
         code = season_code(F.month(time_of("slot", grid)))
         for m in UPSTREAM_MINUTES:
             k = F.lit(0.0)
@@ -215,7 +226,8 @@ def neighbour_features(trailing: DataFrame, stations: DataFrame, grid: Grid, tie
             values[f"up{m}_wet"] = _mean(k, (F.col("r15") > 0).cast("double"), now)
             values[f"up{m}_nbrs"] = F.count(F.when(now & (k > 0), True)).cast("double")
     carried = {k: F.max(k) for k in network}
-    grouped = (
+    paired = rows.repartition("slot").withColumns(network).join(small_side(neighbour_weights(stations), keep=True), "j")
+    return (
         paired.groupBy("slot", F.col("s").alias("station_id"))
         .agg(
             *[c.alias(k) for k, c in {**values, **carried}.items()],
@@ -223,9 +235,6 @@ def neighbour_features(trailing: DataFrame, stations: DataFrame, grid: Grid, tie
         )
         .where("reports = 1")
     )
-    return grouped.select(
-        "station_id", "slot", F.year(time_of("slot", grid)).alias("year"), *_feature_columns(tiers)
-    )
 
 
 def _feature_columns(tiers: tuple[str, ...]) -> list[Column]:

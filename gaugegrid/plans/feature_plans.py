@@ -113,6 +113,11 @@ def neighbour_tier(t: Tables):
     return N.neighbour_features(t.trailing(), t.stations(), GRID, ("t2",))
 
 
+@query("neighbour_tier_joined", "N12", f"SELECT station_id, slot, year, {', '.join(T2_COLUMNS)} FROM g_t2")
+def neighbour_tier_joined(t: Tables):
+    return N.neighbour_features(t.trailing(), t.stations(), GRID, ("t2",), form="joined")
+
+
 _CHANGES = [f"t3_d15_{c}" for c in CHANGED_COLUMNS]
 _UPSTREAM = [f"t3_up{m}_{k}" for m in UPSTREAM_MINUTES for k in ("rain", "wet")] + ["t3_up30_nbrs"]
 
