@@ -34,7 +34,7 @@ def label_summary(t: Tables):
 
 
 @query("top_hours", "A18 O01 P07", """
-SELECT hour(ts) AS hour, count(*) AS n, round(avg(CAST(label > 0 AS INTEGER)), 4) AS p_wet
+SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n, round(avg(CAST(label > 0 AS INTEGER)), 4) AS p_wet
 FROM g_labels GROUP BY 1 ORDER BY p_wet DESC, hour LIMIT 3""")
 def top_hours(t: Tables):
     return L.top_shares(t.labels(), F.hour("ts"), "hour")

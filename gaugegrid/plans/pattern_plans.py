@@ -150,7 +150,7 @@ def coverage_by_month(t: Tables):
 
 
 @query("first_active_month", "A35 W13", """
-SELECT station_id, first_month, row_number() OVER (ORDER BY first_month, station_id) AS position FROM (SELECT station_id, min(make_date(year, month, 1)) AS first_month FROM g_months GROUP BY 1)""")
+SELECT station_id, first_month, CAST(row_number() OVER (ORDER BY first_month, station_id) AS INTEGER) AS position FROM (SELECT station_id, min(make_date(year, month, 1)) AS first_month FROM g_months GROUP BY 1)""")
 def first_active_month(t: Tables):
     return P.stations_by_first_month(months(t))
 
