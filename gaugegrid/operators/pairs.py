@@ -14,22 +14,37 @@ from gaugegrid.settings import DISTANCE_BANDS, MIN_PEAK_CORRELATION
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 #: Stations up to which a task may hold the (stations x stations) sums.
-PAIR_STATIONS = 4096
+PAIR_STATIONS = 1024
 
 
-def lagged_sums(readings: DataFrame, max_lag: int, by: Column | None = None, cells: int = 400_000) -> DataFrame:
+def _near_mask(names: np.ndarray, stations: DataFrame | None, within_km: float | None) -> np.ndarray:
+    """Pairs of different stations, optionally only those at most ``within_km`` apart."""
+    mask = ~np.eye(len(names), dtype=bool)
+    if within_km is not None:
+        place = with_xy(stations).select("station_id", "x_km", "y_km").limit(PAIR_STATIONS + 1).toPandas().set_index("station_id").loc[names]
+        x, y = place["x_km"].to_numpy(), place["y_km"].to_numpy()
+        mask &= np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :]) <= within_km
+    return mask
+
+
+def lagged_sums(
+    readings: DataFrame, max_lag: int, by: Column | None = None, stations: DataFrame | None = None,
+    within_km: float | None = None, cells: int = 400_000,
+) -> DataFrame:
     """Joint counts and sums of every ordered station pair (``i`` at t, ``j`` at t + lag) for lags 0..``max_lag``.
 
     The series is cut into blocks of slots with a halo of ``max_lag``; a block is one dense matrix in one task, and
     its sums are matrix products, so pairs are never joined slot by slot. Blocks add up by a grouped sum that Spark
     combines before its shuffle. Sums are in whole tenths and therefore exact. ``by`` (a function of the slot) splits
-    the reference time t, e.g. by season or year. The network must have at most PAIR_STATIONS stations.
+    the reference time t, e.g. by season or year; ``within_km`` keeps only pairs that close. The network must have at
+    most PAIR_STATIONS stations, which is checked.
     """
-    stations = [r[0] for r in readings.select("station_id").distinct().limit(PAIR_STATIONS + 1).collect()]
-    if len(stations) > PAIR_STATIONS:
+    ids = [r[0] for r in readings.select("station_id").distinct().limit(PAIR_STATIONS + 1).collect()]
+    if len(ids) > PAIR_STATIONS:
         raise ValueError(f"pair sums are limited to {PAIR_STATIONS} stations")
-    names = np.array(sorted(stations))
+    names = np.array(sorted(ids))
     number = {name: i for i, name in enumerate(names)}
+    wanted = _near_mask(names, stations, within_km)
     size = max(8 * max_lag, 64, cells // max(1, len(names)))
 
     def products(key, pdf):
@@ -40,29 +55,31 @@ def lagged_sums(readings: DataFrame, max_lag: int, by: Column | None = None, cel
         value[at], there[at], group[row] = pdf["t"].to_numpy(), 1.0, pdf["g"].to_numpy()
         wet = (value != 0).any(axis=1)
         out = []
-        for lag in range(max_lag + 1):
-            later_there, later_value = there[lag : lag + size], value[lag : lag + size]
-            for g in set(pdf["g"]):
-                own = group[:size] == g
+        for g in set(group[:size]) - {""}:
+            own = group[:size] == g
+            for lag in range(max_lag + 1):
                 x, seen = value[:size][own], there[:size][own]
-                y, seen_y = later_value[own], later_there[own]
-                # slots without rain add nothing to the rain sums of their side
+                y, seen_y = value[lag : lag + size][own], there[lag : lag + size][own]
+                # slots without rain on a side add nothing to the rain sums of that side
                 rx, ry = wet[:size][own], wet[lag : lag + size][own]
                 n = seen.T @ seen_y
                 sums = (
                     n, x[rx].T @ seen_y[rx], seen[ry].T @ y[ry], (x[rx] ** 2).T @ seen_y[rx],
                     seen[ry].T @ (y[ry] ** 2), x[rx].T @ y[rx],
                 )
-                i, j = np.nonzero((n > 0) & ~np.eye(len(names), dtype=bool))
-                out.append(pd.DataFrame({"g": g, "i": names[i], "j": names[j], "lag": lag, **{k: s[i, j] for k, s in zip(SUMS, sums)}}))
-        return pd.concat(out)
+                i, j = np.nonzero((n > 0) & wanted)
+                columns = {"ni": i.astype(np.int32), "nj": j.astype(np.int32), "lag": np.int32(lag)}
+                out.append(pd.DataFrame({"g": g, **columns, **{k: s[i, j] for k, s in zip(SUMS, sums)}}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["g", "ni", "nj", "lag", *SUMS])
 
     rows = readings.where(F.col("value").isNotNull()).select(
         "station_id", "slot", tenths("value").cast("double").alias("t"), (F.lit("all") if by is None else by.cast("string")).alias("g")
     )
-    schema = "g string, i string, j string, lag int, " + ", ".join(f"{c} double" for c in SUMS)
+    schema = "g string, ni int, nj int, lag int, " + ", ".join(f"{c} double" for c in SUMS)
     blocks = rows.transform(add_chunks, 0, max_lag, size)  # a block looks ahead by the largest lag
-    return blocks.groupBy(CHUNK).applyInPandas(products, schema).groupBy("g", "i", "j", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
+    added = blocks.groupBy(CHUNK).applyInPandas(products, schema).groupBy("g", "ni", "nj", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
+    table = F.array(*[F.lit(str(n)) for n in names]) if len(names) else F.array(F.lit(""))
+    return added.select("g", F.get(table, F.col("ni")).alias("i"), F.get(table, F.col("nj")).alias("j"), "lag", *SUMS)
 
 
 def correlation() -> Column:
@@ -73,12 +90,12 @@ def correlation() -> Column:
     return F.try_divide(cov, F.when(var > 0, F.sqrt(var)))
 
 
-def lagged_correlation(readings: DataFrame, max_lag: int = 0, by: Column | None = None) -> DataFrame:
+def lagged_correlation(readings: DataFrame, max_lag: int = 0, by: Column | None = None, **reach) -> DataFrame:
     """corr(x_i(t), x_j(t + lag)) and shared slots for i < j and lags -``max_lag``..``max_lag``.
 
-    A negative lag is the positive lag of the swapped pair.
+    A negative lag is the positive lag of the swapped pair. ``reach`` (``stations``, ``within_km``) limits the pairs.
     """
-    sums = lagged_sums(readings, max_lag, by)
+    sums = lagged_sums(readings, max_lag, by, **reach)
     forward = sums.where("i < j")
     backward = sums.where("i > j and lag > 0").select(
         "g", F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("lag")).alias("lag"), *SUMS

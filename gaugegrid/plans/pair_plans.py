@@ -60,10 +60,10 @@ def lagged_corr(t: Tables):
     return P.lagged_correlation(t.readings(), 3).select("i", "j", "lag", "n", *_r("r"))
 
 
-def _halves(t: Tables):
+def _halves(t: Tables, **reach):
     """Correlations with the reference time split into odd and even days."""
     odd = F.pmod(F.col("slot"), F.lit(16)) < 8
-    return P.lagged_correlation(t.readings(), 3, F.when(odd, "odd").otherwise("even"))
+    return P.lagged_correlation(t.readings(), 3, F.when(odd, "odd").otherwise("even"), **reach)
 
 
 @query("lagged_corr_halves", "C01 P31 C12", "SELECT g, i, j, lag, n, round(r, 6) AS r FROM g_half_corr")
@@ -101,7 +101,7 @@ def decay_fit(t: Tables):
 
 
 def _lags(t: Tables):
-    best = P.with_distance(P.best_lags(_halves(t), 180.0), t.stations())
+    best = P.with_distance(P.best_lags(_halves(t, stations=t.stations(), within_km=P_RING[1]), 180.0), t.stations())
     return best.where(F.col("d").between(*P_RING))
 
 
