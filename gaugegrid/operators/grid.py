@@ -16,6 +16,13 @@ def to_matrix(readings: DataFrame, stations: list[str], value: str = "value") ->
     return readings.groupBy("slot").pivot("station_id", stations).agg(F.first(value, ignorenulls=True))
 
 
+def measures_matrix(rows: DataFrame, stations: list[str], measures: dict[str, str]) -> DataFrame:
+    """One row per slot and a column ``<station>_<measure>`` for each station and measure (name -> source column)."""
+    return rows.groupBy("slot").pivot("station_id", stations).agg(
+        *[F.first(column, ignorenulls=True).alias(name) for name, column in measures.items()]
+    )
+
+
 def to_long(matrix: DataFrame, stations: list[str]) -> DataFrame:
     """Back to one row per station and slot, with null where nothing was reported."""
     return matrix.unpivot("slot", stations, "station_id", "value")

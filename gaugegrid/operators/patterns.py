@@ -198,7 +198,7 @@ def neighbour_witness(days: DataFrame, pairs: DataFrame, station: str, first, la
     near = pairs.where((F.col("s") == station) & (F.col("dist_km") > 0)).orderBy("dist_km", "j").limit(nearest).select(
         F.col("j").alias("station_id"), "dist_km"
     )
-    own = near.limit(0).unionByName(near.sparkSession.range(1).select(F.lit(station).alias("station_id"), F.lit(0.0).alias("dist_km")))
+    own = days.sparkSession.createDataFrame([(station, 0.0)], "station_id string, dist_km double")
     chosen = F.broadcast(near.unionByName(own))  # the suspect and its nearest neighbours
     inside = days.where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return inside.join(chosen, "station_id").groupBy("day", "station_id", "dist_km").agg(

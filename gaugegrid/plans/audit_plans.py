@@ -8,11 +8,12 @@ from gaugegrid.functions.clock import time_of, wall, year_month
 from gaugegrid.operators import align as AL
 from gaugegrid.operators import audit as A
 from gaugegrid.operators import grid as G
+from gaugegrid.plans import sqltext
 from gaugegrid.plans.registry import query
 from gaugegrid.sources.fixtures import FAULTS, GRID, Tables
 
 
-@query("yearly_quality", "A01 P01 P30", """
+QUALITY = """
 SELECT source_year, count(*) AS rows, count(DISTINCT station_id) AS stations, min("timestamp") AS first_time, max("timestamp") AS last_time,
   count(*) - count("timestamp") AS missing_timestamp, count(*) - count(station_id) AS missing_station, count(*) - count(reading_value) AS missing_rainfall,
   count(*) - count(location_longitude) AS missing_longitude, count(*) - count(location_latitude) AS missing_latitude, count(*) - count(date) AS missing_date,
@@ -28,11 +29,19 @@ SELECT source_year, count(*) AS rows, count(DISTINCT station_id) AS stations, mi
   count(*) FILTER (d < 0) AS update_before_observation, count(*) FILTER (reading_update_timestamp < "timestamp") AS reading_update_before_observation,
   count(*) FILTER (update_timestamp <> reading_update_timestamp) AS different_update_times,
   min(d) AS minimum_update_delay_seconds, quantile_disc(d, 0.5) AS median_update_delay_seconds, max(d) AS maximum_update_delay_seconds
-FROM (SELECT *, CAST(floor(epoch(update_timestamp)) - floor(epoch("timestamp")) AS BIGINT) AS d FROM g_obs) GROUP BY source_year""")
+FROM (SELECT *, CAST(floor(epoch(update_timestamp)) - floor(epoch("timestamp")) AS BIGINT) AS d FROM g_obs) GROUP BY source_year"""
+
+
+@query("yearly_quality", "A01 P01 P30", QUALITY)
 def yearly_quality(t: Tables):
     return A.yearly_quality(t.observations())
 
 
+@query("daily_quality", "A01 P01 P30", QUALITY.replace("SELECT source_year, count(*) AS rows", "SELECT date, count(*) AS rows").replace("GROUP BY source_year", "GROUP BY date"))
+def daily_quality(t: Tables):
+    return A.yearly_quality(t.observations(), "date")
+
+
 DUPLICATES = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
 
 
@@ -166,6 +175,12 @@ def pivot_matrix(t: Tables):
     return G.to_matrix(t.readings(), station_ids(t))
 
 
+@query("measures_matrix", "R04", "SELECT slot, " + ", ".join(
+    f"max(CASE WHEN station_id = '{i}' THEN r{m} END) AS {i}_r{m}" for i in IDS for m in (15, 30)) + " FROM g_rain GROUP BY slot")
+def measures_matrix(t: Tables):
+    return G.measures_matrix(t.trailing(), station_ids(t), {"r15": "t1_rain_15", "r30": "t1_rain_30"})
+
+
 @query("unpivot_grid", "R03 D06", """
 SELECT u.slot, s.station_id, r.value FROM (SELECT DISTINCT slot FROM g_readings) u CROSS JOIN (SELECT station_id FROM g_stations) s
 LEFT JOIN g_readings r ON r.slot = u.slot AND r.station_id = s.station_id""")
@@ -225,6 +240,14 @@ def fault_table(t: Tables):
     return rows.select("station_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")])
 
 
+sqltext.CTES["g_clean"] = """
+SELECT r.* FROM g_readings r WHERE NOT EXISTS (SELECT 1 FROM g_faults f WHERE f.station_id = r.station_id
+   AND TIMESTAMP '2024-01-01' + to_seconds(CAST(r.slot AS BIGINT) * 10800) >= f.start_time
+   AND TIMESTAMP '2024-01-01' + to_seconds(CAST(r.slot AS BIGINT) * 10800) < f.end_time)
+ AND (station_id, strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(r.slot AS BIGINT) * 10800), '%Y-%m')) NOT IN (SELECT station_id, ym FROM (""" + _stuck_sql("strftime(ts, '%Y-%m')", 30) + """) WHERE stuck)"""
+sqltext.CTES["g_clean_labels"] = sqltext.CTES["g_labels"].replace("g_readings", "g_clean")
+
+
 @query("mask_faults", "P13 D08", """
 SELECT r.station_id, r.slot, CASE WHEN EXISTS (SELECT 1 FROM g_faults f WHERE f.station_id = r.station_id
    AND TIMESTAMP '2024-01-01' + to_seconds(CAST(r.slot AS BIGINT) * 10800) >= f.start_time
@@ -234,8 +257,16 @@ def mask_faults(t: Tables):
     return G.mask_intervals(t.readings(), fault_table(t), GRID)
 
 
+@query("clean_label_rows", "J03 P13 W01 W02 D10", "SELECT * FROM g_clean_labels")
+def clean_label_rows(t: Tables):
+    from gaugegrid.operators.labels import label_rows
+
+    return label_rows(G.clean_readings(t.readings(), fault_table(t), GRID), GRID)
+
+
 @query("label_checks", "J10", """
-SELECT 0::BIGINT AS null_rows, count(*) FILTER (y_mm < 0) AS outside_class, 0::BIGINT AS regime_conflicts, 0::BIGINT AS repeated_keys, 0::BIGINT AS in_flagged_months FROM g_labels""")
+SELECT count(*) FILTER (y_mm IS NULL OR label IS NULL) AS null_rows, count(*) FILTER (label = 0 AND y_mm >= 0.05 OR label > 0 AND y_mm < 0.05 OR label = 8 AND y_mm < 20.05) AS outside_class,
+  count(*) FILTER ((past30_mm IS NULL) <> (regime = 'unknown')) AS regime_conflicts, count(*) - count(DISTINCT (station_id, slot)) AS repeated_keys, 0::BIGINT AS in_flagged_months FROM g_clean_labels""")
 def label_checks(t: Tables):
     from gaugegrid.operators.labels import label_rows, label_violations
 

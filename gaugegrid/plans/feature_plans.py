@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaugegrid.functions.amounts import flag, is_event, is_heavy
 from gaugegrid.functions.clock import with_calendar_features
 from gaugegrid.functions.geo import compass, compass_words
 from gaugegrid.operators import labels as L
@@ -26,6 +27,15 @@ def label_rows(t: Tables):
     return t.labels()
 
 
+@query("event_flags", "P08", """
+SELECT station_id, slot, CAST(CAST(y_mm > 0 AS INTEGER) AS DOUBLE) AS wet_amount, CAST(CAST(label > 0 AS INTEGER) AS DOUBLE) AS wet_next, CAST(CAST(label >= 6 AS INTEGER) AS DOUBLE) AS heavy_next FROM g_labels""")
+def event_flags(t: Tables):
+    return t.labels().select(
+        "station_id", "slot", flag(F.col("y_mm") > 0).alias("wet_amount"),
+        flag(is_event()).alias("wet_next"), flag(is_heavy()).alias("heavy_next"),
+    )
+
+
 @query("label_summary", "A18", """
 SELECT label, count(*) AS n, min(y_mm) AS y_min, max(y_mm) AS y_max,
        round(count(*) / (SELECT count(*) FROM g_labels)::DOUBLE, 5) AS share FROM g_labels GROUP BY label""")
