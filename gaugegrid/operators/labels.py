@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import bucketize, from_tenths, tenths
@@ -15,51 +15,58 @@ def regime(past: Column) -> Column:
     return F.when(past > 0, "wet_now").when(past.isNotNull(), "dry_now").otherwise("unknown")
 
 
-def label_rows(readings: DataFrame, grid: Grid, ahead: int = 6, behind: int = 6, size: int | None = None) -> DataFrame:
-    """One row per reading whose next ``ahead`` slots all reported and end in the same calendar year.
-
-    ``y_mm`` is the next total, ``label`` its class, ``past30_mm`` the total of the last ``behind`` slots including
-    this one (null unless all reported), ``regime`` whether that total is wet, dry or unknown. A missing slot is a
-    missing row; frames run on slot values, so the series needs no padding.
-    """
-    w = chunk_window()
+def label_frames(amount: Column, w: WindowSpec, ahead: int, behind: int) -> dict[str, Column]:
+    """Count and sum of the next and of the past slots of an amount in tenths."""
     nxt, past = w.rangeBetween(1, ahead), w.rangeBetween(1 - behind, 0)
-    amount = tenths("value")
-    rows = (
-        readings.where(F.col("value").isNotNull())
-        .transform(add_chunks, behind - 1, ahead, size)
-        .withColumns(
-            {
-                "next_n": F.count(amount).over(nxt),
-                "next_sum": F.sum(amount).over(nxt),
-                "past_n": F.count(amount).over(past),
-                "past_sum": F.sum(amount).over(past),
-            }
-        )
-        .transform(own_rows, behind - 1, ahead, size)
-        .where(F.col("next_n") == ahead)
-    )
+    return {
+        "next_n": F.count(amount).over(nxt),
+        "next_sum": F.sum(amount).over(nxt),
+        "past_n": F.count(amount).over(past),
+        "past_sum": F.sum(amount).over(past),
+    }
+
+
+def finish_labels(rows: DataFrame, grid: Grid, ahead: int, behind: int, *carried: str) -> DataFrame:
+    """Label columns from the frames; rows without a complete next window in the same year get null labels."""
     start, end = time_of("slot", grid), time_of(F.col("slot") + ahead, grid)
-    known_past = F.when(F.col("past_n") == behind, from_tenths(F.col("past_sum")))
+    complete = (F.col("next_n") == ahead) & (F.year(start) == F.year(end))
     return (
-        rows.where(F.year(start) == F.year(end))
-        .select(
+        rows.select(
             "station_id",
             "slot",
             start.alias("ts"),
             F.year(start).alias("year"),
-            from_tenths(F.col("next_sum")).alias("y_mm"),
-            known_past.alias("past30_mm"),
+            F.when(complete, from_tenths(F.col("next_sum"))).alias("y_mm"),
+            F.when(F.col("past_n") == behind, from_tenths(F.col("past_sum"))).alias("past30_mm"),
+            *carried,
         )
         .select(
             "station_id", "slot", "ts", "year", "y_mm",
             bucketize("y_mm").cast("double").alias("label"),
             "past30_mm",
             regime(F.col("past30_mm")).alias("regime"),
+            *carried,
         )
     )
 
 
+def label_rows(readings: DataFrame, grid: Grid, ahead: int = 6, behind: int = 6, size: int | None = None) -> DataFrame:
+    """One row per reading whose next ``ahead`` slots all reported and end in the same calendar year.
+
+    ``y_mm`` is the next total, ``label`` its class, ``past30_mm`` the total of the last ``behind`` slots including
+    this one (null unless all reported), ``regime`` whether that total is wet, dry or unknown. A missing slot is a
+    missing row; frames run on slot values, so the series needs no padding.
+    """
+    rows = (
+        readings.where(F.col("value").isNotNull())
+        .transform(add_chunks, behind - 1, ahead, size)
+        .withColumns(label_frames(tenths("value"), chunk_window(), ahead, behind))
+        .transform(own_rows, behind - 1, ahead, size)
+        .where(F.col("next_n") == ahead)
+    )
+    return finish_labels(rows, grid, ahead, behind).where(F.col("label").isNotNull())
+
+
 def class_summary(labels: DataFrame) -> DataFrame:
     """Rows, amount range and share of each class."""
     per_class = labels.groupBy("label").agg(

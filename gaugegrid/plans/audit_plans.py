@@ -164,9 +164,12 @@ def slots(t: Tables):
 IDS = [f"S{k:03d}" for k in range(20)]  # the stations that the sf0.01 tables hold
 
 
-def station_ids(t: Tables) -> list[str]:
-    """The ids of the station dimension; a pivot needs them as columns, so their number is bounded by the plan."""
-    return [r[0] for r in t.gauge_events().select("station_id").distinct().orderBy("station_id").limit(10_000).collect()]
+def station_ids(t: Tables, most: int = 10_000) -> list[str]:
+    """The ids of the station dimension. A pivot turns them into columns, so too many are an error, never cut off."""
+    ids = [r[0] for r in t.gauge_events().select("station_id").distinct().orderBy("station_id").limit(most + 1).collect()]
+    if len(ids) > most:
+        raise ValueError(f"a matrix is limited to {most} stations")
+    return ids
 
 
 @query("pivot_matrix", "R01 S09 D05", "SELECT slot, " + ", ".join(

@@ -73,6 +73,12 @@ def own_trailing(t: Tables):
     return t.trailing()
 
 
+@query("observed_rows", "W01 W02 W03 W04 W05 W06 W07 W08 D10 D11", """
+SELECT t.*, l.y_mm, l.label FROM g_t1 t LEFT JOIN g_labels l ON l.station_id = t.station_id AND l.slot = t.slot""")
+def observed_rows(t: Tables):
+    return T.observed_rows(t.readings(), GRID).drop("ts", "past30_mm", "regime")
+
+
 @query("time_since_event", "W06 P26 A38", """
 SELECT CASE WHEN m = 0 THEN '0 raining now' WHEN m <= 30 THEN '1 within 30 min' WHEN m <= 60 THEN '2 30–60 min'
             WHEN m <= 120 THEN '3 1–2 h' WHEN m <= 360 THEN '4 2–6 h' WHEN m < 1440 THEN '5 6–24 h' ELSE '6 none in 24 h' END AS last_rain,

@@ -11,6 +11,7 @@ from gaugegrid.operators import models as M
 from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import scoring as S
 from gaugegrid.operators import serve as SV
+from gaugegrid.operators.trailing import observed_rows
 from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
 from gaugegrid.settings import T2_COLUMNS
@@ -23,10 +24,10 @@ TREES, DEPTH, ITERATIONS = 8, 6, 40
 
 
 def assembled(t: Tables):
-    trailing = t.trailing().persist(StorageLevel.MEMORY_AND_DISK)
-    stations = t.stations()
-    neighbours = N.neighbour_features(trailing, stations, GRID)
-    return AS.assemble(t.labels(), N.station_statics(t.train_labels(), stations), trailing, neighbours)
+    observed = observed_rows(t.readings(), GRID).persist(StorageLevel.MEMORY_AND_DISK)
+    stations, labels = t.stations(), observed.where("label is not null")
+    statics = N.station_statics(labels.where(F.col("slot") < VALIDATION_FROM), stations)
+    return AS.assemble(labels, statics, N.neighbour_features(observed, stations, GRID))
 
 
 def _parts(t: Tables):

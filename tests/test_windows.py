@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugegrid.operators.labels import label_rows, label_violations
-from gaugegrid.operators.trailing import trailing_features
+from gaugegrid.operators.trailing import observed_rows, trailing_features
 from gaugegrid.settings import CLASS_FLOORS, Grid
 
 GRID = Grid("2024-01-01 00:00:00", 10800)
@@ -51,6 +51,16 @@ def test_trailing_for_any_chunk_length(spark, small, size):
         assert r.t1_trend_30 == pytest.approx(round(2 * sum(last(3)) - sum(last(6)), 1))
 
 
+@pytest.mark.parametrize("size", [None, 9])
+def test_one_pass_equals_labels_and_trailing(spark, small, size):
+    rows = frame(spark, small)
+    both = observed_rows(rows, GRID, size=size)
+    labels = label_rows(rows, GRID)
+    assert sorted(both.where("label is not null").select(labels.columns).collect()) == sorted(labels.collect())
+    trailing = trailing_features(rows, GRID)
+    assert sorted(both.select(trailing.columns).collect()) == sorted(trailing.collect())
+
+
 def test_gaps_stop_a_label_but_not_a_total(spark):
     rows = [("A", t, 0.3) for t in range(21) if t not in (3, 4, 11)]
     labels = {r.slot for r in label_rows(frame(spark, rows), GRID).collect()}
