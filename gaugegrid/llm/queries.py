@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugegrid.llm import line_runs, perfect_hash, quality
+from gaugegrid.llm import line_runs, perfect_hash, quality, simhash
 from gaugegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfect_hash.exact_dedup(*perfect_hash.halves(table(spark, sf_dir, "documents"))).drop("known")
