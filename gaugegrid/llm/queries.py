@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugegrid.llm import byte_bpe, line_runs, perfect_hash, quality, simhash, toxicity
+from gaugegrid.llm import byte_bpe, line_runs, packing, perfect_hash, quality, resharding, simhash, toxicity
 from gaugegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,23 @@ def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve shards by source become eight; the first eight keep their places."""
+    old = F.pmod(F.xxhash64("source"), F.lit(12))
+    home = {str(k): k if k < 8 else None for k in range(12)}
+    placed = resharding.assign(table(spark, sf_dir, "documents"), old, home, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        F.col("old").alias("old_shard"),
+    )
+
+
 @query
 def op5_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfect_hash.exact_dedup(*perfect_hash.halves(table(spark, sf_dir, "documents"))).drop("known")
