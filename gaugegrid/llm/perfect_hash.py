@@ -175,8 +175,9 @@ def halves(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
 
 def distinct_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without repeats, all columns as they are; of rows with one id and equal texts one stays."""
-    kept = exact_dedup(*halves(docs, key), text, key).where("kept").select(key, "text_sha256").distinct()
-    marked = docs.withColumn("__sha", F.sha2(bare(F.coalesce(F.col(text), F.lit(""))), 256))
-    kept = kept.withColumnsRenamed({key: "__key", "text_sha256": "__kept"})
-    both = marked[key].eqNullSafe(kept["__key"]) & (marked["__sha"] == kept["__kept"])
-    return marked.join(kept, both, "left_semi").dropDuplicates([key, "__sha"]).drop("__sha")
+    kept = exact_dedup(*halves(docs, key), text, key).where("kept")
+    kept = kept.select(F.coalesce(key, F.lit(NO_ID)).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    sha = F.unhex(F.sha2(bare(F.coalesce(F.col(text), F.lit(""))), 256))
+    marked = docs.withColumns({"__id": F.coalesce(F.col(key), F.lit(NO_ID)), "__sha": sha})
+    one = marked.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])  # stays in the partitions of the join
+    return one.select(*docs.columns)

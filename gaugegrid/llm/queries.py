@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugegrid.llm import byte_bpe, line_runs, packing, perfect_hash, quality, resharding, simhash, toxicity
+from gaugegrid.llm import byte_bpe, chat_events, licences, line_runs, packing, perfect_hash, quality, resharding, simhash, toxicity
 from gaugegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,30 @@ def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_event_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_events.read_back(chat_events.render(chat_events.fold(chat_events.log_of(rows))))
+
+
+SQL["op4_event_chat"] = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), t AS (
+  SELECT *, '### ' || regexp_replace(role, '(\\\\|###|</turn>|:)', '\\\\\\1', 'g') || ': '
+    || regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g') || '</turn>' || chr(10) AS formatted FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 @query
 def op5_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perfect_hash.exact_dedup(*perfect_hash.halves(table(spark, sf_dir, "documents"))).drop("known")
@@ -97,6 +121,14 @@ FROM b
 """
 
 
+@query
+def op8_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_licence_sentences"] = licences.scan_sql()
+
+
 @query
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.without_lines(table(spark, sf_dir, "documents"))
