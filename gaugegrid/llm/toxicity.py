@@ -251,10 +251,11 @@ def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
 def scores(docs: DataFrame, field: Field | None, text: str = "text", spans: bool = False) -> DataFrame:
     """(row, score, spans): every document as a struct of its columns, its toxicity from 0 to 1, and the offending offsets."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(field)  # at most TERMS terms
+    parts = field and (field.strength, field.weights, field.moves, field.score)
+    model = docs.sparkSession.sparkContext.broadcast(parts)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = model.value
+        field = Field(*model.value) if model.value else None
         for batch in batches:
             texts = batch.column(1)
             found, where = np.zeros(len(texts)), [[] for _ in range(len(texts))]

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import past_class
-from gaugegrid.operators.sizing import small_side
 from gaugegrid.settings import CLIMATOLOGY_STRENGTHS, EDGES, N_CLASSES
 
 CELL = ("station_id", "month", "hour")
@@ -77,7 +76,7 @@ def fit_climatology(train: DataFrame, strength: float, weight: Column | None = N
 
 def predict_climatology(model: tuple[DataFrame, DataFrame], rows: DataFrame, name: str = "probs") -> DataFrame:
     table, fallback = model
-    joined = with_cell(rows).join(small_side(table, keep=True), list(CELL), "left").join(
+    joined = with_cell(rows).join(table, list(CELL), "left").join(
         F.broadcast(fallback), ["month", "hour"], "left"  # at most 12 x 24 rows
     )
     return joined.select(*rows.columns, F.coalesce("cell_probs", "network_probs").alias(name))
@@ -91,7 +90,7 @@ def climatology_strengths(train: DataFrame, rows: DataFrame, strengths=CLIMATOLO
     """
     from gaugegrid.operators.scoring import exceedances, rps
 
-    counts = small_side(climatology_counts(train), keep=True)
+    counts = climatology_counts(train)
     network = counts.groupBy("month", "hour").agg(F.any_value("network").alias("network"))
     seen = with_cell(rows).groupBy(*CELL, "label").agg(F.count("*").alias("n"))
     joined = (

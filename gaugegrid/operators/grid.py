@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import from_tenths, tenths
 from gaugegrid.functions.clock import time_of, year_month
-from gaugegrid.operators.sizing import small_side
 from gaugegrid.settings import STUCK_EXPECTED, Grid
 
 
@@ -79,7 +78,7 @@ def stuck_periods(readings: DataFrame, period: Column, least: float = STUCK_EXPE
 
 def mask_periods(readings: DataFrame, flagged: DataFrame, period: Column) -> DataFrame:
     """Null the readings of flagged (station, period) pairs."""
-    marks = small_side(flagged.select("station_id", "ym", F.lit(True).alias("_flagged")), keep=True)
+    marks = flagged.select("station_id", "ym", F.lit(True).alias("_flagged"))
     joined = readings.withColumn("ym", period).join(marks, ["station_id", "ym"], "left")
     return joined.select(
         *[c for c in readings.columns if c != "value"], F.when(F.col("_flagged").isNull(), F.col("value")).alias("value")
@@ -91,9 +90,7 @@ def mask_intervals(readings: DataFrame, faults: DataFrame, grid: Grid) -> DataFr
 
     The intervals of a station travel as one array, so overlapping intervals cannot repeat a reading.
     """
-    spans = small_side(
-        faults.groupBy("station_id").agg(F.collect_list(F.struct("start_time", "end_time")).alias("_spans"))
-    )
+    spans = faults.groupBy("station_id").agg(F.collect_list(F.struct("start_time", "end_time")).alias("_spans"))
     at = time_of("slot", grid)
     inside = F.exists("_spans", lambda s: (at >= s["start_time"]) & (at < s["end_time"]))
     kept = F.when(~F.coalesce(inside, F.lit(False)), F.col("value"))

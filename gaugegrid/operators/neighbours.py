@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.clock import season_code, time_of
 from gaugegrid.functions.geo import bearing, length, with_xy
-from gaugegrid.operators.packed import PACKED_STATIONS, packed_summaries
-from gaugegrid.operators.sizing import small_side
+from gaugegrid.operators.tiles import tiled_summaries
 from gaugegrid.settings import (
     CHANGE_LAG_SLOTS,
     CHANGED_COLUMNS,
@@ -172,13 +171,12 @@ def _network(now: Column, w) -> dict[str, Column]:
 
 
 def neighbour_features(
-    trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3"), form: str = "auto"
+    trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3"), form: str = "tiled"
 ) -> DataFrame:
     """Tier 2 and tier 3 of every (station, slot) that reported, in one pass.
 
-    ``trailing`` needs ``t1_rain_15`` and ``t1_rain_30``. Two forms give the same numbers: ``packed`` multiplies
-    blocks of slots with the network's weight matrices, ``joined`` joins the readings with the neighbour table.
-    ``auto`` packs networks of up to PACKED_STATIONS stations.
+    ``trailing`` needs ``t1_rain_15`` and ``t1_rain_30``; readings of stations that ``stations`` lacks are left out. Two layouts give the
+    same numbers at every size: ``tiled`` works on spatial tiles and blocks of slots, ``joined`` on one row per reading and neighbour.
     """
     lagged = "t3" in tiers
     rows = trailing.select(
@@ -187,23 +185,20 @@ def neighbour_features(
         F.round(F.col("t1_rain_15") * 10).cast("long").alias("r15"),
         F.round(F.col("t1_rain_30") * 10).cast("long").alias("r30"),
     )
-    if form == "auto":
-        form = "packed" if stations.limit(PACKED_STATIONS + 1).count() <= PACKED_STATIONS else "joined"
-    if form == "packed":
-        summaries = packed_summaries(rows, with_xy(stations), grid, lagged)
-    else:
-        summaries = joined_summaries(rows, stations, grid, lagged)
+    reach = max(NO_RAIN_KM, upstream_reach() if lagged else 0.0)
+    summaries = tiled_summaries(rows, stations, grid, lagged, reach) if form == "tiled" else joined_summaries(rows, stations, grid, lagged)
     return summaries.select("station_id", "slot", F.year(time_of("slot", grid)).alias("year"), *_feature_columns(tiers))
 
 
 def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool) -> DataFrame:
     """The summaries from a join with the neighbour table.
 
-    Rows are hash-partitioned by slot once; the neighbour table is broadcast if it is small, and then the grouping by
+    Rows are hash-partitioned by slot once; where the optimizer can broadcast the neighbour table, the grouping by
     (slot, station) needs no further shuffle because a slot lives in one partition. A slot holds at most one row per
     station, so no partition grows hot. For the changes each reading is also sent to the slot ``CHANGE_LAG_SLOTS``
     later in the role of the earlier state; a neighbour or a whole network missing there counts as no rain.
     """
+    rows = rows.join(stations.select(F.col("station_id").alias("j")), "j", "left_semi")
     if lagged:
         later = (F.col("slot") + CHANGE_LAG_SLOTS).alias("slot")
         roles = F.array(F.struct(F.col("slot"), F.lit(1).alias("now")), F.struct(later, F.lit(0).alias("now")))
@@ -226,7 +221,7 @@ def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: b
             values[f"up{m}_wet"] = _mean(k, (F.col("r15") > 0).cast("double"), now)
             values[f"up{m}_nbrs"] = F.count(F.when(now & (k > 0), True)).cast("double")
     carried = {k: F.max(k) for k in network}
-    paired = rows.repartition("slot").withColumns(network).join(small_side(neighbour_weights(stations), keep=True), "j")
+    paired = rows.repartition("slot").withColumns(network).join(neighbour_weights(stations), "j")
     return (
         paired.groupBy("slot", F.col("s").alias("station_id"))
         .agg(

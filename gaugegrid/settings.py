@@ -113,6 +113,3 @@ class Grid:
     def per_day(self) -> int:
         return 86400 // self.width
 
-
-#: Rows up to which a table may be broadcast; larger tables fall back to a shuffle join.
-BROADCAST_ROWS = 500_000

@@ -26,16 +26,17 @@ def session(app: str = "gaugegrid", cores: int | None = None, memory: str | None
     if memory:
         builder = builder.config("spark.driver.memory", memory)
     spark = builder.getOrCreate()
-    use_checkpoints(spark)
     return spark
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """Make sure a checkpoint directory is set: the cluster's ``spark.checkpoint.dir``, else a fresh local one."""
+    """Make sure a checkpoint directory is set: the cluster's ``spark.checkpoint.dir``, or a fresh one where all runs on one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gaugegrid-checkpoints-"))
     return sc.getCheckpointDir()

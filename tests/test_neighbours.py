@@ -27,26 +27,72 @@ def by_key(rows):
 
 
 def test_both_forms_agree(trailing, stations):
-    packed = by_key(neighbour_features(trailing, stations, GRID, form="packed"))
+    tiled = by_key(neighbour_features(trailing, stations, GRID, form="tiled"))
     joined = by_key(neighbour_features(trailing, stations, GRID, form="joined"))
-    assert packed.keys() == joined.keys() and len(packed) == trailing.count()
-    for key, row in packed.items():
+    assert tiled.keys() == joined.keys() and len(tiled) == trailing.count()
+    for key, row in tiled.items():
         for name, value in row.items():
             assert value == joined[key][name] or abs(value - joined[key][name]) <= 1.0001e-4, (key, name)
 
 
 def test_blocks_do_not_change_the_result(trailing, stations):
-    from gaugegrid.functions.geo import with_xy
-    from gaugegrid.operators.packed import packed_summaries
     from pyspark.sql import functions as F
 
+    from gaugegrid.operators.tiles import tiled_summaries
+
     rows = trailing.select(F.col("station_id").alias("j"), "slot", (F.col("t1_rain_15") * 10).cast("long").alias("r15"), (F.col("t1_rain_30") * 10).cast("long").alias("r30"))
-    whole = by_key(packed_summaries(rows, with_xy(stations), GRID, True))
-    cut = by_key(packed_summaries(rows.where("slot >= 0"), with_xy(stations), GRID, True, cells=64 * 4))
+    whole = by_key(tiled_summaries(rows, stations, GRID, True, 40.0))
+    cut = by_key(tiled_summaries(rows, stations, GRID, True, 40.0, block=16))
     assert whole.keys() == cut.keys()
     assert all(whole[k][c] == pytest.approx(cut[k][c]) for k in whole for c in whole[k] if c not in ("station_id", "slot"))
 
 
+def test_unknown_stations_are_left_out_of_both_layouts(spark, trailing, stations):
+    from pyspark.sql import functions as F
+
+    stranger = trailing.where("station_id = 'S002'").withColumn("station_id", F.lit("S999"))
+    for form in ("tiled", "joined"):
+        with_one = by_key(neighbour_features(trailing.unionByName(stranger), stations, GRID, form=form))
+        assert with_one == by_key(neighbour_features(trailing, stations, GRID, form=form))
+
+
+def test_a_large_network_on_many_tiles(spark):
+    rows = [(f"S{k:04d}", 100.0 + 0.05 * (k % 60), 1.0 + 0.05 * (k // 60)) for k in range(3000)]
+    stations = spark.createDataFrame(rows, "station_id string, location_longitude double, location_latitude double")
+    readings = spark.createDataFrame([(r[0], 5, (k * 7 % 13) / 10) for k, r in enumerate(rows)], "station_id string, slot int, value double")
+    trailing = trailing_features(readings, GRID)
+    tiled, joined = (by_key(neighbour_features(trailing, stations, GRID, ("t2",), form=f)) for f in ("tiled", "joined"))
+    assert tiled.keys() == joined.keys() and len(tiled) == 3000
+    for key, row in tiled.items():
+        assert all(v == joined[key][n] or abs(v - joined[key][n]) <= 1.0001e-4 for n, v in row.items()), key
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Only the driver has the package on its path; the workers start in another folder."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from gaugegrid.operators.neighbours import neighbour_features
+from gaugegrid.operators.trailing import trailing_features
+from gaugegrid.settings import Grid
+grid = Grid("2024-01-01 00:00:00", 10800)
+stations = spark.createDataFrame([("a", 103.8, 1.35), ("b", 103.82, 1.35)], "station_id string, location_longitude double, location_latitude double")
+readings = spark.createDataFrame([("a", 1, 0.4), ("b", 1, 0.2)], "station_id string, slot int, value double")
+print("rows", len(neighbour_features(trailing_features(readings, grid), stations, grid).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 2" in out.stdout, out.stderr[-2000:]
+
+
 def test_lone_station(trailing, stations):
     lone = [r for r in neighbour_features(trailing, stations, GRID, ("t2",)).collect() if r.station_id == "S003"]
     assert lone and all(r.t2_dist_rain_km == 30 and r.t2_nbrs_10km == 0 and r.t2_idw_rain_30 == 0 and r.t2_max_rain_30 == 0 for r in lone)
