@@ -32,7 +32,8 @@ def align(rows: DataFrame, overlap: Column | None = None, ts: str = "timestamp",
     """Move legacy stamps to their mark; where an exact reading has the same station and mark, drop the legacy one.
 
     ``overlap`` limits the search for such pairs to the time in which both forms were sent: rows outside it never
-    leave their partition.
+    leave their partition. It is a condition on the mark (``out``), which both rows of a pair share, so that a legacy stamp just before
+    the end and its exact partner are judged alike.
     """
     rows = rows.withColumn(out, shifted(ts))
     exact = F.col(ts) == F.col(out)

@@ -31,9 +31,11 @@ def slot_spine(spark, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias("slot"))
 
 
-def dense_grid(readings: DataFrame, stations: DataFrame, first: int, last: int) -> DataFrame:
-    """Every slot of every station; missing readings are null."""
-    cells = stations.select("station_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("slot"))
+def dense_grid(readings: DataFrame, stations: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Every slot of every station, from the first to the last one that any station reports unless given; missing readings are null."""
+    begin = F.lit(first) if first is not None else readings.select(F.min("slot")).scalar()
+    end = F.lit(last) if last is not None else readings.select(F.max("slot")).scalar()
+    cells = stations.select("station_id", F.explode(F.sequence(begin, end)).alias("slot"))
     return cells.join(readings, ["station_id", "slot"], "left")
 
 

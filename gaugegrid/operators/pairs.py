@@ -9,77 +9,79 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import tenths
 from gaugegrid.functions.geo import bearing, length, with_xy
+from gaugegrid.operators.tiles import BLOCK_SLOTS, placed
 from gaugegrid.operators.windows import CHUNK, add_chunks
-from gaugegrid.settings import DISTANCE_BANDS, MIN_PEAK_CORRELATION
+from gaugegrid.settings import CLUSTER_TEST_BANDS, DISTANCE_BANDS, MIN_PEAK_CORRELATION
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-#: Stations up to which a task may hold the (stations x stations) sums.
-PAIR_STATIONS = 1024
+#: Stations in a group, on average, where pairs of any distance are wanted.
+GROUP_STATIONS = 256
+
+
+def _grouped(readings: DataFrame) -> DataFrame:
+    """Readings in every ordered pair of station groups that theirs belongs to (``ga``, ``gb``; ``left``: may be ``i``, ``right``: ``j``)."""
+    n = readings.select(F.count_distinct("station_id").alias("n")).select(F.floor(F.col("n") / GROUP_STATIONS) + 1).scalar()
+    own = F.pmod(F.xxhash64("station_id"), n)
+    rows = readings.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    here = F.struct(F.col("own").alias("ga"), F.col("other").alias("gb"), F.lit(True).alias("left"), (F.col("own") == F.col("other")).alias("right"))
+    there = F.struct(F.col("other").alias("ga"), F.col("own").alias("gb"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    roles = F.when(F.col("own") == F.col("other"), F.array(here)).otherwise(F.array(here, there))
+    return rows.select(*readings.columns, F.explode(roles).alias("role")).select(
+        *readings.columns, "role.*", F.lit(0.0).alias("x_km"), F.lit(0.0).alias("y_km")
+    )
 
 
-def _near_mask(names: np.ndarray, stations: DataFrame | None, within_km: float | None) -> np.ndarray:
-    """Pairs of different stations, optionally only those at most ``within_km`` apart."""
-    mask = ~np.eye(len(names), dtype=bool)
-    if within_km is not None:
-        place = with_xy(stations).select("station_id", "x_km", "y_km").limit(PAIR_STATIONS + 1).toPandas().set_index("station_id").loc[names]
-        x, y = place["x_km"].to_numpy(), place["y_km"].to_numpy()
-        mask &= np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :]) <= within_km
-    return mask
+def _near(readings: DataFrame, stations: DataFrame, within_km: float) -> DataFrame:
+    """Readings in the tile of their station (``left``) and in the tiles within reach of it."""
+    tiles = placed(stations, within_km).select("station_id", "x_km", "y_km", F.col("tx").alias("ga"), F.col("ty").alias("gb"), F.col("own").alias("left"))
+    return readings.join(tiles, "station_id").withColumn("right", F.lit(True))
 
 
 def lagged_sums(
-    readings: DataFrame, max_lag: int, by: Column | None = None, stations: DataFrame | None = None,
-    within_km: float | None = None, cells: int = 400_000,
+    readings: DataFrame, max_lag: int, by: Column | None = None, stations: DataFrame | None = None, within_km: float | None = None,
 ) -> DataFrame:
     """Joint counts and sums of every ordered station pair (``i`` at t, ``j`` at t + lag) for lags 0..``max_lag``.
 
-    The series is cut into blocks of slots with a halo of ``max_lag``; a block is one dense matrix in one task, and
-    its sums are matrix products, so pairs are never joined slot by slot. Blocks add up by a grouped sum that Spark
-    combines before its shuffle. Sums are in whole tenths and therefore exact. ``by`` (a function of the slot) splits
-    the reference time t, e.g. by season or year; ``within_km`` keeps only pairs that close. The network must have at
-    most PAIR_STATIONS stations, which is checked.
+    Stations are dealt to tiles (``within_km``: only pairs that close, no others are computed) or to pairs of groups of bounded size, the
+    series to blocks of slots with a halo of ``max_lag``; each is one task with dense matrices, and its sums are matrix products, so pairs
+    are never joined slot by slot. Blocks add up by a grouped sum that Spark combines before its shuffle. Sums are in whole tenths and
+    therefore exact. ``by`` (a function of the slot) splits the reference time t, e.g. by season or year.
     """
-    ids = [r[0] for r in readings.select("station_id").distinct().limit(PAIR_STATIONS + 1).collect()]
-    if len(ids) > PAIR_STATIONS:
-        raise ValueError(f"pair sums are limited to {PAIR_STATIONS} stations")
-    names = np.array(sorted(ids))
-    number = {name: i for i, name in enumerate(names)}
-    wanted = _near_mask(names, stations, within_km)
-    size = max(8 * max_lag, 64, cells // max(1, len(names)))
+    size = max(8 * max_lag, BLOCK_SLOTS)
+    reach = float("inf") if within_km is None else within_km
 
     def products(key, pdf):
-        first, shape = int(key[0]) * size, (size + max_lag, len(names))
-        value, there, group = np.zeros(shape), np.zeros(shape), np.full(shape[0], "", dtype=object)
+        first, lag_range = int(key[2]) * size, range(max_lag + 1)
+        ids, at = np.unique(pdf["station_id"].to_numpy(dtype=object), return_inverse=True)
         row = pdf["slot"].to_numpy() - first
-        at = (row, pdf["station_id"].map(number).to_numpy())
-        value[at], there[at], group[row] = pdf["t"].to_numpy(), 1.0, pdf["g"].to_numpy()
-        wet = (value != 0).any(axis=1)
-        out = []
+        used = int(row.max()) + 1
+        value, there, group = np.zeros((used, len(ids))), np.zeros((used, len(ids))), np.full(used, "", dtype=object)
+        value[row, at], there[row, at], group[row] = pdf["t"], 1.0, pdf["g"]
+        x, y, left, right = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        x[at], y[at], left[at], right[at] = pdf["x_km"], pdf["y_km"], pdf["left"], pdf["right"]
+        a, b = np.flatnonzero(left), np.flatnonzero(right)
+        wanted = (a[:, None] != b[None, :]) & (np.hypot(x[a][:, None] - x[b][None, :], y[a][:, None] - y[b][None, :]) <= reach)
+        parts = {"g": [np.array([], object)], "i": [np.array([], object)], "j": [np.array([], object)], "lag": [np.array([], np.int32)]}
+        parts |= {c: [np.array([])] for c in SUMS}
         for g in set(group[:size]) - {""}:
-            own = group[:size] == g
-            for lag in range(max_lag + 1):
-                x, seen = value[:size][own], there[:size][own]
-                y, seen_y = value[lag : lag + size][own], there[lag : lag + size][own]
-                # slots without rain on a side add nothing to the rain sums of that side
-                rx, ry = wet[:size][own], wet[lag : lag + size][own]
-                n = seen.T @ seen_y
-                sums = (
-                    n, x[rx].T @ seen_y[rx], seen[ry].T @ y[ry], (x[rx] ** 2).T @ seen_y[rx],
-                    seen[ry].T @ (y[ry] ** 2), x[rx].T @ y[rx],
-                )
+            for lag in lag_range:
+                own = np.flatnonzero(group[:min(size, used - lag)] == g)
+                u, seen_u, v, seen_v = value[own][:, a], there[own][:, a], value[own + lag][:, b], there[own + lag][:, b]
+                n = seen_u.T @ seen_v
                 i, j = np.nonzero((n > 0) & wanted)
-                columns = {"ni": i.astype(np.int32), "nj": j.astype(np.int32), "lag": np.int32(lag)}
-                out.append(pd.DataFrame({"g": g, **columns, **{k: s[i, j] for k, s in zip(SUMS, sums)}}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["g", "ni", "nj", "lag", *SUMS])
+                sums = (n, u.T @ seen_v, seen_u.T @ v, (u * u).T @ seen_v, seen_u.T @ (v * v), u.T @ v)
+                found = {"g": np.full(len(i), g, object), "i": ids[a[i]], "j": ids[b[j]], "lag": np.full(len(i), lag, np.int32)}
+                for c, values in {**found, **{k: m[i, j] for k, m in zip(SUMS, sums)}}.items():
+                    parts[c].append(values)
+        return pd.DataFrame({c: np.concatenate(values) for c, values in parts.items()})
 
     rows = readings.where(F.col("value").isNotNull()).select(
         "station_id", "slot", tenths("value").cast("double").alias("t"), (F.lit("all") if by is None else by.cast("string")).alias("g")
     )
-    schema = "g string, ni int, nj int, lag int, " + ", ".join(f"{c} double" for c in SUMS)
-    blocks = rows.transform(add_chunks, 0, max_lag, size)  # a block looks ahead by the largest lag
-    added = blocks.groupBy(CHUNK).applyInPandas(products, schema).groupBy("g", "ni", "nj", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
-    table = F.array(*[F.lit(str(n)) for n in names]) if len(names) else F.array(F.lit(""))
-    return added.select("g", F.get(table, F.col("ni")).alias("i"), F.get(table, F.col("nj")).alias("j"), "lag", *SUMS)
+    dealt = _grouped(rows) if within_km is None else _near(rows, stations, within_km)
+    schema = "g string, i string, j string, lag int, " + ", ".join(f"{c} double" for c in SUMS)
+    blocks = dealt.transform(add_chunks, 0, max_lag, size)  # a block looks ahead by the largest lag
+    return blocks.groupBy("ga", "gb", CHUNK).applyInPandas(products, schema).groupBy("g", "i", "j", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def correlation() -> Column:
@@ -131,22 +133,34 @@ def distance_bands(pairs: DataFrame, bands=DISTANCE_BANDS) -> DataFrame:
     )
 
 
-def decay_fit(pairs: DataFrame, first_km: float = 1.0, ratio: float = 1.02, steps: int = 250) -> DataFrame:
-    """Least-squares fit of r = c0 * exp(-d / reach) per group over a geometric grid of reaches.
+def _decays(pairs: DataFrame, reaches: Column) -> DataFrame:
+    """Least-squares amplitude and residual sum of r = c0 * exp(-d / reach) per group and candidate reach.
 
-    For a given reach the best c0 is a ratio of two sums, so each candidate is one aggregate; the step of the grid
-    (2 %) is the resolution of the reach.
+    For a given reach the best c0 is a ratio of two sums, so all candidates are one aggregate.
     """
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda s: F.round(first_km * F.pow(F.lit(ratio), s), 6))
-    tried = pairs.where(F.col("r").isNotNull()).select("g", "r", "d", F.explode(grid).alias("reach_km"))
+    tried = pairs.select("*", F.explode(reaches).alias("step")).withColumn("reach_km", F.round(F.pow(F.lit(1.02), F.col("step")), 6))
     e = F.exp(-F.col("d") / F.col("reach_km"))
-    fits = tried.groupBy("g", "reach_km").agg(
+    fits = tried.groupBy("g", "step", "reach_km").agg(
         F.count("*").alias("pairs"), F.sum(F.col("r") * e).alias("re"), F.sum(e * e).alias("ee"), F.sum(F.col("r") * F.col("r")).alias("rr")
     )
     c0 = F.col("re") / F.col("ee")
-    scored = fits.select("g", "reach_km", "pairs", c0.alias("c0"), (F.col("rr") - c0 * F.col("re")).alias("sse"))
-    best = F.min_by(F.struct("reach_km", "c0", "pairs"), F.struct(F.round("sse", 12), "reach_km")).alias("b")
-    return scored.groupBy("g").agg(best).select("g", F.col("b.c0").alias("c0"), F.col("b.reach_km").alias("reach_km"), F.col("b.pairs").alias("pairs"))
+    scored = fits.select("g", "step", "reach_km", "pairs", c0.alias("c0"), (F.col("rr") - c0 * F.col("re")).alias("sse"))
+    best = F.min_by(F.struct("step", "reach_km", "c0", "pairs"), F.struct(F.round("sse", 12), "reach_km")).alias("b")
+    return scored.groupBy("g").agg(best).select("g", "b.*")
+
+
+def decay_fit(pairs: DataFrame, steps: int = 600, coarse: int = 20) -> DataFrame:
+    """Least-squares fit of r = c0 * exp(-d / reach) per group, the reach to 2 % between 1 km and 1.02 ** ``steps`` km (144,000).
+
+    First every ``coarse``-th reach of the grid, then all between the neighbours of the best. A correlation that does not fall with
+    distance has no such reach: ``reach_km`` and ``c0`` are null and ``bounded`` is false where the best lies at an end of the grid.
+    """
+    known = pairs.where(F.col("r").isNotNull()).select("g", "r", "d")
+    rough = _decays(known, F.sequence(F.lit(0), F.lit(steps), F.lit(coarse))).select("g", F.col("step").alias("around"))
+    between = F.sequence(F.greatest(F.col("around") - coarse, F.lit(0)), F.least(F.col("around") + coarse, F.lit(steps)))
+    fine = _decays(known.join(rough, "g"), between)
+    inside = (F.col("step") > 0) & (F.col("step") < steps)
+    return fine.select("g", F.when(inside, F.col("c0")).alias("c0"), F.when(inside, F.col("reach_km")).alias("reach_km"), "pairs", inside.alias("bounded"))
 
 
 def best_lags(curves: DataFrame, slot_minutes: float, least_r: float = MIN_PEAK_CORRELATION) -> DataFrame:

@@ -61,29 +61,53 @@ def region_of(points: DataFrame, vertices: DataFrame, key: str = "station_id", l
         .groupBy(key)
         .agg(F.min("region").alias("inside"))
     )
-    corners = vertices.agg(F.collect_list(F.struct("x", "y", "region"))).scalar()  # bounded by the boundary file
-    nearest = F.array_min(F.transform("_corners", lambda c: F.struct(F.hypot(c["x"] - x, c["y"] - y).alias("d"), c["region"].alias("region"))))
-    return points.join(inside, key, "left").withColumn("_corners", corners).select(
-        key, F.coalesce("inside", nearest["region"]).alias("region"), F.col("inside").isNotNull().alias("is_inside")
-    )
-
-
-def core_stations(pairs: DataFrame, least_shared: int) -> DataFrame:
-    """Stations left after repeatedly dropping the one with most pairs that share too few slots.
-
-    ``pairs`` (``i``, ``j``, ``n``) is bounded by the network. Each round is one small aggregate over the too-short
-    pairs; only the name of the dropped station comes back, so the plan does not grow.
+    return points.select(key).join(inside, key, "left").join(
+        _nearest_region(points.join(inside, key, "left_anti"), vertices, key, lon, lat), key, "left"
+    ).select(key, F.coalesce("inside", "nearest").alias("region"), F.col("inside").isNotNull().alias("is_inside"))
+
+
+def _nearest_region(points: DataFrame, vertices: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
+    """(key, nearest): region of the nearest vertex. Points and vertices meet in square cells whose side grows fourfold per level; the answer
+    is that of the first level at which the nearest one found is no farther than a side, so no nearer one can lie outside the cells around."""
+    corners, x, y = vertices.select("x", "y", "region").distinct(), F.col(lon), F.col(lat)
+    sides = [0.02 * 4**k for k in range(8)]  # the last side spans the globe
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(side).alias("side")) for k, side in enumerate(sides)])).alias("l")
+    cells = corners.select("x", "y", "region", level).select("x", "y", "region", "l.*")
+    cells = cells.withColumns({"cx": F.floor(F.col("x") / F.col("side")), "cy": F.floor(F.col("y") / F.col("side"))})
+    asked = points.select(key, lon, lat, level).select(key, lon, lat, "l.*")
+    asked = asked.withColumn("cx", F.explode(F.transform(near, lambda i: F.floor(x / F.col("side")) + i)))
+    asked = asked.withColumn("cy", F.explode(F.transform(near, lambda i: F.floor(y / F.col("side")) + i)))
+    d = F.hypot(F.col("x") - x, F.col("y") - y)
+    found = asked.join(cells, ["level", "side", "cx", "cy"]).groupBy(key, "level", "side").agg(F.min(F.struct(d.alias("d"), "region")).alias("best"))
+    sure = found.where(F.col("best.d") <= F.col("side"))
+    return sure.groupBy(key).agg(F.min_by("best.region", "level").alias("nearest"))
+
+
+def core_stations(pairs: DataFrame, stations: DataFrame, least_shared: int) -> DataFrame:
+    """Stations left after repeatedly dropping the one with most pairs that share too few slots, the smallest id of equals.
+
+    ``pairs`` (``i``, ``j``, ``n``) holds pairs that share some slot; a pair that is missing shares none. A station's short pairs are
+    therefore all others that are left, less those it shares enough with. Each round is one small aggregate, bounded by the network; only
+    the name of the dropped station comes back, so the plan does not grow.
     """
-    ends = pairs.select(F.explode(F.array("i", "j")).alias("station_id")).distinct()
-    short = pairs.where(F.col("n") < least_shared).select("i", "j").persist()
-    dropped: list[str] = []
-    while True:
-        left = short.where(~F.col("i").isin(dropped) & ~F.col("j").isin(dropped)) if dropped else short
-        degree = left.select(F.explode(F.array("i", "j")).alias("station_id")).groupBy("station_id").count()
-        worst = degree.orderBy(F.desc("count"), "station_id").first()
-        if worst is None:
-            return ends.where(~F.col("station_id").isin(dropped)) if dropped else ends
-        dropped.append(worst["station_id"])
+    both = pairs.where(F.col("n") >= least_shared).select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
+    good = both.select("p.i", "p.j").persist()
+    every = stations.select("station_id").distinct().persist()
+    total, dropped = every.count(), []
+    try:
+        while True:
+            left = every.where(~F.col("station_id").isin(dropped)) if dropped else every
+            rich = good.where(~F.col("j").isin(dropped)) if dropped else good
+            shared = rich.groupBy(F.col("i").alias("station_id")).agg(F.count(F.lit(1)).alias("shared"))
+            short = F.lit(total - len(dropped) - 1) - F.coalesce("shared", F.lit(0))
+            worst = left.join(shared, "station_id", "left").select("station_id", short.alias("short")).orderBy(F.desc("short"), "station_id").first()
+            if worst is None or worst["short"] <= 0:
+                return stations.select("station_id").distinct().where(~F.col("station_id").isin(dropped))
+            dropped.append(worst["station_id"])
+    finally:
+        good.unpersist()
+        every.unpersist()
 
 
 def station_clusters(pairs: DataFrame, stations: DataFrame, k: int = 3) -> DataFrame:

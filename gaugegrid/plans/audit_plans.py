@@ -64,7 +64,7 @@ def category_inventory(t: Tables):
 @query("identity_versions", "A04", """
 SELECT station_id, count(DISTINCT station_name) AS name_versions, count(DISTINCT station_device_id) AS device_versions,
        count(DISTINCT (location_longitude, location_latitude)) AS location_versions,
-       arg_max(station_name, "timestamp") AS canonical_station_name, max("timestamp") AS latest_observation FROM g_obs GROUP BY station_id""")
+       arg_max(station_name, ("timestamp", station_name)) AS canonical_station_name, max("timestamp") AS latest_observation FROM g_obs GROUP BY station_id""")
 def identity_versions(t: Tables):
     return A.identity_versions(t.observations())
 
@@ -95,8 +95,9 @@ def coverage_by_year(t: Tables):
 
 
 @query("latest_attributes", "A08 D07", """
-SELECT station_id, arg_max(location_longitude, "timestamp") AS location_longitude, arg_max(location_latitude, "timestamp") AS location_latitude,
-       arg_max(station_name, "timestamp") AS station_name, min("timestamp") AS first_time, max("timestamp") AS last_time, count(*) AS observations
+SELECT station_id, arg_max(location_longitude, ("timestamp", location_longitude, location_latitude, station_name)) AS location_longitude,
+       arg_max(location_latitude, ("timestamp", location_longitude, location_latitude, station_name)) AS location_latitude,
+       arg_max(station_name, ("timestamp", location_longitude, location_latitude, station_name)) AS station_name, min("timestamp") AS first_time, max("timestamp") AS last_time, count(*) AS observations
 FROM g_obs GROUP BY station_id""")
 def latest_attributes(t: Tables):
     return A.latest_attributes(t.observations())
@@ -122,10 +123,10 @@ def align_dedup(t: Tables):
 
 
 @query("align_overlap", "J01 S05", f"""
-SELECT station_id, "timestamp", time_5min, reading_value, event_id FROM ({ALIGNED.replace('OR any_exact = 0', 'OR any_exact = 0 OR "timestamp" >= TIMESTAMP ' + repr('2024-01-15'))})""")
+SELECT station_id, "timestamp", time_5min, reading_value, event_id FROM ({ALIGNED.replace('OR any_exact = 0', 'OR any_exact = 0 OR time_5min > TIMESTAMP ' + repr('2024-01-15'))})""")
 def align_overlap(t: Tables):
     change = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return AL.align(t.legacy_observations(), overlap=F.col("timestamp") < change)
+    return AL.align(t.legacy_observations(), overlap=F.col("time_5min") <= change)
 
 
 @query("stamp_forms", "P02", """
@@ -193,10 +194,10 @@ def unpivot_grid(t: Tables):
 
 
 @query("dense_grid", "R02 J02", """
-SELECT s.station_id, CAST(u.slot AS INTEGER) AS slot, r.value FROM (SELECT unnest(range(240)) AS slot) u CROSS JOIN g_stations s
+SELECT s.station_id, CAST(u.slot AS INTEGER) AS slot, r.value FROM (SELECT unnest(range((SELECT min(slot) FROM g_readings), (SELECT max(slot) FROM g_readings) + 1)) AS slot) u CROSS JOIN g_stations s
 LEFT JOIN g_readings r ON r.slot = u.slot AND r.station_id = s.station_id""")
 def dense_grid(t: Tables):
-    return G.dense_grid(t.readings(), t.stations(), 0, 239)
+    return G.dense_grid(t.readings(), t.stations())
 
 
 @query("block_sum", "R09", """

@@ -71,11 +71,11 @@ def lagged_corr_halves(t: Tables):
     return _halves(t).select("g", "i", "j", "lag", "n", *_r("r"))
 
 
-def _resolutions(t: Tables):
+def _resolutions(t: Tables, **reach):
     out = None
     for k in (1, 2, 4):
         rows = t.readings() if k == 1 else block_sum(t.readings(), k).select("station_id", F.col("block").alias("slot"), F.col("total").alias("value"))
-        corr = P.lagged_correlation(rows).where("n >= 20 and r is not null").withColumn("g", F.lit(str(k)))
+        corr = P.lagged_correlation(rows, **reach).where("n >= 20 and r is not null").withColumn("g", F.lit(str(k)))
         out = corr if out is None else out.unionByName(corr)
     return P.with_distance(out, t.stations())
 
@@ -89,15 +89,18 @@ def multi_resolution_corr(t: Tables):
 SELECT g, CAST(band AS INTEGER) AS band, round(quantile_cont(d, 0.5), 6) AS distance, round(quantile_cont(r, 0.5), 6) AS median_r, count(*) AS pairs
 FROM (SELECT *, {_BAND} AS band FROM g_res_d) WHERE band IS NOT NULL GROUP BY g, band""")
 def distance_bands(t: Tables):
-    return P.distance_bands(_resolutions(t)).select("g", "band", *_r("distance", "median_r"), "pairs")
+    rows = _resolutions(t, stations=t.stations(), within_km=float(P.DISTANCE_BANDS[-1]))
+    return P.distance_bands(rows).select("g", "band", *_r("distance", "median_r"), "pairs")
 
 
 @query("decay_fit", "C03", """
-SELECT g, round(arg_min(re / ee, round(rr - re * re / ee, 12)), 6) AS c0, arg_min(reach_km, round(rr - re * re / ee, 12)) AS reach_km, any_value(pairs) AS pairs FROM (
-  SELECT g, reach_km, count(*) AS pairs, sum(r * exp(-d / reach_km)) AS re, sum(exp(-d / reach_km) ** 2) AS ee, sum(r * r) AS rr
-  FROM g_res_d, (SELECT round(1.02::DOUBLE ** s, 6) AS reach_km FROM (SELECT unnest(range(250)) AS s)) GROUP BY g, reach_km) GROUP BY g""")
+SELECT g, CASE WHEN bounded THEN round(c0, 6) END AS c0, CASE WHEN bounded THEN reach_km END AS reach_km, pairs, bounded FROM (
+ SELECT g, arg_min(re / ee, round(rr - re * re / ee, 12)) AS c0, arg_min(reach_km, round(rr - re * re / ee, 12)) AS reach_km, any_value(pairs) AS pairs,
+  arg_min(s, round(rr - re * re / ee, 12)) BETWEEN 1 AND 599 AS bounded FROM (
+  SELECT g, s, reach_km, count(*) AS pairs, sum(r * exp(-d / reach_km)) AS re, sum(exp(-d / reach_km) ** 2) AS ee, sum(r * r) AS rr
+  FROM g_res_d, (SELECT s, round(1.02::DOUBLE ** s, 6) AS reach_km FROM (SELECT unnest(range(601)) AS s)) GROUP BY g, s, reach_km) GROUP BY g)""")
 def decay_fit(t: Tables):
-    return P.decay_fit(_resolutions(t)).select("g", *_r("c0"), "reach_km", "pairs")
+    return P.decay_fit(_resolutions(t)).select("g", *_r("c0"), "reach_km", "pairs", "bounded")
 
 
 def _lags(t: Tables):
@@ -191,13 +194,14 @@ SELECT band, n1 AS n_within, n2 AS n_across, round(within, 6) AS within, round(a
   SELECT *, rank() OVER (PARTITION BY band ORDER BY r) + (count(*) OVER (PARTITION BY band, r) - 1) / 2 AS rk, count(*) OVER (PARTITION BY band, r) AS t FROM g_tested WHERE band IS NOT NULL) GROUP BY band)""")
 def rank_test(t: Tables):
     members = R.region_of(t.stations(), region_table(t)).select("station_id", F.col("region").alias("cluster"))
-    pairs = P.with_distance(P.lagged_correlation(t.readings()), t.stations()).withColumn("r", F.round("r", 9))
+    near = P.lagged_correlation(t.readings(), stations=t.stations(), within_km=float(P.CLUSTER_TEST_BANDS[-1][1]))
+    pairs = P.with_distance(near, t.stations()).withColumn("r", F.round("r", 9))
     return R.within_across(pairs, members).select("band", "n_within", "n_across", *_r("within", "across"), "u", *_r("z"))
 
 
 @query("core_stations", "C04 O05")
 def core_stations(t: Tables):
-    return R.core_stations(P.lagged_correlation(t.readings()), 178)
+    return R.core_stations(P.lagged_correlation(t.readings()), t.stations(), 178)
 
 
 @query("station_clusters", "C05 C06")
@@ -231,7 +235,8 @@ def holm(t: Tables):
     return I.holm(I.month_tests(PP.network(t), REPS)).select("month", *_r("p", "p_holm"))
 
 
-_T = "[" + ", ".join(str(v) for v in I.T_95) + "]"
+# fixed values: two-sided 95 % quantiles of Student's t for 1 to 10 degrees of freedom
+_T = "[12.7062047362, 4.3026527297, 3.1824463053, 2.7764451052, 2.5705818366, 2.4469118511, 2.3646242516, 2.3060041352, 2.2621571628, 2.2281388520]"
 
 
 @query("mean_interval", "C18", f"""
