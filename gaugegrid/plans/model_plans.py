@@ -14,7 +14,7 @@ from gaugegrid.operators import serve as SV
 from gaugegrid.operators.trailing import observed_rows
 from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
-from gaugegrid.settings import T2_COLUMNS
+from gaugegrid.settings import BAND_CUTS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
 from gaugegrid.sources.session import use_checkpoints
 
@@ -106,25 +106,54 @@ def rf_forecast(t: Tables):
 @query("tuning", "M09")
 def tuning(t: Tables):
     train, val, _ = _parts(t)
-    return M.tune_logistic(train, val, AS.feature_columns(train.columns), iterations=10)
+    return M.tune_logistic(train, val, AS.feature_columns(train.columns), iterations=ITERATIONS)
 
 
 @query("forest_screening", "M10 O02")
 def forest_screening(t: Tables):
+    """All five settings, with as many trees as the other forests here."""
     use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    grid = {"max_depth": (4, 6), "min_instances": (10, 50), "impurity": ("gini", "entropy")}
-    start = {**M.RF_START, "max_depth": 4, "min_instances": 50, "max_bins": 32}
-    return M.screen_forest(train, val, AS.feature_columns(train.columns), 4, grid, start)
+    grid = {"max_depth": (4, 6, 8), "min_instances": (5, 10, 50), "feature_subset": ("sqrt", "onethird"), "max_bins": (32, 64), "impurity": ("gini", "entropy")}
+    start = {**M.RF_START, "max_depth": 4, "min_instances": 10, "max_bins": 32}
+    return M.screen_forest(train, val, AS.feature_columns(train.columns), TREES, grid, start)
 
 
 @query("tier_ablation", "M11 R10")
 def tier_ablation(t: Tables):
+    use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    build = {"LR": lambda f: M.logistic_pipeline(f, iterations=10)}
+    build = {
+        "LR": lambda f: M.logistic_pipeline(f, iterations=ITERATIONS),
+        "RF": lambda f: M.forest_pipeline(f, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512),
+    }
     return M.tier_ablation(train, val, build)
 
 
+_LR_FEATURES = ["t1_rain_30", "t1_trend_30", "t0_season", "t0_hod_s1", "t0_hod_c1"]
+
+
+@query("lr_inputs", "M02 M03 M04 M05 M06", f"""
+WITH i AS (
+  SELECT station_id, slot, ln(1 + t1_rain_30) AS log_t1_rain_30, sign(t1_trend_30) * ln(1 + abs(t1_trend_30)) AS log_t1_trend_30,
+    round(sin(2 * pi() * h), 6) AS t0_hod_s1, round(cos(2 * pi() * h), 6) AS t0_hod_c1, CAST(season = 0 AS DOUBLE) AS season_0,
+    CAST(season = 1 AS DOUBLE) AS season_1, len(list_filter({list(BAND_CUTS["t1_rain_30"])}, lambda c: c <= t1_rain_30)) AS band
+  FROM (SELECT station_id, slot, ts, (hour(ts) * 60 + minute(ts)) / 1440.0::DOUBLE AS h, {season_sql("month(ts)")} AS season FROM g_labels) JOIN g_t1 USING (station_id, slot)
+)
+SELECT station_id, slot, round(log_t1_rain_30 / (SELECT stddev_samp(log_t1_rain_30) FROM i), 6) AS log_t1_rain_30,
+  round(log_t1_trend_30 / (SELECT stddev_samp(log_t1_trend_30) FROM i), 6) AS log_t1_trend_30, season_0, season_1,
+  {", ".join(f"CAST(band = {k} AS DOUBLE) AS t1_rain_30_band_{k}" for k in range(len(BAND_CUTS["t1_rain_30"])))},
+  {", ".join(f"round(season_{c} * t0_hod_{w}, 6) AS season_{c}_t0_hod_{w}" for c in (0, 1) for w in ("s1", "c1"))}
+FROM i""")
+def lr_inputs(t: Tables):
+    """The linear terms of some features of each kind; the logged ones divided by their standard deviation, as before a fit."""
+    terms = M.linear_terms(_LR_FEATURES, bands=True)
+    rows = assembled(t).selectExpr("station_id", "slot", *[f"{sql} AS {name}" for name, sql in terms.items()])
+    scale = {n: rows.select(F.stddev_samp(n)).scalar() for n in ("log_t1_rain_30", "log_t1_trend_30")}
+    values = [F.round(F.col(n) / scale[n], 6) if n in scale else F.round(F.col(n), 6) for n in terms if n not in ("t0_hod_s1", "t0_hod_c1")]
+    return rows.select("station_id", "slot", *[(v + 0.0).alias(n) for v, n in zip(values, [n for n in terms if n not in ("t0_hod_s1", "t0_hod_c1")])])
+
+
 def _final(t: Tables):
     """The forest refitted on training and validation rows."""
     use_checkpoints(t.spark)
