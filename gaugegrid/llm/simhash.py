@@ -15,6 +15,9 @@ Rows with equal fingerprints are one node. Before the search every fingerprint i
 close enough, and the search leaves out pairs that are connected already: a large group of near copies is mostly a star and not
 the square of its size. Components come from :mod:`components`.
 
+With a ``similarity``, a link also needs that Jaccard similarity of the shingle sets, estimated from the ``SKETCH`` smallest shingle hashes of
+both: wider distances, which similar texts need, then bring no chance pairs.
+
 Defined results: a text without words (null, empty, blank) has fingerprint 0, linked like any other; a text of fewer words than a
 shingle is one shingle; an exact half of set bits gives 0; repeated rows are one node; a null id counts after all others; an empty table
 gives an empty result.
@@ -40,34 +43,46 @@ BITS = 64
 PARTS = (2, 3, 4, 5)
 #: Cost of a row that is dealt to a bucket, in units of one verified candidate.
 ROW_COST = 8.0
+#: Differing bits of texts that are similar to four fifths, for most of them; such links are checked against the shingles.
+WIDE_DISTANCE = 8
+#: Smallest shingle hashes of a sketch.
+SKETCH = 64
 #: Hashes turned into bits at once.
 _BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """The fingerprint of one text as an unsigned number."""
+def _hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, block by block; none for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z, splits at 0x20 and 0x09-0x0D
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
-    for start in range(0, n, _BLOCK):
-        part = words[start:min(start + _BLOCK, n) + shingle - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype=">u8")
+    if len(words) < shingle:
+        words = [b" ".join(words)] if words else []
+        shingle = 1
+    for start in range(0, len(words) - shingle + 1, _BLOCK):
+        part = words[start:start + _BLOCK + shingle - 1]
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
+        yield np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype=">u8")
+
+
+def fingerprint(text: str | None, shingle: int, seed: int) -> tuple[int, np.ndarray]:
+    """The fingerprint of one text as an unsigned number, and its sketch: the smallest distinct hashes, as 32 bits each."""
+    ones, n, least = np.zeros(BITS, np.int64), 0, np.array([], np.uint32)
+    for hashes in _hashes(text, shingle, seed):
         ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        n += len(hashes)
+        least = np.unique(np.concatenate([least, (hashes & 0xFFFFFFFF).astype(np.uint32)]))[:SKETCH]
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"), least
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(key, fp) of every row; ``fp`` is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
+    """(key, fp, sketch) of every row; ``fp`` is the fingerprint as a signed long, the sketch is empty unless asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            signed = np.array(found, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], names=["key", "fp"])
+            signed = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
+            sketches = pa.array([least.astype(np.int64) if sketch else [] for _, least in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64()), sketches], names=["key", "fp", "sketch"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long, sketch array<long>")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -205,15 +220,30 @@ def _close(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(u, v) of links between fingerprints that connect all that are linked, directly or over others; ``distinct``: (fp, n)."""
+def similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sketches give an estimated Jaccard similarity of at least ``similarity``.
+
+    Of the smallest hashes of both texts together, the share that both have; two empty sketches are equal.
+    """
+    a, b = (sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
+    both = pairs.join(a, "u").join(b, "v")
+    union = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, SKETCH)
+    common = F.size(F.array_intersect(union, F.array_intersect("sketch_u", "sketch_v")))
+    return both.where(common >= similarity * F.size(union)).select("u", "v")
+
+
+def links(distinct: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
+    """(u, v) of links between fingerprints that connect all that are linked, directly or over others; ``distinct``: (fp, n, sketch)."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs if similarity is None else similar(pairs, distinct, similarity)
+
     parts, limits = plan_parts(distinct, distance)
     index = saved(part_values(distinct, parts))
-    often = index.join(distinct, "fp").groupBy("part", "value").agg(F.max_by("fp", F.struct("n", "fp")).alias("head"))
-    stars = saved(
+    often = index.join(distinct.select("fp", "n"), "fp").groupBy("part", "value").agg(F.max_by("fp", F.struct("n", "fp")).alias("head"))
+    stars = saved(linked(
         index.join(often, ["part", "value"]).where(_close(F.col("fp"), F.col("head"), distance)).where("fp <> head")
         .select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
-    )
+    ))
     roots = components(stars).withColumnRenamed("u", "fp")
     rooted = saved(index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     crowded = rooted.groupBy("part", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -227,17 +257,18 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
         probes(rooted.where(~F.col("part").isin(exact)), parts, limits).join(other, ["part", "value"])
         .where("fp < v AND root <> other").where(_close(F.col("fp"), F.col("v"), distance))
     )
-    found = [half.select(F.col("fp").alias("u"), "v") for half in (same, wide)]
-    return stars.unionByName(found[0]).unionByName(found[1])
+    found = same.unionByName(wide).select(F.col("fp").alias("u"), "v")
+    return stars.unionByName(linked(found if similarity is None else saved(found.distinct())))
 
 
 def near_duplicates(
     docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = 4, shingle: int = 4, seed: int = 42,
+    similarity: float | None = None,
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach."""
-    rows = saved(fingerprints(docs, text, key, shingle, seed))
-    distinct = saved(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")))
-    roots = components(links(distinct.select("fp", "n"), distance)).withColumnRenamed("u", "fp")
+    rows = saved(fingerprints(docs, text, key, shingle, seed, similarity is not None))
+    distinct = saved(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min("sketch").alias("sketch")))
+    roots = components(links(distinct, distance, similarity)).withColumnRenamed("u", "fp")
     rooted = saved(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = saved(rooted.join(least, "root").select("fp", "component_id"))
@@ -246,7 +277,9 @@ def near_duplicates(
     )
 
 
-def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents with one of each group of near copies, the one with the smallest id; shingles of five words, similarity 0.8."""
-    found = near_duplicates(docs, text, key)
+def one_per_group(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = WIDE_DISTANCE, shingle: int = 5, similarity: float = 0.8,
+) -> DataFrame:
+    """The documents with one of each group of near copies, the one with the smallest id; rows that share an id stay or go together."""
+    found = near_duplicates(docs, text, key, distance, shingle, similarity=similarity)
     return keep_rows(docs, found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct(), key)
