@@ -39,6 +39,7 @@ def _near(readings: DataFrame, stations: DataFrame, within_km: float) -> DataFra
 
 def lagged_sums(
     readings: DataFrame, max_lag: int, by: Column | None = None, stations: DataFrame | None = None, within_km: float | None = None,
+    block: int = BLOCK_SLOTS,
 ) -> DataFrame:
     """Joint counts and sums of every ordered station pair (``i`` at t, ``j`` at t + lag) for lags 0..``max_lag``.
 
@@ -47,7 +48,7 @@ def lagged_sums(
     are never joined slot by slot. Blocks add up by a grouped sum that Spark combines before its shuffle. Sums are in whole tenths and
     therefore exact. ``by`` (a function of the slot) splits the reference time t, e.g. by season or year.
     """
-    size = max(8 * max_lag, BLOCK_SLOTS)
+    size = max(8 * max_lag, block)
     reach = float("inf") if within_km is None else within_km
 
     def products(key, pdf):

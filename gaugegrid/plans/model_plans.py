@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from gaugegrid.operators import assembly as AS
@@ -16,7 +15,7 @@ from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
 from gaugegrid.settings import BAND_CUTS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
-from gaugegrid.sources.session import use_checkpoints
+from gaugegrid.sources.session import stored, use_checkpoints
 
 KEEP = 0.25
 #: Small settings, so that a query that fits models ends in seconds on the small tables.
@@ -24,14 +23,14 @@ TREES, DEPTH, ITERATIONS = 8, 6, 40
 
 
 def assembled(t: Tables):
-    observed = observed_rows(t.readings(), GRID).persist(StorageLevel.MEMORY_AND_DISK)
+    observed = observed_rows(t.readings(), GRID)
     stations, labels = t.stations(), observed.where("label is not null")
     statics = N.station_statics(labels.where(F.col("slot") < VALIDATION_FROM), stations)
     return AS.assemble(labels, statics, N.neighbour_features(observed, stations, GRID))
 
 
 def _parts(t: Tables):
-    rows = assembled(t).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = stored(assembled(t))
     parts = AS.chronological_split(rows, "slot", VALIDATION_FROM, TEST_FROM)
     return AS.stratified_sample(parts["train"].drop("w"), KEEP), parts["val"], parts["test"]
 
@@ -158,7 +157,7 @@ def _final(t: Tables):
     """The forest refitted on training and validation rows."""
     use_checkpoints(t.spark)
     train, val, test = _parts(t)
-    fit = train.unionByName(val).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = stored(train.unionByName(val))
     features = AS.feature_columns(fit.columns)
     model = M.forest_pipeline(features, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512).fit(fit)
     return model, features, fit, test

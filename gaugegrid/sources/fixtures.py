@@ -6,7 +6,6 @@ and labelled rows from ``events`` and ``lineitem``. Everything is lazy and grows
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +27,6 @@ FAULTS = (
 class Tables:
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
-        self._labels: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
@@ -94,10 +92,8 @@ class Tables:
         ).agg(F.sum("l_quantity").alias("value"))
 
     def labels(self) -> DataFrame:
-        """Labelled rows, persisted because a query that splits them reads them several times."""
-        if self._labels is None:
-            self._labels = label_rows(self.readings(), GRID).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._labels
+        """Labelled rows."""
+        return label_rows(self.readings(), GRID)
 
     def trailing(self) -> DataFrame:
         return trailing_features(self.readings(), GRID)

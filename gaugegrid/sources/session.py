@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "gaugegrid", cores: int | None = None, memory: str | None = None) -> SparkSession:
@@ -40,3 +41,10 @@ def use_checkpoints(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="gaugegrid-checkpoints-"))
     return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the checkpoint folder and read back, for steps that read them several times."""
+    path = f"{use_checkpoints(df.sparkSession).rstrip('/')}/gaugegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

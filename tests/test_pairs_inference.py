@@ -25,7 +25,7 @@ def test_lagged_correlation_across_blocks(spark, small):
         x, y = np.array(pairs).T
         assert r.r == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert len(whole) == 3 * 9
-    sums = P.lagged_sums(rows, 4, cells=1)  # blocks of 64 slots become the smallest allowed
+    sums = P.lagged_sums(rows, 4, block=1)  # eight lags is the smallest block
     assert sums.count() == 6 * 5 and set(sums.select("i").distinct().toPandas()["i"]) == set(names)
 
 
@@ -56,7 +56,7 @@ def test_core_stations_drop_the_worst_first(spark):
             break
         keep.remove(worst)
     pairs = spark.createDataFrame([(a, b, v) for (a, b), v in n.items()], "i string, j string, n int")
-    assert {r.station_id for r in R.core_stations(pairs, 10).collect()} == keep
+    assert {r.station_id for r in R.core_stations(pairs, spark.createDataFrame([(x,) for x in names], "station_id string"), 10).collect()} == keep
 
 
 def test_rand_index_limits(spark):
