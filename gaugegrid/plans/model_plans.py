@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugegrid.operators import assembly as AS
+from gaugegrid.operators import baselines as B
+from gaugegrid.operators import inference as I
 from gaugegrid.operators import mapper as MP
 from gaugegrid.operators import models as M
 from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import scoring as S
 from gaugegrid.operators import serve as SV
 from gaugegrid.operators.trailing import observed_rows
+from gaugegrid.plans import score_plans as SP
 from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
 from gaugegrid.settings import BAND_CUTS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
+from gaugegrid.sources.readers import load_model
 from gaugegrid.sources.session import stored, use_checkpoints
+from gaugegrid.sources.sinks import save_model
 
 KEEP = 0.25
 #: Small settings, so that a query that fits models ends in seconds on the small tables.
@@ -190,10 +197,63 @@ def serve_many(t: Tables):
         t.gauge_events().where(F.col("slot") >= TEST_FROM)
         .select("station_id", F.col("ts").alias("at"), F.explode(F.array(F.lit(0.0), F.lit(3.0), F.lit(10.0))).alias("theta"))
     )
-    served = SV.serve(asked, test, model, MP.fit_mapper(fit, F.col("w")), GRID)
+    folder = f"{use_checkpoints(t.spark).rstrip('/')}/serving-{uuid.uuid4().hex}"
+    save_model(model, f"{folder}/model")
+    MP.fit_mapper(fit, F.col("w")).write.parquet(f"{folder}/mapper")
+    served = SV.serve_model(asked, test, load_model(f"{folder}/model"), t.spark.read.parquet(f"{folder}/mapper"), GRID)
     return SV.with_outcome(served, t.labels(), GRID)
 
 
+def _five(t: Tables):
+    """Test rows with the probabilities of the three counting forecasts and of both models, all fitted on the rows before."""
+    use_checkpoints(t.spark)
+    train, val, test = _parts(t)
+    fit, features = stored(train.unionByName(val)), AS.feature_columns(train.columns)
+    before = t.labels().where(F.col("slot") < TEST_FROM)
+    rows = test.select("station_id", "slot", "ts", "y_mm", "label", "past30_mm", "regime")
+    rows = B.predict_climatology(B.fit_climatology(before, SP.STRENGTH), rows, "climatology")
+    rows = B.predict_persistence(B.fit_persistence(before), B.predict_constant(B.fit_constant(before), rows, "constant"), "persistence")
+    models = {
+        "LR": M.logistic_pipeline(features, bands=True, iterations=ITERATIONS),
+        "RF": M.forest_pipeline(features, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512),
+    }
+    for name, pipeline in models.items():
+        probs = M.class_probabilities(pipeline.fit(fit), test, "station_id", "slot").withColumnRenamed("probs", name)
+        rows = rows.join(probs, ["station_id", "slot"])
+    return rows
+
+
+FIVE = [*SP.NAMES, "LR", "RF"]
+
+
+@query("five_scores", "M14 A25")
+def five_scores(t: Tables):
+    """All scores of the five forecasts on the test rows, by regime."""
+    long = S.side_by_side(stored(_five(t)), FIVE, ["station_id", "slot", "label", "regime"])
+    return S.score(S.with_subsets(long), "forecast", "subset")
+
+
+@query("five_bootstrap", "O11 M14")
+def five_bootstrap(t: Tables):
+    """RPS of the five forecasts over resampled days, and what the forest gains on the regression and on persistence."""
+    rows = stored(_five(t)).select("ts", "label", *[S.exceedances(F.col(n)).alias(n) for n in FIVE])
+    daily = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), *[F.sum(S.rps(n)).alias(n) for n in FIVE])
+    return I.block_bootstrap(daily, FIVE, 400, [("RF", "LR"), ("RF", "persistence")])
+
+
+@query("serve_counting", "M15 J15 J16 P22", f"""
+SELECT a.station_id, a.at, x.theta, f.ts AS from_time, round({SP._exceed()}, 6) AS p, f.y_mm FROM (
+  SELECT station_id, ts AS at, slot FROM g_events WHERE slot BETWEEN {VALIDATION_FROM} AND {TEST_FROM - 1}) a
+CROSS JOIN {SP._theta_cte((0.0, 3.0, 10.0))} x LEFT JOIN (SELECT * FROM g_fc WHERE forecast = 'climatology') f ON f.station_id = a.station_id AND f.slot = a.slot""")
+def serve_counting(t: Tables):
+    """Every event of the validation period asks the climatology for its own time, at three thresholds."""
+    asked = t.gauge_events().where(F.col("slot").between(VALIDATION_FROM, TEST_FROM - 1))
+    asked = asked.select("station_id", F.col("ts").alias("at"), F.explode(F.array(F.lit(0.0), F.lit(3.0), F.lit(10.0))).alias("theta"))
+    forecast = SP.forecasts(t).select("station_id", "slot", S.exceedances(F.col("climatology")).alias("exc"))
+    served = SV.with_outcome(SV.serve(asked, forecast, MP.fit_mapper(t.train_labels()), GRID), t.labels(), GRID)
+    return served.select("station_id", "at", "theta", F.when(F.col("p").isNotNull(), F.col("from_time")).alias("from_time"), F.round("p", 6).alias("p"), "y_mm")
+
+
 @query("feature_columns", "M01 S07", "SELECT * FROM (VALUES ('t0', 15), ('t1', 11), ('t2', 15), ('t3', 17)) v(tier, columns) WHERE (SELECT count(*) FROM g_labels) > 0")
 def feature_count(t: Tables):
     rows = assembled(t)
