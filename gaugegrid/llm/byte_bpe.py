@@ -32,6 +32,8 @@ from gaugegrid.llm.common import saved
 
 #: Encoded pieces that every task gets, at most, and the bytes of the longest.
 DICTIONARY, LONGEST = 1 << 19, 48
+#: Pieces whose ids are put together at once.
+_PIECES = 200_000
 #: Small maps that hold the ranks.
 BUCKETS = 1 << 15
 
@@ -163,7 +165,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
             words = pc.list_flatten(column).cast(pa.string()).dictionary_encode()
             at = pc.index_in(words.dictionary, value_set=names)
             lost = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-            if len(kept) > 200_000:
+            if len(kept) > 50_000:
                 kept.clear()
             own = []
             for word in words.dictionary.take(pa.array(lost)).to_pylist():
@@ -180,12 +182,18 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
             starts[lost] = len(flat) + np.cumsum(sizes[lost]) - sizes[lost]
             every = np.concatenate([flat, np.fromiter((i for ids in own for i in ids), np.int64)]).astype(np.int32)
             codes = words.indices.to_numpy(zero_copy_only=False)
-            width = sizes[codes]
-            upto = np.concatenate([[0], np.cumsum(width)])
-            ids = every[np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], width)]
-            rows = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            offsets = pa.array(upto[rows].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], names=["key", "ids"])
+            upto = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            row = 0
+            while row < len(column):  # some rows at a time: the ids of a batch are several times its pieces
+                end = max(row + 1, int(np.searchsorted(upto, upto[row] + _PIECES, side="right")) - 1)
+                some = codes[upto[row]:upto[end]]
+                width = sizes[some]
+                ends_of = np.concatenate([[0], np.cumsum(width)])
+                ids = every[np.arange(ends_of[-1]) + np.repeat(starts[some] - ends_of[:-1], width)]
+                offsets = pa.array(ends_of[upto[row:end + 1] - upto[row]].astype(np.int32))
+                lists_of = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists_of], names=["key", "ids"])
+                row = end
 
     return split.mapInArrow(run, f"key {split.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
