@@ -181,16 +181,14 @@ def within_across(pairs: DataFrame, members: DataFrame, bands=CLUSTER_TEST_BANDS
 
 def rank_test(rows: DataFrame, keys: list[str], value: str, inside: str, cells: list[float] | None = None) -> DataFrame:
     """One-sided Mann-Whitney comparison of the ``inside`` rows with the others, per key."""
-    ranked = average_ranks(rows, keys, value, cells)
-    t = F.col("tied").cast("double")
-    # a value with t tied rows contributes t * (t^2 - 1) / t from each of them
-    s = ranked.groupBy(*keys).agg(
-        F.count(F.when(F.col(inside), True)).alias("n_within"),
-        F.count(F.when(~F.col(inside), True)).alias("n_across"),
-        F.percentile(F.when(F.col(inside), F.col(value)), 0.5).alias("within"),
-        F.percentile(F.when(~F.col(inside), F.col(value)), 0.5).alias("across"),
-        F.sum(F.when(F.col(inside), F.col("rank"))).alias("rank_sum"),
-        F.sum(t * t - 1).alias("tie_term"),
+    sides = {"_in": F.count_if(F.col(inside)), "_out": F.count_if(~F.col(inside))}
+    ties = rows.where(F.col(inside).isNotNull()).groupBy(*keys, value).agg(*[c.alias(k) for k, c in sides.items()], F.count(F.lit(1)).alias("n"))
+    t = F.col("n").cast("double")
+    # a value with t tied rows contributes t * (t^2 - 1)
+    s = average_ranks(ties, keys, value, "n", cells).groupBy(*keys).agg(
+        F.sum("_in").alias("n_within"), F.sum("_out").alias("n_across"),
+        F.percentile(value, 0.5, F.col("_in")).alias("within"), F.percentile(value, 0.5, F.col("_out")).alias("across"),
+        F.sum(F.col("_in") * F.col("rank")).alias("rank_sum"), F.sum(t * (t * t - 1)).alias("tie_term"),
     )
     n1, n2 = F.col("n_within").cast("double"), F.col("n_across").cast("double")
     n = n1 + n2

@@ -68,10 +68,10 @@ def test_rand_index_limits(spark):
 
 def test_average_ranks_over_any_cells(spark):
     values = [3.0, 1.0, 3.0, 2.0, 9.0, 3.0, 1.0]
-    rows = spark.createDataFrame([("k", v) for v in values], "key string, v double")
+    rows = spark.createDataFrame([("k", v, values.count(v)) for v in set(values)], "key string, v double, n long")
     want = [sorted(values).index(v) + 1 + (values.count(v) - 1) / 2 for v in sorted(values)]
     for cells in ([0.0], [1.5, 2.5], [1.0, 2.0, 3.0, 4.0]):
-        assert sorted(r["rank"] for r in average_ranks(rows, ["key"], "v", cells).collect()) == want
+        assert sorted(r["rank"] for r in average_ranks(rows, ["key"], "v", "n", cells).collect() for _ in range(r.n)) == want
 
 
 @pytest.fixture(scope="module")
