@@ -71,14 +71,14 @@ def neighbour_counts(stations: DataFrame, radius_km: float = R_NEAR) -> DataFram
     )
 
 
-def upstream_reach() -> float:
+def upstream_reach(motion: dict = MOTION) -> float:
     """Farthest neighbour that an upstream kernel can give weight to."""
-    return max(v for _, v in MOTION.values()) * max(UPSTREAM_MINUTES) / 60 + UPSTREAM_CUT_KM
+    return max(v for _, v in motion.values()) * max(UPSTREAM_MINUTES) / 60 + UPSTREAM_CUT_KM
 
 
-def _kernel(season: int, minutes: int) -> Column:
+def _kernel(motion: tuple[float, float], minutes: int) -> Column:
     """Gaussian weight of ``j`` around the point that rain moving over ``s`` left ``minutes`` ago."""
-    heading, speed = MOTION[season]
+    heading, speed = motion
     step = speed * minutes / 60
     px = F.col("sx") - step * math.sin(math.radians(heading))
     py = F.col("sy") - step * math.cos(math.radians(heading))
@@ -87,7 +87,7 @@ def _kernel(season: int, minutes: int) -> Column:
     return F.when(d <= UPSTREAM_CUT_KM, F.exp(scaled * scaled * -0.5)).otherwise(0.0)
 
 
-def neighbour_weights(stations: DataFrame) -> DataFrame:
+def neighbour_weights(stations: DataFrame, motion: dict = MOTION) -> DataFrame:
     """Every weight a neighbour ``j`` has for a station ``s``, plus one self row per station (``is_self``).
 
     ``w_idw``/``w_far``: inverse squared distance inside 10 km and from 10 to 25 km; ``in_5``/``in_10``: flags;
@@ -96,8 +96,8 @@ def neighbour_weights(stations: DataFrame) -> DataFrame:
     """
     d, apart = F.col("dist_km"), F.col("dist_km") > 0
     idw = 1 / F.pow(F.greatest(d, F.lit(IDW_FLOOR_KM)), 2)
-    kernels = {(m, c): f"k{m}_{c}" for m in UPSTREAM_MINUTES for c in MOTION}
-    weights = station_pairs(stations, max(NO_RAIN_KM, upstream_reach())).select(
+    kernels = {(m, c): f"k{m}_{c}" for m in UPSTREAM_MINUTES for c in motion}
+    weights = station_pairs(stations, max(NO_RAIN_KM, upstream_reach(motion))).select(
         "s",
         "j",
         F.when(apart, d).otherwise(F.lit(NO_RAIN_KM)).alias("dist_km"),
@@ -108,7 +108,7 @@ def neighbour_weights(stations: DataFrame) -> DataFrame:
         F.when(apart & (d <= R_FAR), F.floor(F.pmod(F.col("bearing") + 45, F.lit(360.0)) / 90).cast("int"))
         .otherwise(-1)
         .alias("quadrant"),
-        *[_kernel(c, m).alias(name) for (m, c), name in kernels.items()],
+        *[_kernel(motion[c], m).alias(name) for (m, c), name in kernels.items()],
         F.lit(0).alias("is_self"),
     )
     useful = (F.col("dist_km") < NO_RAIN_KM) | (F.greatest(*[F.col(k) for k in kernels.values()]) > 0)
@@ -171,12 +171,14 @@ def _network(now: Column, w) -> dict[str, Column]:
 
 
 def neighbour_features(
-    trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3"), form: str = "tiled"
+    trailing: DataFrame, stations: DataFrame, grid: Grid, tiers: tuple[str, ...] = ("t2", "t3"), form: str = "tiled",
+    motion: dict[int, tuple[float, float]] = MOTION,
 ) -> DataFrame:
     """Tier 2 and tier 3 of every (station, slot) that reported, in one pass.
 
     ``trailing`` needs ``t1_rain_15`` and ``t1_rain_30``; readings of stations that ``stations`` lacks are left out. Two layouts give the
     same numbers at every size: ``tiled`` works on spatial tiles and blocks of slots, ``joined`` on one row per reading and neighbour.
+    ``motion`` gives each season code its heading (degrees) and speed (km/h), for example from ``pairs.motion_of``.
     """
     lagged = "t3" in tiers
     rows = trailing.select(
@@ -185,12 +187,15 @@ def neighbour_features(
         F.round(F.col("t1_rain_15") * 10).cast("long").alias("r15"),
         F.round(F.col("t1_rain_30") * 10).cast("long").alias("r30"),
     )
-    reach = max(NO_RAIN_KM, upstream_reach() if lagged else 0.0)
-    summaries = tiled_summaries(rows, stations, grid, lagged, reach) if form == "tiled" else joined_summaries(rows, stations, grid, lagged)
+    reach = max(NO_RAIN_KM, upstream_reach(motion) if lagged else 0.0)
+    if form == "tiled":
+        summaries = tiled_summaries(rows, stations, grid, lagged, reach, motion=motion)
+    else:
+        summaries = joined_summaries(rows, stations, grid, lagged, motion)
     return summaries.select("station_id", "slot", F.year(time_of("slot", grid)).alias("year"), *_feature_columns(tiers))
 
 
-def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool) -> DataFrame:
+def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool, motion: dict = MOTION) -> DataFrame:
     """The summaries from a join with the neighbour table.
 
     Rows are hash-partitioned by slot once; where the optimizer can broadcast the neighbour table, the grouping by
@@ -215,13 +220,13 @@ def joined_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: b
         code = season_code(F.month(time_of("slot", grid)))
         for m in UPSTREAM_MINUTES:
             k = F.lit(0.0)
-            for c in MOTION:
+            for c in motion:
                 k = F.when(code == c, F.col(f"k{m}_{c}")).otherwise(k)
             values[f"up{m}_rain"] = _mean(k, F.col("r15") / 10, now)
             values[f"up{m}_wet"] = _mean(k, (F.col("r15") > 0).cast("double"), now)
             values[f"up{m}_nbrs"] = F.count(F.when(now & (k > 0), True)).cast("double")
     carried = {k: F.max(k) for k in network}
-    paired = rows.repartition("slot").withColumns(network).join(neighbour_weights(stations), "j")
+    paired = rows.repartition("slot").withColumns(network).join(neighbour_weights(stations, motion), "j")
     return (
         paired.groupBy("slot", F.col("s").alias("station_id"))
         .agg(

@@ -200,6 +200,12 @@ def motion_fit(lags: DataFrame, least_pairs: int = 2) -> DataFrame:
     )
 
 
+def motion_of(fits: DataFrame, default: dict) -> dict[int, tuple[float, float]]:
+    """Heading and speed by season code from fits whose group is the code (a row each); ``default`` where a season has no fit."""
+    found = {int(r["g"]): (r["heading"], r["speed"]) for r in fits.where("speed IS NOT NULL").select("g", "heading", "speed").collect()}
+    return {code: found.get(code, known) for code, known in default.items()}
+
+
 def along_track(lags: DataFrame, fit: DataFrame) -> DataFrame:
     """Distance of each pair along the fitted motion, beside its lag."""
     f = F.broadcast(fit.select("g", "a", "b"))  # one row per group

@@ -64,9 +64,9 @@ def _weights(east: np.ndarray, north: np.ndarray) -> dict[str, np.ndarray]:
     return out | {side: other & (d <= R_FAR) & (quarter == q) for q, side in enumerate("nesw")}
 
 
-def _upwind(east: np.ndarray, north: np.ndarray, me: int, minutes: int, season: int) -> np.ndarray:
-    """Gaussian weight of every station around the place from which rain reaches the target in so many minutes."""
-    heading, speed = MOTION[season]
+def _upwind(east: np.ndarray, north: np.ndarray, me: int, minutes: int, motion: tuple[float, float]) -> np.ndarray:
+    """Gaussian weight of every station around the place from which rain of that motion reaches the target in so many minutes."""
+    heading, speed = motion
     way = speed * minutes / 60
     d = np.hypot(east + way * math.sin(math.radians(heading)), north + way * math.cos(math.radians(heading)))
     w = np.where(d <= UPSTREAM_CUT_KM, np.exp(-((d / UPSTREAM_SIGMA_KM) ** 2) / 2), 0)
@@ -94,12 +94,14 @@ def _around(w: dict[str, np.ndarray], d: np.ndarray, r15: np.ndarray, r30: np.nd
     return out
 
 
-def tiled_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool, reach_km: float, block: int = BLOCK_SLOTS) -> DataFrame:
+def tiled_summaries(
+    rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bool, reach_km: float, block: int = BLOCK_SLOTS, motion: dict | None = None,
+) -> DataFrame:
     """Summaries now (``now_*``), at the earlier slot (``then_*``) and upstream (``up*``) of every reported row.
 
     ``rows``: ``j``, ``slot``, ``r15``, ``r30`` (tenths). The sums over the whole network are one row per slot, joined at the end.
     """
-    lag = CHANGE_LAG_SLOTS if lagged else 0
+    lag, motion = (CHANGE_LAG_SLOTS if lagged else 0), motion or MOTION
     then = [c for c in CHANGED_COLUMNS if not c.startswith("island")] if lagged else []
     columns = [f"now_{c}" for c in NOW] + [f"then_{c}" for c in then] + list(UP if lagged else ())
 
@@ -128,7 +130,7 @@ def tiled_summaries(rows: DataFrame, stations: DataFrame, grid: Grid, lagged: bo
                 found = _around(w, d, r15[reports - lag], r30[reports - lag], there[reports - lag])
                 values |= {f"then_{c}": found[c] for c in then}
                 for m in UPSTREAM_MINUTES:
-                    kernel = np.array([_upwind(east, north, s, m, code) for code in sorted(MOTION)])[season[reports]]
+                    kernel = np.array([_upwind(east, north, s, m, motion[code]) for code in sorted(motion)])[season[reports]]
                     here = there[reports] * kernel
                     weight = here.sum(axis=1)
                     values[f"up{m}_rain"] = _mean((r15[reports] * here).sum(axis=1) / 10, weight)

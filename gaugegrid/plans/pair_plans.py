@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugegrid.functions.clock import time_of
+from gaugegrid.functions.clock import season_code, time_of
 from gaugegrid.functions.geo import with_xy
 from gaugegrid.operators import inference as I
 from gaugegrid.operators import neighbours as N
@@ -37,6 +37,7 @@ C["g_res"] = " UNION ALL ".join(
     f"SELECT '{g}' AS res, i, j, n, r FROM ({_corr_sql(s, 0)})" for g, s in (("1", "g_readings"), ("2", "g_blocks2"), ("4", "g_blocks4")))
 C["g_res_d"] = "SELECT c.res AS g, c.i, c.j, c.n, c.r, p.dist_km AS d FROM g_res c JOIN g_pairs p ON p.s = c.i AND p.j = c.j WHERE n >= 20 AND r IS NOT NULL"
 _BAND = "CASE " + " ".join(f"WHEN d >= {a} AND d < {b} THEN {k}" for k, (a, b) in enumerate(zip(P.DISTANCE_BANDS, P.DISTANCE_BANDS[1:]))) + " END"
+C["g_season_corr"] = _corr_sql("g_readings", 3, "CASE WHEN month(TIMESTAMP '2024-01-01' + to_seconds(CAST(CASE WHEN l.lag >= 0 THEN a.slot ELSE b.slot END AS BIGINT) * 10800)) IN (12, 1, 2, 3) THEN '0' ELSE '1' END")
 C["g_peaks"] = """
 SELECT g, i, j, arg_max(lag, (round(rr, 12), -lag)) AS slot_lag, max(rr) AS peak_r, arg_max(lo, (round(rr, 12), -lag)) AS lo, arg_max(hi, (round(rr, 12), -lag)) AS hi
 FROM (SELECT *, lag(rr) OVER w AS lo, lead(rr) OVER w AS hi FROM (SELECT g, i, j, lag, coalesce(r, -9) AS rr FROM g_half_corr) WINDOW w AS (PARTITION BY g, i, j ORDER BY lag)) GROUP BY g, i, j"""
@@ -45,6 +46,11 @@ SELECT k.g, k.i, k.j, slot_lag, peak_r, (slot_lag + coalesce(0.5 * (lo - hi) / n
 FROM g_peaks k JOIN g_pairs p ON p.s = k.i AND p.j = k.j
 WHERE peak_r > 0.1 AND slot_lag > -3 AND slot_lag < 3 AND p.dist_km BETWEEN 5 AND 30"""
 
+#: Slots that a pair must share at a lag, and pairs that a season needs, for its motion.
+LEAST_SHARED, LEAST_PAIRS = 60, 5
+C["g_season_peaks"] = C["g_peaks"].replace("g_half_corr", f"g_season_corr WHERE n >= {LEAST_SHARED}")
+C["g_season_best"] = C["g_best"].replace("g_peaks", "g_season_peaks")
+
 
 def _r(*names: str):
     return [F.round(c, 6).alias(c) for c in names]
@@ -126,6 +132,24 @@ def motion_fit(t: Tables):
     return fit.select("g", "pairs", *[F.round(c, 4).alias(c) for c in ("speed", "heading")], *_r("r2"))
 
 
+def season_motion_fits(t: Tables):
+    """Motion per season from pairs in the ring that share enough slots at a lag, where enough pairs have a peak."""
+    season = season_code(F.month(time_of("slot", GRID)))
+    curves = P.lagged_correlation(t.readings(), 3, season, stations=t.stations(), within_km=P_RING[1]).where(F.col("n") >= LEAST_SHARED)
+    lags = P.with_distance(P.best_lags(curves, 180.0), t.stations()).where(F.col("d").between(*P_RING))
+    return P.motion_fit(lags, LEAST_PAIRS)
+
+
+@query("season_motion", "C12", f"""
+SELECT g, pairs, round(60 / sqrt(a * a + b * b), 4) AS speed, round(((degrees(atan2(a, b)) % 360) + 360) % 360, 4) AS heading,
+       round(1 - (tt - a * xt - b * yt) / (tt - t * t / pairs), 6) AS r2 FROM (
+ SELECT *, (yy * xt - xy * yt) / (xx * yy - xy * xy) AS a, (xx * yt - xy * xt) / (xx * yy - xy * xy) AS b FROM (
+  SELECT g, count(*) AS pairs, sum(dx * dx) AS xx, sum(dx * dy) AS xy, sum(dy * dy) AS yy, sum(dx * lag) AS xt, sum(dy * lag) AS yt, sum(lag * lag) AS tt, sum(lag) AS t
+  FROM g_season_best GROUP BY g HAVING count(*) >= {LEAST_PAIRS}))""")
+def season_motion(t: Tables):
+    return season_motion_fits(t).select("g", "pairs", *[F.round(c, 4).alias(c) for c in ("speed", "heading")], *_r("r2"))
+
+
 REGIONS = (
     ("A", 0, ((103.60, 1.20), (103.72, 1.20), (103.72, 1.26), (103.60, 1.26))),
     ("B", 0, ((103.72, 1.20), (103.80, 1.20), (103.80, 1.26), (103.72, 1.26))),

@@ -119,3 +119,16 @@ def test_missing_earlier_slot(spark, stations):
     out = by_key(neighbour_features(trailing_features(rows, GRID), stations, GRID))
     assert out["S000", 10]["t3_d15_max_rain_30"] == 0.5
     assert out["S000", 10]["t3_d15_dist_rain_km"] == pytest.approx(out["S000", 10]["t2_dist_rain_km"] if "t2_dist_rain_km" in out["S000", 10] else 0, abs=30) and out["S000", 10]["t3_d15_dist_rain_km"] < 0
+
+
+def test_motion_is_a_parameter_of_both_layouts(spark, trailing, stations):
+    from gaugegrid.operators.pairs import motion_of
+    from gaugegrid.settings import MOTION
+
+    fits = spark.createDataFrame([("0", 262.0, 12.0), ("2", None, None)], "g string, heading double, speed double")
+    motion = motion_of(fits, MOTION)
+    assert motion == MOTION | {0: (262.0, 12.0)}
+    tiled, joined, usual = (
+        by_key(neighbour_features(trailing, stations, GRID, ("t3",), form=f, motion=m)) for f, m in (("tiled", motion), ("joined", motion), ("tiled", MOTION))
+    )
+    assert tiled != usual and all(abs(row["t3_up15_rain"] - joined[key]["t3_up15_rain"]) <= 1.0001e-4 for key, row in tiled.items())
