@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.geo import with_xy
 from gaugegrid.operators.ranks import average_ranks
-from gaugegrid.settings import CLUSTER_TEST_BANDS, SEED
+from gaugegrid.settings import CLUSTER_TEST_BANDS
 
 
 def read_regions(spark, path: str, name: str = "REGION_N") -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugegrid.functions.clock import season_code, time_of
-from gaugegrid.functions.geo import with_xy
 from gaugegrid.operators import inference as I
 from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import pairs as P
@@ -16,6 +15,7 @@ from gaugegrid.plans import score_plans as SP
 from gaugegrid.plans import sqltext
 from gaugegrid.plans.registry import query
 from gaugegrid.operators import scoring as S
+from gaugegrid.settings import CLUSTER_TEST_BANDS
 from gaugegrid.sources.fixtures import GRID, Tables
 
 C = sqltext.CTES
@@ -218,7 +218,7 @@ SELECT band, n1 AS n_within, n2 AS n_across, round(within, 6) AS within, round(a
   SELECT *, rank() OVER (PARTITION BY band ORDER BY r) + (count(*) OVER (PARTITION BY band, r) - 1) / 2 AS rk, count(*) OVER (PARTITION BY band, r) AS t FROM g_tested WHERE band IS NOT NULL) GROUP BY band)""")
 def rank_test(t: Tables):
     members = R.region_of(t.stations(), region_table(t)).select("station_id", F.col("region").alias("cluster"))
-    near = P.lagged_correlation(t.readings(), stations=t.stations(), within_km=float(P.CLUSTER_TEST_BANDS[-1][1]))
+    near = P.lagged_correlation(t.readings(), stations=t.stations(), within_km=float(CLUSTER_TEST_BANDS[-1][1]))
     pairs = P.with_distance(near, t.stations()).withColumn("r", F.round("r", 9))
     return R.within_across(pairs, members).select("band", "n_within", "n_across", *_r("within", "across"), "u", *_r("z"))
 
