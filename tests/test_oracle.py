@@ -11,7 +11,7 @@ SQL = entry.oracle_sql()
 CHOSEN = [
     "regime_share", "label_rows", "own_trailing", "neighbour_tier", "neighbour_tier_joined", "upstream_tier", "yearly_quality",
     "duplicate_summary", "align_overlap", "mask_faults", "brier_rps", "auc_pr", "rps_by_slice", "wet_day_transition", "lagged_corr",
-    "rank_test", "block_bootstrap", "point_in_region", "stratified_sample",
+    "rank_test", "block_bootstrap", "point_in_region", "stratified_sample", "serve_counting", "season_motion",
 ]
 
 
