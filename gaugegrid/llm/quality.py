@@ -18,10 +18,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugegrid.llm.common import SPACE, SPACE_CLASS, words_of
+from gaugegrid.llm.common import SPACE, words_of
 
 #: Rows of the sample on which cost and selectivity are measured, at most.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 200
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -76,7 +76,7 @@ def rules(m: Mapping[str, Column], text: Column) -> dict[str, Column]:
     return {
         "few_words": m["n_words"] < 50,
         "repeated_words": 100 * m["n_repeat_words"] > 50 * m["n_words"],
-        "many_symbols": 10 * m["n_symbols"] > 5 * m["n_words"],
+        "many_symbols": 20 * m["n_symbols"] > 7 * m["n_words"],
         "repeated_lines": (m["n_dup_lines"] > 3) & (100 * m["n_dup_lines"] > 50 * F.size(F.split(text, "\n"))),
         "short_words": m["word_chars"] < 2 * m["n_words"],
         "long_words": m["word_chars"] > 25 * m["n_words"],
@@ -86,7 +86,8 @@ def rules(m: Mapping[str, Column], text: Column) -> dict[str, Column]:
 
 def cascade_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules, most rejections per second of work first."""
-    sample = _parts(docs.limit(sample_rows), text).persist()
+    rows = docs.select(F.col(text).alias("text")).take(sample_rows)  # reads as many partitions as it needs, and no more
+    sample = _parts(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), "text").persist()
     try:
         n = max(sample.count(), 1)
         worth = {}
@@ -120,21 +121,31 @@ def first_failed(order: list[str], fails: Mapping[str, Column]) -> Column:
     return verdict
 
 
+def _of_parts(then) -> Column:
+    """``then(text, words, lines)`` of a row. The parts are bound once: a filter on the result is pushed below the projection that makes
+    them, and would otherwise cut the text anew for every word."""
+    bound = F.array(F.struct(F.col("text").alias("t"), F.col("words").alias("w"), F.col("lines").alias("l")))
+    return F.get(F.transform(bound, lambda p: then(p["t"], p["w"], p["l"])), F.lit(0))
+
+
 def judged(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
     """(row, failed_rule): every document as a struct of its columns, and the first rule it fails, null where it is kept."""
     order = order or cascade_order(docs, text)
-    return _parts(docs, text).select("row", first_failed(order, _rules_of_parts()).alias("failed_rule"))
+    verdict = _of_parts(lambda t, w, n: first_failed(order, rules(measures(t, w, n), t)))
+    return _parts(docs, text).select("row", verdict.alias("failed_rule"))
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measured(docs: DataFrame, text: str = "text", key: str = "doc_id", order: list[str] | None = None) -> DataFrame:
     """(key, the measures, base_failed, kept): the measures of every document, and the verdict of the cascade over them."""
     order = order or cascade_order(docs, text)
-    parts = _parts(docs.select(key, text), text).withColumns(measures(F.col("text"), F.col("words"), F.col("lines")))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    known = {name: F.col(name) for name in names}
-    fails = rules(known, F.col("text"))
+    found = _of_parts(lambda t, w, n: F.struct(*[c.alias(name) for name, c in measures(t, w, n).items()]))
+    parts = _parts(docs.select(key, text), text).select("row", "text", found.alias("m"))
+    fails = rules({name: F.col(f"m.{name}") for name in NAMES}, F.col("text"))
     return parts.select(
-        F.col(f"row.{key}").alias(key), *names, (fails["few_words"] | fails["repeated_words"]).alias("base_failed"),
+        F.col(f"row.{key}").alias(key), *[f"m.{name}" for name in NAMES], (fails["few_words"] | fails["repeated_words"]).alias("base_failed"),
         first_failed(order, fails).isNull().alias("kept"),
     )
 

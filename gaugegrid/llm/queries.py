@@ -115,7 +115,7 @@ WITH w AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 5 * n_words OR (n_dup_lines > 3 AND 100 * n_dup_lines > 50 * n_lines)
+  NOT (base_failed OR 20 * n_symbols > 7 * n_words OR (n_dup_lines > 3 AND 100 * n_dup_lines > 50 * n_lines)
     OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * n_upper > 70 * word_chars) AS kept
 FROM b
 """
