@@ -45,6 +45,10 @@ PARTS = (2, 3, 4, 5)
 ROW_COST = 8.0
 #: Differing bits of texts that are similar to four fifths, for most of them; such links are checked against the shingles.
 WIDE_DISTANCE = 8
+#: Differing bits that no two unrelated texts come near to: such links need no look at the shingles.
+SURE_DISTANCE = 5
+#: Turns in which every fingerprint is compared with one head of its buckets, before the search for what is left.
+STAR_ROUNDS = 3
 #: Smallest shingle hashes of a sketch.
 SKETCH = 64
 #: Hashes turned into bits at once.
@@ -235,17 +239,23 @@ def similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
 def links(distinct: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
     """(u, v) of links between fingerprints that connect all that are linked, directly or over others; ``distinct``: (fp, n, sketch)."""
     def linked(pairs: DataFrame) -> DataFrame:
-        return pairs if similarity is None else similar(pairs, distinct, similarity)
+        if similarity is None:
+            return pairs
+        pairs, sure = saved(pairs), _close(F.col("u"), F.col("v"), SURE_DISTANCE)
+        return pairs.where(sure).unionByName(similar(pairs.where(~sure), distinct, similarity))
 
     parts, limits = plan_parts(distinct, distance)
-    index = saved(part_values(distinct, parts))
-    often = index.join(distinct.select("fp", "n"), "fp").groupBy("part", "value").agg(F.max_by("fp", F.struct("n", "fp")).alias("head"))
-    stars = saved(linked(
-        index.join(often, ["part", "value"]).where(_close(F.col("fp"), F.col("head"), distance)).where("fp <> head")
-        .select(F.col("fp").alias("u"), F.col("head").alias("v")).distinct()
-    ))
-    roots = components(stars).withColumnRenamed("u", "fp")
-    rooted = saved(index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    index = saved(part_values(distinct, parts).join(distinct.select("fp", "n"), "fp"))
+    stars, rooted = None, index.withColumn("root", F.col("fp"))
+    for turn in range(STAR_ROUNDS):  # the first heads are the most frequent fingerprints, the later ones any
+        first = F.struct("n", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
+        heads = rooted.groupBy("part", "value").agg(F.max_by(F.struct("fp", "root"), first).alias("head"))
+        near = rooted.join(heads, ["part", "value"]).where(_close(F.col("fp"), F.col("head.fp"), distance)).where(F.col("root") != F.col("head.root"))
+        new = linked(near.select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct())
+        stars = saved(new if stars is None else stars.unionByName(new))
+        roots = components(stars).withColumnRenamed("u", "fp")
+        rooted = saved(index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    rooted = rooted.drop("n")
     crowded = rooted.groupBy("part", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     other = rooted.select("part", "value", F.col("fp").alias("v"), F.col("root").alias("other"))
     exact = [k for k, t in enumerate(limits) if t == 0]
@@ -258,7 +268,7 @@ def links(distinct: DataFrame, distance: int, similarity: float | None = None) -
         .where("fp < v AND root <> other").where(_close(F.col("fp"), F.col("v"), distance))
     )
     found = same.unionByName(wide).select(F.col("fp").alias("u"), "v")
-    return stars.unionByName(linked(found if similarity is None else saved(found.distinct())))
+    return stars.unionByName(linked(found.distinct()))
 
 
 def near_duplicates(
