@@ -11,12 +11,13 @@ value of each part, the other probes all values within t_p bits, and what meets
   thresholds are scaled by the odds of so many differing bits. Dynamic programming picks thresholds of least total cost, for every number
   of parts; the cheapest number is taken.
 
-Rows with equal fingerprints are one node. Before the search every fingerprint is linked to the most frequent one of its bucket if they are
+Without a ``similarity``, rows with equal fingerprints are one node. Before the search every fingerprint is linked to the most frequent one of its bucket if they are
 close enough, and the search leaves out pairs that are connected already: a large group of near copies is mostly a star and not
 the square of its size. Components come from :mod:`components`.
 
-With a ``similarity``, a link also needs that Jaccard similarity of the shingle sets, estimated from the ``SKETCH`` smallest shingle hashes of
-both: wider distances, which similar texts need, then bring no chance pairs.
+With a ``similarity``, a node is a shingle set, its fingerprint counts every shingle once, and every link, also one between equal
+fingerprints, needs that Jaccard similarity of both sets: pairs whose ``SKETCH`` smallest hashes come within ``MARGIN`` of it are compared on all
+hashes. Wider distances, which similar texts need, then bring no chance pairs.
 
 Defined results: a text without words (null, empty, blank) has fingerprint 0, linked like any other; a text of fewer words than a
 shingle is one shingle; an exact half of set bits gives 0; repeated rows are one node; a null id counts after all others; an empty table
@@ -45,12 +46,14 @@ PARTS = (2, 3, 4, 5)
 ROW_COST = 8.0
 #: Differing bits of texts that are similar to four fifths, for most of them; such links are checked against the shingles.
 WIDE_DISTANCE = 8
-#: Differing bits that no two unrelated texts come near to: such links need no look at the shingles.
-SURE_DISTANCE = 5
 #: Turns in which every fingerprint is compared with one head of its buckets, before the search for what is left.
 STAR_ROUNDS = 3
 #: Smallest shingle hashes of a sketch.
 SKETCH = 64
+#: Similarity by which a sketch may fall short before the whole sets are compared: four standard errors.
+MARGIN = 0.2
+#: Nodes whose shingle sets are picked by a broadcast, at most; more are joined by shuffle.
+PICKED = 1 << 19
 #: Hashes turned into bits at once.
 _BLOCK = 1 << 14
 
@@ -77,16 +80,44 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> tuple[int, np.ndar
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"), least
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, seed: int = 42, sketch: bool = False) -> DataFrame:
-    """(key, fp, sketch) of every row; ``fp`` is the fingerprint as a signed long, the sketch is empty unless asked for."""
+def shingle_set(text: str | None, shingle: int, seed: int) -> tuple[int, int, np.ndarray]:
+    """The fingerprint of one text with every shingle counted once, a digest of its shingle set, and the sorted distinct hashes."""
+    found = list(_hashes(text, shingle, seed))
+    hashes = np.unique(np.concatenate(found).astype(np.uint64)) if found else np.array([], np.uint64)
+    ones = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[start:start + _BLOCK].astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"), xxhash.xxh64_intdigest(hashes.tobytes(), seed), hashes
+
+
+def _signed(numbers: list[int]) -> pa.Array:
+    return pa.array(np.array(numbers, dtype=np.uint64).view(np.int64), pa.int64())
+
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(key, fp, node) of every row; ``fp`` is the fingerprint as a signed long, and the node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            signed = np.array([fp for fp, _ in found], dtype=np.uint64).view(np.int64)
-            sketches = pa.array([least.astype(np.int64) if sketch else [] for _, least in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64()), sketches], names=["key", "fp", "sketch"])
+            signed = _signed([fingerprint(t.as_py(), shingle, seed)[0] for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, signed], names=["key", "fp", "node"])
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long, sketch array<long>")
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long, node long")
+
+
+def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(key, fp, node, sketch, shingles) of every row; the node is the digest of the shingle set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                found = [shingle_set(t.as_py(), shingle, seed) for t in part.column(1)]
+                sketches = pa.array([np.unique(h.astype(np.uint32))[:SKETCH].astype(np.int64) for _, _, h in found], pa.list_(pa.int64()))
+                sets = pa.array([h.view(np.int64) for _, _, h in found], pa.list_(pa.int64()))
+                fps, nodes = _signed([f for f, _, _ in found]), _signed([d for _, d, _ in found])
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, nodes, sketches, sets], names=["key", "fp", "node", "sketch", "shingles"])
+
+    kind = "key long, fp long, node long, sketch array<long>, shingles array<long>"
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, kind)
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -162,16 +193,16 @@ def _values(bits: np.ndarray, part: list[int]) -> np.ndarray:
 
 
 def part_values(distinct: DataFrame, parts: list[list[int]]) -> DataFrame:
-    """(part, value, fp) of every fingerprint and part."""
+    """(part, value, fp, node) of every node and part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             bits = _bits(fp)
             for k, part in enumerate(parts):
-                arrays = [pa.array(np.full(len(fp), k, np.int32)), pa.array(_values(bits, part)), pa.array(fp)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["part", "value", "fp"])
+                arrays = [pa.array(np.full(len(fp), k, np.int32)), pa.array(_values(bits, part)), batch.column(0), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "value", "fp", "node"])
 
-    return distinct.select("fp").mapInArrow(run, "part int, value long, fp long")
+    return distinct.select("fp", "node").mapInArrow(run, "part int, value long, fp long, node long")
 
 
 def plan_parts(distinct: DataFrame, distance: int) -> tuple[list[list[int]], list[int]]:
@@ -197,7 +228,7 @@ def plan_parts(distinct: DataFrame, distance: int) -> tuple[list[list[int]], lis
 
 
 def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFrame:
-    """(part, value, fp, root) under every value that differs in at most the part's threshold of bits."""
+    """(part, value, fp, node, root, flip) under every value that differs in at most the part's limit of bits, those in ``flip``."""
     masks = []
     for part, t in zip(parts, limits):
         flips = [sum(1 << b for b in chosen) for k in range(t + 1) for chosen in combinations(range(len(part)), k)]
@@ -205,7 +236,7 @@ def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, value, fp, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            k, value, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             for part in np.unique(k):
                 at = np.flatnonzero(k == part)
                 step = max(1, (1 << 17) // len(masks[part]))
@@ -214,10 +245,11 @@ def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFr
                     width = len(masks[part])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(some) * width, part, np.int32)), pa.array((value[some][:, None] ^ masks[part][None, :]).ravel()),
-                        pa.array(np.repeat(fp[some], width)), pa.array(np.repeat(root[some], width)),
-                    ], names=["part", "value", "fp", "root"])
+                        *(pa.array(np.repeat(x[some], width)) for x in rest), pa.array(np.tile(masks[part], len(some))),
+                    ], names=["part", "value", "fp", "node", "root", "flip"])
 
-    return rows.select("part", "value", "fp", "root").mapInArrow(run, "part int, value long, fp long, root long")
+    kind = "part int, value long, fp long, node long, root long, flip long"
+    return rows.select("part", "value", "fp", "node", "root").mapInArrow(run, kind)
 
 
 def _close(a: Column, b: Column, distance: int) -> Column:
@@ -236,39 +268,57 @@ def similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFra
     return both.where(common >= similarity * F.size(union)).select("u", "v")
 
 
-def links(distinct: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
-    """(u, v) of links between fingerprints that connect all that are linked, directly or over others; ``distinct``: (fp, n, sketch)."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole shingle sets have a Jaccard similarity of at least ``similarity``; ``sets``: (node, shingles)."""
+    needed = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    few = needed.count() <= PICKED
+    picked = saved(sets.select("node", "shingles").join(F.broadcast(needed) if few else needed, "node", "left_semi").dropDuplicates(["node"]))
+    a, b = (picked.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "uv")
+    common, total = F.size(F.array_intersect("shingles_u", "shingles_v")), F.size("shingles_u") + F.size("shingles_v")
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", common.alias("common"), total.alias("total"))
+    return both.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v")
+
+
+def links(distinct: DataFrame, distance: int, similarity: float | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """(u, v) of links between nodes that connect all that are linked, directly or over others.
+
+    ``distinct``: (node, fp, n), with a ``similarity`` also sketch; ``sets`` then holds (node, shingles), repeated rows allowed.
+    """
     def linked(pairs: DataFrame) -> DataFrame:
         if similarity is None:
             return pairs
-        pairs, sure = saved(pairs), _close(F.col("u"), F.col("v"), SURE_DISTANCE)
-        return pairs.where(sure).unionByName(similar(pairs.where(~sure), distinct, similarity))
+        likely = similar(pairs, distinct.select(F.col("node").alias("fp"), "sketch"), similarity - MARGIN)
+        return alike(saved(likely), sets, similarity)
 
     parts, limits = plan_parts(distinct, distance)
-    index = saved(part_values(distinct, parts).join(distinct.select("fp", "n"), "fp"))
-    stars, rooted = None, index.withColumn("root", F.col("fp"))
-    for turn in range(STAR_ROUNDS):  # the first heads are the most frequent fingerprints, the later ones any
-        first = F.struct("n", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "fp")
-        heads = rooted.groupBy("part", "value").agg(F.max_by(F.struct("fp", "root"), first).alias("head"))
+    index = saved(part_values(distinct, parts).join(distinct.select("node", "n"), "node"))
+    stars, rooted = None, index.withColumn("root", F.col("node"))
+    for turn in range(STAR_ROUNDS):  # the first heads are the most frequent nodes, the later ones any
+        first = F.struct("n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        heads = rooted.groupBy("part", "value").agg(F.max_by(F.struct("fp", "node", "root"), first).alias("head"))
         near = rooted.join(heads, ["part", "value"]).where(_close(F.col("fp"), F.col("head.fp"), distance)).where(F.col("root") != F.col("head.root"))
-        new = linked(near.select(F.col("fp").alias("u"), F.col("head.fp").alias("v")).distinct())
+        new = linked(near.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
         stars = saved(new if stars is None else stars.unionByName(new))
-        roots = components(stars).withColumnRenamed("u", "fp")
-        rooted = saved(index.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+        roots = components(stars).withColumnRenamed("u", "node")
+        rooted = saved(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     rooted = rooted.drop("n")
     crowded = rooted.groupBy("part", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    other = rooted.select("part", "value", F.col("fp").alias("v"), F.col("root").alias("other"))
+    names = [F.col("fp").alias("other_fp"), F.col("node").alias("v"), F.col("root").alias("other")]
+    unlinked = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & _close(F.col("fp"), F.col("other_fp"), distance)
     exact = [k for k, t in enumerate(limits) if t == 0]
     same = (  # equal values: only buckets that hold more than one component so far
         rooted.where(F.col("part").isin(exact)).join(crowded.where("low < high").select("part", "value"), ["part", "value"], "left_semi")
-        .join(other, ["part", "value"]).where("fp < v AND root <> other").where(_close(F.col("fp"), F.col("v"), distance))
+        .join(rooted.select("part", "value", *names), ["part", "value"]).where(unlinked)
     )
+    # each side takes half of the bits: fewer rows than all of them on one; of the ways to meet, one with the highest bit on the first side
+    ways = rooted.where(~F.col("part").isin(exact))
     wide = (
-        probes(rooted.where(~F.col("part").isin(exact)), parts, limits).join(other, ["part", "value"])
-        .where("fp < v AND root <> other").where(_close(F.col("fp"), F.col("v"), distance))
+        probes(ways, parts, [t - t // 2 for t in limits])
+        .join(probes(ways, parts, [t // 2 for t in limits]).select("part", "value", *names, F.col("flip").alias("other_flip")), ["part", "value"])
+        .where((F.col("flip") > F.col("other_flip")) | ((F.col("flip") == 0) & (F.col("other_flip") == 0))).where(unlinked)
     )
-    found = same.unionByName(wide).select(F.col("fp").alias("u"), "v")
-    return stars.unionByName(linked(found.distinct()))
+    found = saved(same.select("node", "v").unionByName(wide.select("node", "v")).withColumnRenamed("node", "u").distinct())
+    return stars.unionByName(linked(found))
 
 
 def near_duplicates(
@@ -276,13 +326,15 @@ def near_duplicates(
     similarity: float | None = None,
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach."""
-    rows = saved(fingerprints(docs, text, key, shingle, seed, similarity is not None))
-    distinct = saved(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min("sketch").alias("sketch")))
-    roots = components(links(distinct, distance, similarity)).withColumnRenamed("u", "fp")
-    rooted = saved(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rows = saved((fingerprints if similarity is None else shingle_sets)(docs, text, key, shingle, seed))
+    sketch = [] if similarity is None else [F.min("sketch").alias("sketch")]
+    distinct = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), *sketch)
+    distinct = saved(distinct)
+    roots = components(links(distinct, distance, similarity, rows)).withColumnRenamed("u", "node")
+    rooted = saved(distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = saved(rooted.join(least, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select(
+    named = saved(rooted.join(least, "root").select("node", "component_id"))
+    return rows.select("key", "fp", "node").join(named, "node").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

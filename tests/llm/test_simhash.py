@@ -122,3 +122,18 @@ def test_similarity_is_checked_on_the_shingles(spark):
     assert {(r.u, r.v) for r in S.similar(pairs, prints, 0.8).collect()} == {(fp[1], fp[2]), (fp[2], fp[2])}
     found = S.near_duplicates(documents(spark, rows), distance=10, shingle=5, similarity=0.8).collect()
     assert {r.doc_id: r.component_id for r in found}[3] == 3
+
+
+def test_a_repeated_sentence_does_not_link_texts(spark):
+    draw = random.Random(11)
+    common = [f"s{k}" for k in range(10)] * 60
+    rows = [(k, " ".join([f"a{draw.randrange(10**9)}" for _ in range(400)] + common)) for k in range(30)]
+    found = S.near_duplicates(documents(spark, rows), distance=8, shingle=5, similarity=0.8).collect()
+    assert all(r.component_id == r.doc_id for r in found)
+
+
+def test_equal_fingerprints_are_checked(spark):
+    sets = {1: range(100), 2: range(100, 200), 3: range(2, 100)}
+    nodes = spark.createDataFrame([(k, 77, 1, list(v)[:S.SKETCH], list(v)) for k, v in sets.items()], "node long, fp long, n long, sketch array<long>, shingles array<long>")
+    found = S.links(nodes, 4, 0.8, nodes).collect()
+    assert {frozenset((r.u, r.v)) for r in found} == {frozenset((1, 3))}
