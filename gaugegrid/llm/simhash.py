@@ -44,8 +44,8 @@ BITS = 64
 PARTS = (2, 3, 4, 5)
 #: Cost of a row that is dealt to a bucket, in units of one verified candidate.
 ROW_COST = 8.0
-#: Differing bits of texts that are similar to four fifths, for most of them; such links are checked against the shingles.
-WIDE_DISTANCE = 8
+#: Differing bits of 95 % of the texts that are similar to four fifths; such links are checked against the shingles.
+WIDE_DISTANCE = 14
 #: Turns in which every fingerprint is compared with one head of its buckets, before the search for what is left.
 STAR_ROUNDS = 3
 #: Smallest shingle hashes of a sketch.

@@ -137,3 +137,12 @@ def test_equal_fingerprints_are_checked(spark):
     nodes = spark.createDataFrame([(k, 77, 1, list(v)[:S.SKETCH], list(v)) for k, v in sets.items()], "node long, fp long, n long, sketch array<long>, shingles array<long>")
     found = S.links(nodes, 4, 0.8, nodes).collect()
     assert {frozenset((r.u, r.v)) for r in found} == {frozenset((1, 3))}
+
+
+def test_recall_at_four_fifths(spark):
+    draw, rows = random.Random(8), []
+    for k in range(60):  # one changed run of 84 words: 712 of 888 shingles are common, similarity 0.802
+        words = [f"d{k}x{draw.randrange(10**9)}" for _ in range(804)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:400] + [f"e{k}x{i}" for i in range(84)] + words[484:]))]
+    found = {r.doc_id: r.component_id for r in S.near_duplicates(documents(spark, rows), distance=S.WIDE_DISTANCE, shingle=5, similarity=0.8).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(60)) >= 50
