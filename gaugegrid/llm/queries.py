@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugegrid.llm import byte_bpe, chat_events, licences, line_runs, packing, perfect_hash, quality, resharding, simhash, toxicity
-from gaugegrid.llm.common import table
+from gaugegrid.llm.common import saved, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,10 +33,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve shards by source become eight; the first eight keep their places."""
+    """Twelve shards by source become eight; the first eight keep their places. Changed shards are rewritten and their rows read back."""
     old = F.pmod(F.xxhash64("source"), F.lit(12))
     home = {str(k): k if k < 8 else None for k in range(12)}
-    placed = resharding.assign(table(spark, sf_dir, "documents"), old, home, shards=8)
+    placed = saved(resharding.assign(table(spark, sf_dir, "documents"), old, home, shards=8, carry=True))
+    changed, path = resharding.changed_shards(placed, home), f"{shared_folder(spark)}/gaugegrid-shards-{uuid.uuid4().hex}"
+    if changed:
+        resharding.rewrite_shards(placed, changed, path)
+        written = spark.read.schema(placed.schema).parquet(path).select(placed.columns)
+        placed = placed.where(~F.col("shard").isin(changed)).unionByName(written)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         F.col("old").alias("old_shard"),

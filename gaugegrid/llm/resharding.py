@@ -11,7 +11,7 @@ third of all rows is many tasks. Only the shard sizes reach the driver.
 
 Defined results: the size of a document is the UTF-8 bytes of its text (none for null) plus one; ties in the order are broken by id, then
 by text; repeated rows are placed one by one; null ids have their own place in the order; an empty table gives an empty result; other
-columns are not read by :func:`assign`.
+columns are carried in a struct and have no meaning here, so their names may be any.
 """
 
 from __future__ import annotations
@@ -107,24 +107,29 @@ def _running(rows: DataFrame, group: str, amount: str, into: str) -> DataFrame:
     return summed.join(blocks, [group, "block"]).withColumn(into, F.col(into) + F.col("__before")).drop("__before")
 
 
-def sized(docs: DataFrame, old: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, size, text_crc32, old, order, digest) of every document; ``old`` names its old shard."""
+def sized(docs: DataFrame, old: Column, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """(key, size, text_crc32, old, order, digest) of every document; ``old`` names its old shard. ``carry`` adds the whole row as ``doc``."""
+    doc = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if carry else []
     whole = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(key).alias("key"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"),
         F.coalesce(old.cast("string"), F.lit("")).alias("old"), F.xxhash64(F.col(key), whole).alias("order"), F.xxhash64(whole).alias("digest"),
+        *doc,
     )
 
 
 def assign(
     docs: DataFrame, old: Column, home: dict[str, int | None], shards: int = 8, text: str = "text", key: str = "doc_id",
-    capacity: list[int] | None = None,
+    capacity: list[int] | None = None, carry: bool = False,
 ) -> DataFrame:
     """(key, size, text_crc32, old, shard, slot) of every document; ``home``: the new shard that is the same place as an old one.
 
+    ``carry`` adds the whole row as the struct ``doc``, for :func:`rewrite_shards`.
+
     Old shards without a home lie elsewhere: all their bytes move. ``capacity`` defaults to equal bytes in ``shards`` shards.
     """
-    rows = saved(sized(docs, old, text, key))
+    doc = ["doc"] if carry else []
+    rows = saved(sized(docs, old, text, key, carry))
     totals = rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row per old shard
     sizes = {r["old"]: r["bytes"] for r in totals}
     blocks = max(1, sum(r["n"] for r in totals) // BLOCK_ROWS + 1)
@@ -135,21 +140,54 @@ def assign(
     plan = spark.createDataFrame(cuts, "old string, shard int, first long, end long")
     inside = (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("end"))
     placed = placed.join(F.broadcast(plan), "old").where(inside)  # a row per pair of old and new shard
-    placed = saved(placed.select("key", "size", "text_crc32", "old", "shard", "order", "digest", "block"))
+    placed = saved(placed.select("key", "size", "text_crc32", "old", "shard", "order", "digest", "block", *doc))
     numbered = _running(placed.withColumn("__one", F.lit(1).cast("long")), "shard", "__one", "slot")
-    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "old", "shard", "slot")
-
+    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "old", "shard", "slot", *doc)
 
-def rewrite(placed: DataFrame, docs: DataFrame, old: Column, home: dict[str, int | None], path: str, key: str = "doc_id") -> list[str]:
-    """Write the shards that changed to ``path`` (a folder ``shard=k`` each) and return their names; the others stay as they are.
 
-    A shard changed if a document left it or came to it. ``placed`` is the result of :func:`assign`; ids are unique.
-    """
+def changed_shards(placed: DataFrame, home: dict[str, int | None]) -> list[int]:
+    """The shards that a document left or came to."""
     here = F.lit(None).cast("int")
     for name, shard in home.items():
         here = F.when(F.col("old") == name, F.lit(shard)).otherwise(here)
     moves = placed.withColumn("here", here).where(~F.col("here").eqNullSafe(F.col("shard")))
-    changed = {r[0] for r in moves.select(F.explode(F.array("here", "shard"))).distinct().collect()} - {None}  # shards, not rows
-    rows = docs.join(placed.where(F.col("shard").isin(sorted(changed))).select(key, "shard", "slot"), key)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return [f"shard={k}" for k in sorted(changed)]
+    return sorted({r[0] for r in moves.select(F.explode(F.array("here", "shard"))).distinct().collect()} - {None})  # shards, not rows
+
+
+def rewrite_shards(placed: DataFrame, changed: list[int], path: str) -> None:
+    """Write the ``changed`` shards to ``path`` (a folder ``shard=k`` each), rows in the order of their slots; other folders stay as they are.
+
+    ``placed`` is a stored result of :func:`assign` with ``carry``: its rows are written as they are, the document in the struct ``doc``. A changed
+    shard that all documents left becomes empty.
+    """
+    spark = placed.sparkSession
+    rows = placed.where(F.col("shard").isin(changed)).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    filled = {r[0] for r in placed.where(F.col("shard").isin(changed)).select("shard").distinct().collect()}
+    for k in set(changed) - filled:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def rewrite(placed: DataFrame, docs: DataFrame, old: Column, home: dict[str, int | None], path: str, key: str = "doc_id", text: str = "text") -> list[str]:
+    """Write the shards that changed to ``path`` and return their names; the others stay as they are, also if they lie in ``path``.
+
+    A shard changed if a document left it or came to it. ``placed`` is the result of :func:`assign`. Without its column ``doc`` the rows of the
+    documents are found by their id, size, checksum and old shard, equal ones by their number among these. Columns of the documents named
+    ``shard`` or ``slot`` are written as ``doc_shard`` and ``doc_slot``.
+    """
+    changed = changed_shards(placed, home)
+    if not changed:
+        return []
+    if "doc" not in placed.columns or placed.schema["doc"].dataType != docs.schema:
+        same = [F.col(c) for c in ("key", "size", "text_crc32", "old")]
+        rows = sized(docs, old, text, key, True).withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("digest")))
+        places = placed.withColumnRenamed(key, "key").withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy("shard", "slot")))
+        on = None
+        for c in ("key", "size", "text_crc32", "old", "nth"):
+            on = rows[c].eqNullSafe(places[c]) if on is None else on & rows[c].eqNullSafe(places[c])
+        placed = saved(places.join(rows, on).select(places["shard"], places["slot"], rows["doc"]))
+    names = {c: f"doc_{c}" if c.lower() in ("shard", "slot") else c for c in docs.columns}
+    flat = placed.select("shard", "slot", *[F.col("doc").getField(c).alias(n) for c, n in names.items()])
+    rewrite_shards(flat, changed, path)
+    return [f"shard={k}" for k in changed]

@@ -73,3 +73,27 @@ def test_only_changed_shards_are_written(spark, tmp_path):
 
 def test_empty(none):
     assert placed(none).count() == 0
+
+
+def test_rewritten_shards_hold_every_row(spark, tmp_path):
+    rows = [(None, f"n{k}") for k in range(40)] + [(5, "same")] * 60 + [(6, f"v{k % 3}") for k in range(60)]
+    docs = documents(spark, rows).withColumn("shard", F.lit("s")).withColumn("slot", F.lit("t"))
+    old, home = F.pmod(F.xxhash64("text"), F.lit(4)), {str(k): k for k in range(4)}
+    path = str(tmp_path / "c")
+    spark.createDataFrame([(9, "stays")], "shard int, text string").write.partitionBy("shard").parquet(path)
+    for carry in (False, True):
+        plan = R.assign(docs, old, home, 4, carry=carry).persist()
+        names = R.rewrite(plan, docs, old, home, path)
+        changed = [int(n[6:]) for n in names]
+        back = spark.read.parquet(path).where("shard <> 9")
+        want = plan.where(F.col("shard").isin(changed))
+        assert changed and sorted(map(str, back.select("shard", "slot", "doc_id").collect())) == sorted(map(str, want.select("shard", "slot", "doc_id").collect()))
+        assert {(r.doc_shard, r.doc_slot) for r in back.collect()} == {("s", "t")} and spark.read.parquet(path).where("shard = 9").count() == 1
+
+
+def test_the_query_rewrites(spark, monkeypatch):
+    from gaugegrid.llm.queries import QUERIES
+    calls, write = [], R.rewrite_shards
+    monkeypatch.setattr(R, "rewrite_shards", lambda *a: (calls.append(a[1]), write(*a)))
+    n = QUERIES["op3_min_cost_flow"](spark, "/root/testdata/sf0.001").count()
+    assert calls and calls[0] and n == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
