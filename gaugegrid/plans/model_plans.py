@@ -25,8 +25,10 @@ from gaugegrid.sources.session import stored, use_checkpoints
 from gaugegrid.sources.sinks import save_model
 
 KEEP = 0.25
-#: Small settings, so that a query that fits models ends in seconds on the small tables.
-TREES, DEPTH, ITERATIONS = 8, 6, 40
+#: Settings of the final fits, as chosen by the tuning and the screening on the full data; trees of every forest.
+TREES = 150
+LR_SPEC = {"reg": 1e-6, "bands": True}
+RF_SPEC = {"max_depth": 24, "min_instances": 50, "feature_subset": "onethird", "max_bins": 256, "impurity": "entropy"}
 
 
 def assembled(t: Tables):
@@ -97,7 +99,7 @@ def _scored(rows):
 @query("lr_forecast", "M02 M03 M04 M05 M06 M07 U03")
 def lr_forecast(t: Tables):
     train, val, _ = _parts(t)
-    model = M.logistic_pipeline(AS.feature_columns(train.columns), reg=1e-4, bands=True, iterations=ITERATIONS).fit(train)
+    model = M.logistic_pipeline(AS.feature_columns(train.columns), **LR_SPEC).fit(train)
     return _scored(M.class_probabilities(model, val, "station_id", "slot", "label"))
 
 
@@ -105,24 +107,22 @@ def lr_forecast(t: Tables):
 def rf_forecast(t: Tables):
     use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    model = M.forest_pipeline(AS.feature_columns(train.columns), trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512).fit(train)
+    model = M.forest_pipeline(AS.feature_columns(train.columns), trees=TREES, **RF_SPEC).fit(train)
     return _scored(M.class_probabilities(model, val, "station_id", "slot", "label"))
 
 
 @query("tuning", "M09")
 def tuning(t: Tables):
     train, val, _ = _parts(t)
-    return M.tune_logistic(train, val, AS.feature_columns(train.columns), iterations=ITERATIONS)
+    return M.tune_logistic(train, val, AS.feature_columns(train.columns))
 
 
 @query("forest_screening", "M10 O02")
 def forest_screening(t: Tables):
-    """All five settings, with as many trees as the other forests here."""
+    """All five settings of the grid."""
     use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    grid = {"max_depth": (4, 6, 8), "min_instances": (5, 10, 50), "feature_subset": ("sqrt", "onethird"), "max_bins": (32, 64), "impurity": ("gini", "entropy")}
-    start = {**M.RF_START, "max_depth": 4, "min_instances": 10, "max_bins": 32}
-    return M.screen_forest(train, val, AS.feature_columns(train.columns), TREES, grid, start)
+    return M.screen_forest(train, val, AS.feature_columns(train.columns), TREES)
 
 
 @query("tier_ablation", "M11 R10")
@@ -130,8 +130,8 @@ def tier_ablation(t: Tables):
     use_checkpoints(t.spark)
     train, val, _ = _parts(t)
     build = {
-        "LR": lambda f: M.logistic_pipeline(f, iterations=ITERATIONS),
-        "RF": lambda f: M.forest_pipeline(f, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512),
+        "LR": lambda f: M.logistic_pipeline(f, **LR_SPEC),
+        "RF": lambda f: M.forest_pipeline(f, trees=TREES, **RF_SPEC),
     }
     return M.tier_ablation(train, val, build)
 
@@ -166,7 +166,7 @@ def _final(t: Tables):
     train, val, test = _parts(t)
     fit = stored(train.unionByName(val))
     features = AS.feature_columns(fit.columns)
-    model = M.forest_pipeline(features, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512).fit(fit)
+    model = M.forest_pipeline(features, trees=TREES, **RF_SPEC).fit(fit)
     return model, features, fit, test
 
 
@@ -214,8 +214,8 @@ def _five(t: Tables):
     rows = B.predict_climatology(B.fit_climatology(before, SP.STRENGTH), rows, "climatology")
     rows = B.predict_persistence(B.fit_persistence(before), B.predict_constant(B.fit_constant(before), rows, "constant"), "persistence")
     models = {
-        "LR": M.logistic_pipeline(features, bands=True, iterations=ITERATIONS),
-        "RF": M.forest_pipeline(features, trees=TREES, max_depth=DEPTH, min_instances=10, memory_mb=512),
+        "LR": M.logistic_pipeline(features, **LR_SPEC),
+        "RF": M.forest_pipeline(features, trees=TREES, **RF_SPEC),
     }
     for name, pipeline in models.items():
         probs = M.class_probabilities(pipeline.fit(fit), test, "station_id", "slot").withColumnRenamed("probs", name)
