@@ -178,8 +178,8 @@ def importance(t: Tables):
 
 @query("tier_permutation", "O10")
 def tier_permutation(t: Tables):
-    model, _, _, test = _final(t)
-    return M.tier_permutation({"RF": model}, test, keep=1.0)
+    model, features, fit, test = _final(t)
+    return M.tier_permutation({"LR": M.logistic_pipeline(features, **LR_SPEC).fit(fit), "RF": model}, test, keep=1.0)
 
 
 @query("final_scores", "M12 M14 A25")
