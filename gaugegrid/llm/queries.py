@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugegrid.llm import byte_bpe, chat_events, licences, line_runs, packing, perfect_hash, quality, resharding, simhash, toxicity
-from gaugegrid.llm.common import saved, shared_folder, table
+from gaugegrid.llm import (
+    byte_bpe, chat_events, hard_negatives, licences, line_runs, packing, perfect_hash, periodic_runs, piece_bpe, quality, resharding, simhash, toxicity,
+)
+from gaugegrid.llm.common import saved, shared_folder, table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,3 +164,41 @@ FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op11_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), piece_bpe.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query
+def op12_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text in ten repeats a beginning of its words from word a on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = words_of(F.col("text"))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.lit(3) + g % 8)) + 1).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))), " ")
+
+    planted = F.when((h % 10 == 0) & (F.size(words) > 0), F.get(F.transform(F.array(words), repeated), F.lit(0))).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(docs.withColumn("text", planted))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_str_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row in seven has its label moved on, as a wrong label."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
