@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +32,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that were written since :func:`tidied` began, in this thread.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder and read back: later steps neither repeat the work nor depend on executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugegrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = _WRITTEN.get()
+    if written is not None:
+        written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what :func:`saved` wrote for these tables; nothing that is still to run may read them."""
+    for df in tables:
+        path = df and df.__dict__.get("_saved_at")
+        if path:
+            delete_folder(df.sparkSession, path)
+
+
+def tidied(build: Callable[[], DataFrame]) -> DataFrame:
+    """The saved result of ``build``; all else that was saved on the way is deleted."""
+    outer = _WRITTEN.set([])
+    try:
+        out = saved(build())
+        for path in _WRITTEN.get()[:-1]:
+            delete_folder(out.sparkSession, path)
+        return out
+    finally:
+        _WRITTEN.reset(outer)
 
 
 def ascii_lower(text: Column) -> Column:

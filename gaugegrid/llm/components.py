@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugegrid.llm.common import saved
+from gaugegrid.llm.common import discard, saved
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -39,8 +39,9 @@ def components(links: DataFrame) -> DataFrame:
     now = saved(_small_star(links.where("u <> v").select("u", "v")))
     mark = _mark(now)
     while True:
-        now = saved(_small_star(_large_star(now)))
+        before, now = now, saved(_small_star(_large_star(now)))
         after = _mark(now)
+        discard(before)
         if after == mark:
             break
         mark = after

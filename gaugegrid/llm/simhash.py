@@ -16,8 +16,14 @@ close enough, and the search leaves out pairs that are connected already: a larg
 the square of its size. Components come from :mod:`components`.
 
 With a ``similarity``, a node is a shingle set, its fingerprint counts every shingle once, and every link, also one between equal
-fingerprints, needs that Jaccard similarity of both sets: pairs whose ``SKETCH`` smallest hashes come within ``MARGIN`` of it are compared on all
-hashes. Wider distances, which similar texts need, then bring no chance pairs.
+fingerprints, needs that Jaccard similarity s of both sets. Wide distances, which similar texts need, bring many pairs that are not similar; three conditions that
+every similar pair meets keep them out of the search and of the rows that its joins make:
+
+* shingles of no other node are counted (:func:`own_shingles`); a set with more than (1 - s) of them has no partner and is not searched;
+* two sets have at least s / (1 + s) of their sizes in common, so neither may lack more than that by its own shingles;
+* the sets differ in at most (1 - s) / (1 + s) of their sizes, and so do their parity maps (``MAP_BITS`` bits, each the parity of the shingles that hash to it).
+
+What is left is compared on all hashes. No similar pair within the distance is lost.
 
 Defined results: a text without words (null, empty, blank) has fingerprint 0, linked like any other; a text of fewer words than a
 shingle is one shingle; an exact half of set bits gives 0; repeated rows are one node; a null id counts after all others; an empty table
@@ -26,7 +32,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -36,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugegrid.llm.common import keep_rows, saved
+from gaugegrid.llm.common import discard, keep_rows, saved
 from gaugegrid.llm.components import components
 
 BITS = 64
@@ -48,12 +54,9 @@ ROW_COST = 8.0
 WIDE_DISTANCE = 14
 #: Turns in which every fingerprint is compared with one head of its buckets, before the search for what is left.
 STAR_ROUNDS = 3
-#: Smallest shingle hashes of a sketch.
-SKETCH = 64
-#: Similarity by which a sketch may fall short before the whole sets are compared: four standard errors.
-MARGIN = 0.2
-#: Nodes whose shingle sets are picked by a broadcast, at most; more are joined by shuffle.
-PICKED = 1 << 19
+#: Bits of a parity map, and its columns.
+MAP_BITS = 1024
+MAP = [f"m{k}" for k in range(MAP_BITS // 64)]
 #: Hashes turned into bits at once.
 _BLOCK = 1 << 14
 
@@ -70,14 +73,13 @@ def _hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
         yield np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype=">u8")
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> tuple[int, np.ndarray]:
-    """The fingerprint of one text as an unsigned number, and its sketch: the smallest distinct hashes, as 32 bits each."""
-    ones, n, least = np.zeros(BITS, np.int64), 0, np.array([], np.uint32)
+def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    """The fingerprint of one text as an unsigned number."""
+    ones, n = np.zeros(BITS, np.int64), 0
     for hashes in _hashes(text, shingle, seed):
         ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
         n += len(hashes)
-        least = np.unique(np.concatenate([least, (hashes & 0xFFFFFFFF).astype(np.uint32)]))[:SKETCH]
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"), least
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def shingle_set(text: str | None, shingle: int, seed: int) -> tuple[int, int, np.ndarray]:
@@ -98,28 +100,42 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     """(key, fp, node) of every row; ``fp`` is the fingerprint as a signed long, and the node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = _signed([fingerprint(t.as_py(), shingle, seed)[0] for t in batch.column(1)])
+            signed = _signed([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), signed, signed], names=["key", "fp", "node"])
 
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "key long, fp long, node long")
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """A bit per hash bucket, set if an odd number of the hashes fall into it, as whole numbers of 64 bits."""
+    bucket = (hashes >> np.uint64(64 - MAP_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(key, fp, node, sketch, shingles) of every row; the node is the digest of the shingle set."""
+    """(key, fp, node, parity map, shingles) of every row; the node is the digest of the shingle set."""
+    names = ["key", "fp", "node", *MAP, "shingles"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
                 found = [shingle_set(t.as_py(), shingle, seed) for t in part.column(1)]
-                sketches = pa.array([np.unique(h.astype(np.uint32))[:SKETCH].astype(np.int64) for _, _, h in found], pa.list_(pa.int64()))
+                maps = np.stack([parity_map(h) for _, _, h in found])
                 sets = pa.array([h.view(np.int64) for _, _, h in found], pa.list_(pa.int64()))
                 fps, nodes = _signed([f for f, _, _ in found]), _signed([d for _, d, _ in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), fps, nodes, sketches, sets], names=["key", "fp", "node", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, nodes, *map(pa.array, maps.T), sets], names=names)
 
-    kind = "key long, fp long, node long, sketch array<long>, shingles array<long>"
+    kind = f"key long, fp long, node long, {', '.join(f'{m} long' for m in MAP)}, shingles array<long>"
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, kind)
 
 
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a node are in no other one; nodes without any are left out. ``sets``: (node, shingles), repeated rows allowed."""
+    spread = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return spread.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def _bits(fp: np.ndarray) -> np.ndarray:
     """A row of 64 zeros and ones per fingerprint, the highest bit first."""
     return np.unpackbits(fp.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8)).reshape(-1, BITS)
@@ -227,8 +243,9 @@ def plan_parts(distinct: DataFrame, distance: int) -> tuple[list[list[int]], lis
     return [part for part, _ in used], [t for _, t in used]
 
 
-def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFrame:
-    """(part, value, fp, node, root, flip) under every value that differs in at most the part's limit of bits, those in ``flip``."""
+def probes(rows: DataFrame, parts: list[list[int]], limits: list[int], extra: tuple[str, ...] = ()) -> DataFrame:
+    """(part, value, fp, node, root, extra, flip) under every value that differs in at most the part's limit of bits, those in ``flip``."""
+    names = ["part", "value", "fp", "node", "root", *extra]
     masks = []
     for part, t in zip(parts, limits):
         flips = [sum(1 << b for b in chosen) for k in range(t + 1) for chosen in combinations(range(len(part)), k)]
@@ -236,7 +253,7 @@ def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, value, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            k, value, *rest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names)))
             for part in np.unique(k):
                 at = np.flatnonzero(k == part)
                 step = max(1, (1 << 17) // len(masks[part]))
@@ -246,65 +263,72 @@ def probes(rows: DataFrame, parts: list[list[int]], limits: list[int]) -> DataFr
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(some) * width, part, np.int32)), pa.array((value[some][:, None] ^ masks[part][None, :]).ravel()),
                         *(pa.array(np.repeat(x[some], width)) for x in rest), pa.array(np.tile(masks[part], len(some))),
-                    ], names=["part", "value", "fp", "node", "root", "flip"])
+                    ], names=[*names, "flip"])
 
-    kind = "part int, value long, fp long, node long, root long, flip long"
-    return rows.select("part", "value", "fp", "node", "root").mapInArrow(run, kind)
+    kind = "part int, value long, fp long, node long, root long, " + "".join(f"{c} long, " for c in extra) + "flip long"
+    return rows.select(names).mapInArrow(run, kind)
 
 
 def _close(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sketches give an estimated Jaccard similarity of at least ``similarity``.
+Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
-    Of the smallest hashes of both texts together, the share that both have; two empty sketches are equal.
-    """
-    a, b = (sketches.select(F.col("fp").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
-    both = pairs.join(a, "u").join(b, "v")
-    union = F.slice(F.array_sort(F.array_union("sketch_u", "sketch_v")), 1, SKETCH)
-    common = F.size(F.array_intersect(union, F.array_intersect("sketch_u", "sketch_v")))
-    return both.where(common >= similarity * F.size(union)).select("u", "v")
+
+def may_be_similar(similarity: float) -> Fits:
+    """Condition on the columns size, own and the maps of two nodes that holds for all pairs of at least that Jaccard similarity."""
+    def fits(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        total = a("size") + b("size")
+        common = total * (similarity / (1 + similarity)) - 1e-6
+        differing = sum((F.bit_count(a(m).bitwiseXOR(b(m))) for m in MAP), F.lit(0))
+        return (F.least(a("size") - a("own"), b("size") - b("own")) >= common) & (differing <= total - 2 * common)
+
+    return fits
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose whole shingle sets have a Jaccard similarity of at least ``similarity``; ``sets``: (node, shingles)."""
-    needed = saved(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    few = needed.count() <= PICKED
-    picked = saved(sets.select("node", "shingles").join(F.broadcast(needed) if few else needed, "node", "left_semi").dropDuplicates(["node"]))
+    pairs = saved(pairs)
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    picked = saved(sets.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"]))
     a, b = (picked.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "uv")
     common, total = F.size(F.array_intersect("shingles_u", "shingles_v")), F.size("shingles_u") + F.size("shingles_v")
     both = pairs.join(a, "u").join(b, "v").select("u", "v", common.alias("common"), total.alias("total"))
-    return both.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v")
+    found = saved(both.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"))
+    discard(pairs, picked)
+    return found
 
 
-def links(distinct: DataFrame, distance: int, similarity: float | None = None, sets: DataFrame | None = None) -> DataFrame:
+def links(
+    distinct: DataFrame, distance: int, extra: tuple[str, ...] = (), fits: Fits | None = None,
+    verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> DataFrame:
     """(u, v) of links between nodes that connect all that are linked, directly or over others.
 
-    ``distinct``: (node, fp, n), with a ``similarity`` also sketch; ``sets`` then holds (node, shingles), repeated rows allowed.
+    ``distinct``: (node, fp, n, extra). ``fits`` is a further condition on the extra columns of two nodes, ``verified`` picks the links among pairs.
     """
-    def linked(pairs: DataFrame) -> DataFrame:
-        if similarity is None:
-            return pairs
-        likely = similar(pairs, distinct.select(F.col("node").alias("fp"), "sketch"), similarity - MARGIN)
-        return alike(saved(likely), sets, similarity)
+    def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        near = _close(a("fp"), b("fp"), distance) & (a("root") != b("root"))
+        return near & fits(a, b) if fits else near
 
     parts, limits = plan_parts(distinct, distance)
-    index = saved(part_values(distinct, parts).join(distinct.select("node", "n"), "node"))
+    index = saved(part_values(distinct, parts).join(distinct.select("node", "n", *extra), "node"))
     stars, rooted = None, index.withColumn("root", F.col("node"))
     for turn in range(STAR_ROUNDS):  # the first heads are the most frequent nodes, the later ones any
         first = F.struct("n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-        heads = rooted.groupBy("part", "value").agg(F.max_by(F.struct("fp", "node", "root"), first).alias("head"))
-        near = rooted.join(heads, ["part", "value"]).where(_close(F.col("fp"), F.col("head.fp"), distance)).where(F.col("root") != F.col("head.root"))
-        new = linked(near.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
+        heads = rooted.groupBy("part", "value").agg(F.max_by(F.struct("fp", "node", "root", *extra), first).alias("head"))
+        near = rooted.join(heads, ["part", "value"]).where(close(F.col, lambda c: F.col(f"head.{c}")))
+        new = verified(near.select(F.col("node").alias("u"), F.col("head.node").alias("v")).distinct())
+        before = stars, rooted if turn else None
         stars = saved(new if stars is None else stars.unionByName(new))
         roots = components(stars).withColumnRenamed("u", "node")
         rooted = saved(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        discard(*before)
     rooted = rooted.drop("n")
     crowded = rooted.groupBy("part", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    names = [F.col("fp").alias("other_fp"), F.col("node").alias("v"), F.col("root").alias("other")]
-    unlinked = (F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & _close(F.col("fp"), F.col("other_fp"), distance)
+    names = [F.col(c).alias(f"other_{c}") for c in ("fp", "root", *extra)] + [F.col("node").alias("v")]
+    unlinked = (F.col("node") < F.col("v")) & close(F.col, lambda c: F.col(f"other_{c}"))
     exact = [k for k, t in enumerate(limits) if t == 0]
     same = (  # equal values: only buckets that hold more than one component so far
         rooted.where(F.col("part").isin(exact)).join(crowded.where("low < high").select("part", "value"), ["part", "value"], "left_semi")
@@ -313,12 +337,13 @@ def links(distinct: DataFrame, distance: int, similarity: float | None = None, s
     # each side takes half of the bits: fewer rows than all of them on one; of the ways to meet, one with the highest bit on the first side
     ways = rooted.where(~F.col("part").isin(exact))
     wide = (
-        probes(ways, parts, [t - t // 2 for t in limits])
-        .join(probes(ways, parts, [t // 2 for t in limits]).select("part", "value", *names, F.col("flip").alias("other_flip")), ["part", "value"])
+        probes(ways, parts, [t - t // 2 for t in limits], extra)
+        .join(probes(ways, parts, [t // 2 for t in limits], extra).select("part", "value", *names, F.col("flip").alias("other_flip")), ["part", "value"])
         .where((F.col("flip") > F.col("other_flip")) | ((F.col("flip") == 0) & (F.col("other_flip") == 0))).where(unlinked)
     )
     found = saved(same.select("node", "v").unionByName(wide.select("node", "v")).withColumnRenamed("node", "u").distinct())
-    return stars.unionByName(linked(found))
+    discard(index, rooted)
+    return stars.unionByName(verified(found))
 
 
 def near_duplicates(
@@ -327,10 +352,21 @@ def near_duplicates(
 ) -> DataFrame:
     """(key, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach."""
     rows = saved((fingerprints if similarity is None else shingle_sets)(docs, text, key, shingle, seed))
-    sketch = [] if similarity is None else [F.min("sketch").alias("sketch")]
-    distinct = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), *sketch)
-    distinct = saved(distinct)
-    roots = components(links(distinct, distance, similarity, rows)).withColumnRenamed("u", "node")
+    distinct = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    if similarity is None:
+        distinct = saved(distinct)
+        found = links(distinct, distance)
+    else:
+        inside = [F.min(m).alias(m) for m in MAP]
+        sized = rows.withColumn("size", F.size("shingles").cast("long")).groupBy("node").agg(
+            F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min("size").alias("size"), *inside
+        )
+        owned = sized.join(own_shingles(rows), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        distinct = saved(owned)
+        worth = distinct.where(F.col("size") - F.col("own") >= F.col("size") * similarity - 1e-6)
+        extra = ("size", "own", *MAP)
+        found = links(saved(worth.select("node", "fp", "n", *extra)), distance, extra, may_be_similar(similarity), lambda pairs: alike(pairs, rows, similarity))
+    roots = components(found).withColumnRenamed("u", "node")
     rooted = saved(distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = saved(rooted.join(least, "root").select("node", "component_id"))

@@ -1,8 +1,11 @@
 """Queries with SQL against DuckDB, and the pipeline against its stages."""
 
+from pathlib import Path
+
 import pytest
 
 import corpus_pipeline
+from gaugegrid.llm.common import shared_folder
 from gaugegrid.llm.queries import QUERIES, SQL
 from tests.compare import connect, differences
 from tests.llm.conftest import EDGE, documents
@@ -34,7 +37,10 @@ def test_pipeline_stages(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert left.columns == docs.columns and 0 < left.count() <= docs.count() and left.exceptAll(docs).count() == 0
             docs = left
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
     packed = corpus_pipeline.run(spark, DIRECTORY).collect()
+    assert len({p.name for p in folder.iterdir()} - before) == 1  # the result
     assert sorted(map(str, packed)) == sorted(map(str, left.collect()))
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
 
