@@ -1,6 +1,7 @@
 """A training corpus from raw documents: drop toxic, bad and repeated documents, then pack the rest into sequences.
 
-Every stage works on all that the one before it kept; its result is written to the shared folder and read back.
+Every stage works on all that the one before it kept; its result is written to the shared folder and read back, and what it wrote on the way
+and the result before it are deleted.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugegrid.llm import packing, perfect_hash, quality, simhash, toxicity
-from gaugegrid.llm.common import saved, table
+from gaugegrid.llm.common import discard, table, tidied
 
 #: SQL cannot express the fitted field of the first stage.
 ORACLE_SQL = None
@@ -46,5 +47,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, tidied(lambda: stage(spark, docs, sf_dir))
+        discard(before)
     return docs
