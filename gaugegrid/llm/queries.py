@@ -36,14 +36,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve shards by source become eight; the first eight keep their places. Changed shards are rewritten and their rows read back."""
-    old = F.pmod(F.xxhash64("source"), F.lit(12))
+    docs, old = table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(12))
     home = {str(k): k if k < 8 else None for k in range(12)}
-    placed = saved(resharding.assign(table(spark, sf_dir, "documents"), old, home, shards=8, carry=True))
-    changed, path = resharding.changed_shards(placed, home), f"{shared_folder(spark)}/gaugegrid-shards-{uuid.uuid4().hex}"
+    moves = resharding.plan_moves(docs, old, home, shards=8)
+    changed, path = moves.changed(home), f"{shared_folder(spark)}/gaugegrid-shards-{uuid.uuid4().hex}"
+    placed = resharding.place(docs, old, moves)
     if changed:
-        resharding.rewrite_shards(placed, changed, path)
-        written = spark.read.schema(placed.schema).parquet(path).select(placed.columns)
-        placed = placed.where(~F.col("shard").isin(changed)).unionByName(written)
+        whole = resharding.place(docs, old, moves, carry=True)
+        resharding.rewrite_shards(whole, changed, path, moves.filled())
+        written = spark.read.schema(whole.schema).parquet(path).select(placed.columns)
+        stayed = [k for k in range(8) if k not in changed]
+        placed = placed.where(F.col("shard").isin(stayed)).unionByName(written) if stayed else written
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         F.col("old").alias("old_shard"),

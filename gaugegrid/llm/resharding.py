@@ -7,7 +7,8 @@ document goes where its middle lies. So only what has to move is moved, and only
 (:func:`rewrite`).
 
 The running totals are built in two steps, over blocks of about ``BLOCK_ROWS`` documents and inside each block, so a shard with a
-third of all rows is many tasks. Only the shard sizes reach the driver.
+third of all rows is many tasks. Only the shard sizes reach the driver. A first pass over sizes and hashes alone gives what every block of an
+old shard begins with (:func:`plan_moves`); with that, whole documents are shuffled once, to their blocks, and written from there (:func:`place`).
 
 Defined results: the size of a document is the UTF-8 bytes of its text (none for null) plus one; ties in the order are broken by id, then
 by text; repeated rows are placed one by one; null ids have their own place in the order; an empty table gives an empty result; other
@@ -17,11 +18,12 @@ columns are carried in a struct and have no meaning here, so their names may be
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugegrid.llm.common import saved
+from gaugegrid.llm.common import delete_folder, discard, saved
 
 #: Documents in a block, on average.
 BLOCK_ROWS = 4096
@@ -97,16 +99,6 @@ def transfers(sizes: dict[str, int], home: dict[str, int | None], capacity: list
     return out
 
 
-def _running(rows: DataFrame, group: str, amount: str, into: str) -> DataFrame:
-    """``into``: the sum of ``amount`` over earlier rows of the group, in the order (block, order, key, digest)."""
-    blocks = rows.groupBy(group, "block").agg(F.sum(amount).alias("__in_block"))
-    earlier = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(group, "block", F.coalesce(F.sum("__in_block").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(group, "block").orderBy("order", "key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn(into, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return summed.join(blocks, [group, "block"]).withColumn(into, F.col(into) + F.col("__before")).drop("__before")
-
-
 def sized(docs: DataFrame, old: Column, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
     """(key, size, text_crc32, old, order, digest) of every document; ``old`` names its old shard. ``carry`` adds the whole row as ``doc``."""
     doc = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")] if carry else []
@@ -118,55 +110,111 @@ def sized(docs: DataFrame, old: Column, text: str = "text", key: str = "doc_id",
     )
 
 
-def assign(
-    docs: DataFrame, old: Column, home: dict[str, int | None], shards: int = 8, text: str = "text", key: str = "doc_id",
-    capacity: list[int] | None = None, carry: bool = False,
-) -> DataFrame:
-    """(key, size, text_crc32, old, shard, slot) of every document; ``home``: the new shard that is the same place as an old one.
+@dataclass(frozen=True)
+class Moves:
+    """What places a document: ``cuts`` (old, shard, first, end) in bytes, per block of an old shard the bytes ``before`` it, and its first slot in a shard.
+
+    ``counts`` holds (old, shard, n) on the driver: pairs of shards.
+    """
+
+    blocks: int
+    cuts: DataFrame
+    before: DataFrame
+    slots: DataFrame
+    counts: list[tuple[str, int, int]]
+
+    def changed(self, home: dict[str, int | None]) -> list[int]:
+        """The shards that a document left or came to."""
+        moved = [(home.get(old), shard) for old, shard, _ in self.counts if home.get(old) != shard]
+        return sorted({s for pair in moved for s in pair} - {None})
+
+    def filled(self) -> set[int]:
+        return {shard for _, shard, _ in self.counts}
+
+
+_ORDER = ("order", "key", "digest")
+
+
+def _in_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.shiftright("order", 8), F.lit(blocks)))
 
-    ``carry`` adds the whole row as the struct ``doc``, for :func:`rewrite_shards`.
 
-    Old shards without a home lie elsewhere: all their bytes move. ``capacity`` defaults to equal bytes in ``shards`` shards.
+def _in_shards(rows: DataFrame, cuts: DataFrame, before: DataFrame) -> DataFrame:
+    """``rows`` with the new shard: that of the interval in which the middle of the document lies."""
+    inside = Window.partitionBy("old", "block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("begin", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["old", "block"])
+    middle = F.col("begin") + F.col("before") + F.floor(F.col("size") / 2)
+    cut = summed.withColumn("middle", middle).join(F.broadcast(cuts), "old")  # a row per pair of old and new shard
+    return cut.where((F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("end"))).drop("begin", "before", "middle", "first", "end")
+
+
+def _earlier(group: list[str], order: list[str], amount: str) -> Column:
+    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(amount).over(window), F.lit(0))
+
+
+def plan_moves(
+    docs: DataFrame, old: Column, home: dict[str, int | None], shards: int = 8, text: str = "text", key: str = "doc_id", capacity: list[int] | None = None,
+) -> Moves:
+    """The moves that bring the documents into ``shards`` shards; ``home``: the new shard that is the same place as an old one.
+
+    Old shards without a home lie elsewhere: all their bytes move. ``capacity`` defaults to equal bytes.
     """
-    doc = ["doc"] if carry else []
-    rows = saved(sized(docs, old, text, key, carry))
-    totals = rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row per old shard
+    slim = saved(sized(docs, old, text, key).select("old", "size", *_ORDER))
+    totals = slim.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row per old shard
     sizes = {r["old"]: r["bytes"] for r in totals}
     blocks = max(1, sum(r["n"] for r in totals) // BLOCK_ROWS + 1)
     cuts = transfers(sizes, home, capacity or equal_capacities(sum(sizes.values()), shards))
-    rows = rows.withColumn("block", F.pmod(F.shiftright("order", 8), F.lit(blocks)))
-    placed = _running(rows, "old", "size", "begin").withColumn("middle", F.col("begin") + F.floor(F.col("size") / 2))
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(cuts, "old string, shard int, first long, end long")
-    inside = (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("end"))
-    placed = placed.join(F.broadcast(plan), "old").where(inside)  # a row per pair of old and new shard
-    placed = saved(placed.select("key", "size", "text_crc32", "old", "shard", "order", "digest", "block", *doc))
-    numbered = _running(placed.withColumn("__one", F.lit(1).cast("long")), "shard", "__one", "slot")
-    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "old", "shard", "slot", *doc)
+    plan = docs.sparkSession.createDataFrame(cuts, "old string, shard int, first long, end long")
+    slim = _in_blocks(slim, blocks)
+    held = slim.groupBy("old", "block").agg(F.sum("size").alias("held"))
+    before = saved(held.select("old", "block", _earlier(["old"], ["block"], "held").alias("before")))
+    counted = saved(_in_shards(slim, plan, before).groupBy("old", "block", "shard").agg(F.count(F.lit(1)).alias("n")))
+    slots = saved(counted.select("old", "block", "shard", _earlier(["shard"], ["old", "block"], "n").alias("first_slot")))
+    counts = [tuple(r) for r in counted.groupBy("old", "shard").agg(F.sum("n")).collect()]
+    discard(slim, counted)
+    return Moves(blocks, plan, before, slots, counts)
+
+
+def place(docs: DataFrame, old: Column, moves: Moves, text: str = "text", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """(key, size, text_crc32, old, shard, slot) of every document; ``carry`` adds the whole row as the struct ``doc``, for :func:`rewrite_shards`.
+
+    One shuffle of the rows, to the blocks of their old shards.
+    """
+    rows = _in_shards(_in_blocks(sized(docs, old, text, key, carry), moves.blocks), moves.cuts, moves.before)
+    inside = Window.partitionBy("old", "block", "shard").orderBy(*_ORDER)
+    numbered = rows.withColumn("nth", F.row_number().over(inside)).join(moves.slots, ["old", "block", "shard"])
+    slot = (F.col("first_slot") + F.col("nth") - 1).alias("slot")
+    return numbered.select(F.col("key").alias(key), "size", "text_crc32", "old", "shard", slot, *(["doc"] if carry else []))
+
+
+def assign(
+    docs: DataFrame, old: Column, home: dict[str, int | None], shards: int = 8, text: str = "text", key: str = "doc_id",
+    capacity: list[int] | None = None, carry: bool = False,
+) -> DataFrame:
+    """:func:`place` with the moves of :func:`plan_moves`."""
+    return place(docs, old, plan_moves(docs, old, home, shards, text, key, capacity), text, key, carry)
 
 
 def changed_shards(placed: DataFrame, home: dict[str, int | None]) -> list[int]:
     """The shards that a document left or came to."""
-    here = F.lit(None).cast("int")
-    for name, shard in home.items():
-        here = F.when(F.col("old") == name, F.lit(shard)).otherwise(here)
-    moves = placed.withColumn("here", here).where(~F.col("here").eqNullSafe(F.col("shard")))
-    return sorted({r[0] for r in moves.select(F.explode(F.array("here", "shard"))).distinct().collect()} - {None})  # shards, not rows
+    pairs = placed.select("old", "shard").distinct().collect()  # pairs of shards, not rows
+    return Moves(0, None, None, None, [(r["old"], r["shard"], 0) for r in pairs]).changed(home)
 
 
-def rewrite_shards(placed: DataFrame, changed: list[int], path: str) -> None:
-    """Write the ``changed`` shards to ``path`` (a folder ``shard=k`` each), rows in the order of their slots; other folders stay as they are.
+def rewrite_shards(placed: DataFrame, changed: list[int], path: str, filled: set[int] | None = None) -> None:
+    """Write the ``changed`` shards to ``path`` (a folder ``shard=k`` each), every file in the order of the slots; other folders stay as they are.
 
-    ``placed`` is a stored result of :func:`assign` with ``carry``: its rows are written as they are, the document in the struct ``doc``. A changed
-    shard that all documents left becomes empty.
+    ``placed`` is a result of :func:`place` with ``carry``: its rows are written from where they are, the document in the struct ``doc``. A changed
+    shard that all documents left (not in ``filled``) becomes empty.
     """
-    spark = placed.sparkSession
-    rows = placed.where(F.col("shard").isin(changed)).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    filled = {r[0] for r in placed.where(F.col("shard").isin(changed)).select("shard").distinct().collect()}
+    rows = placed.where(F.col("shard").isin(changed))
+    if filled is None:
+        filled = {r[0] for r in rows.select("shard").distinct().collect()}
+    sorted_rows = rows.sortWithinPartitions("shard", "slot")
+    sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     for k in set(changed) - filled:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={k}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(placed.sparkSession, f"{path}/shard={k}")
 
 
 def rewrite(placed: DataFrame, docs: DataFrame, old: Column, home: dict[str, int | None], path: str, key: str = "doc_id", text: str = "text") -> list[str]:

@@ -97,3 +97,22 @@ def test_the_query_rewrites(spark, monkeypatch):
     monkeypatch.setattr(R, "rewrite_shards", lambda *a: (calls.append(a[1]), write(*a)))
     n = QUERIES["op3_min_cost_flow"](spark, "/root/testdata/sf0.001").count()
     assert calls and calls[0] and n == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+
+
+def test_whole_rows_are_shuffled_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    documents(spark, [(k, "z" * (10 + k % 5)) for k in range(600)]).write.parquet(path)
+    docs, old = spark.read.parquet(path), F.pmod(F.col("doc_id"), F.lit(4))
+    moves = R.plan_moves(docs, old, {str(k): k for k in range(4)}, 4)
+    plan = R.place(docs, old, moves, carry=True)._jdf.queryExecution().executedPlan().toString()
+    at = [k for k, line in enumerate(plan.split("\n")) if "struct(doc_id" in line or "named_struct(doc_id" in line]
+    above = plan.split("\n")[:min(at)]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    chain, now = [], depth(plan.split("\n")[min(at)])
+    for line in reversed(above):  # the operators between the documents and the result
+        if depth(line) < now:
+            chain.append(line)
+            now = depth(line)
+    assert sum("Exchange hashpartitioning" in line for line in chain) == 1
