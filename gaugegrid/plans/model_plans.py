@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gaugegrid.operators import assembly as AS
@@ -20,9 +18,8 @@ from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
 from gaugegrid.settings import BAND_CUTS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
-from gaugegrid.sources.readers import load_model
-from gaugegrid.sources.session import stored, use_checkpoints
-from gaugegrid.sources.sinks import save_model
+from gaugegrid.sources.session import use_checkpoints
+from gaugegrid.sources.store import Store, content_key, digest
 
 KEEP = 0.25
 #: Settings of the final fits, as chosen by the tuning and the screening on the full data; trees of every forest.
@@ -38,12 +35,37 @@ def assembled(t: Tables):
     return AS.assemble(labels, statics, N.neighbour_features(observed, stations, GRID))
 
 
+def _store(t: Tables) -> Store:
+    use_checkpoints(t.spark)
+    return Store(t.spark)
+
+
+def _key(t: Tables) -> str:
+    """What the model table depends on: the events, the grid and the splits."""
+    return digest("assembled", content_key(t.table("events")), repr(GRID), VALIDATION_FROM, TEST_FROM)
+
+
 def _parts(t: Tables):
-    rows = stored(assembled(t))
+    """Sampled training rows, validation rows and test rows; the model table is made once for all queries on the same events."""
+    rows = _store(t).table("assembled", _key(t), lambda: assembled(t))
     parts = AS.chronological_split(rows, "slot", VALIDATION_FROM, TEST_FROM)
     return AS.stratified_sample(parts["train"].drop("w"), KEEP), parts["val"], parts["test"]
 
 
+def _fit(t: Tables, name: str):
+    """Fits that are made once for the same rows and settings."""
+    store = _store(t)
+    return lambda pipeline, rows: store.model(name, pipeline, rows)
+
+
+def _lr(features):
+    return M.logistic_pipeline(features, **LR_SPEC)
+
+
+def _rf(features):
+    return M.forest_pipeline(features, trees=TREES, **RF_SPEC)
+
+
 _T3 = "t3.* EXCLUDE (station_id, slot, year)"
 _CAL = ", ".join(f"round(sin(2 * pi() * {k} * h), 6) AS t0_hod_s{k}, round(cos(2 * pi() * {k} * h), 6) AS t0_hod_c{k}" for k in (1, 2, 3)) + ", " + ", ".join(
     f"round(sin(2 * pi() * {k} * d), 6) AS t0_doy_s{k}, round(cos(2 * pi() * {k} * d), 6) AS t0_doy_c{k}" for k in (1, 2))
@@ -99,41 +121,34 @@ def _scored(rows):
 @query("lr_forecast", "M02 M03 M04 M05 M06 M07 U03")
 def lr_forecast(t: Tables):
     train, val, _ = _parts(t)
-    model = M.logistic_pipeline(AS.feature_columns(train.columns), **LR_SPEC).fit(train)
+    model = _fit(t, "LR-train")(_lr(AS.feature_columns(train.columns)), train)
     return _scored(M.class_probabilities(model, val, "station_id", "slot", "label"))
 
 
 @query("rf_forecast", "M08")
 def rf_forecast(t: Tables):
-    use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    model = M.forest_pipeline(AS.feature_columns(train.columns), trees=TREES, **RF_SPEC).fit(train)
+    model = _fit(t, "RF-train")(_rf(AS.feature_columns(train.columns)), train)
     return _scored(M.class_probabilities(model, val, "station_id", "slot", "label"))
 
 
 @query("tuning", "M09")
 def tuning(t: Tables):
     train, val, _ = _parts(t)
-    return M.tune_logistic(train, val, AS.feature_columns(train.columns))
+    return M.tune_logistic(train, val, AS.feature_columns(train.columns), fit=_store(t).fit)
 
 
 @query("forest_screening", "M10 O02")
 def forest_screening(t: Tables):
     """All five settings of the grid."""
-    use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    return M.screen_forest(train, val, AS.feature_columns(train.columns), TREES)
+    return M.screen_forest(train, val, AS.feature_columns(train.columns), TREES, fit=_fit(t, "RF-screening"))
 
 
 @query("tier_ablation", "M11 R10")
 def tier_ablation(t: Tables):
-    use_checkpoints(t.spark)
     train, val, _ = _parts(t)
-    build = {
-        "LR": lambda f: M.logistic_pipeline(f, **LR_SPEC),
-        "RF": lambda f: M.forest_pipeline(f, trees=TREES, **RF_SPEC),
-    }
-    return M.tier_ablation(train, val, build)
+    return M.tier_ablation(train, val, {"LR": _lr, "RF": _rf}, _fit(t, "tiers"))
 
 
 _LR_FEATURES = ["t1_rain_30", "t1_trend_30", "t0_season", "t0_hod_s1", "t0_hod_c1"]
@@ -160,85 +175,96 @@ def lr_inputs(t: Tables):
     return rows.select("station_id", "slot", *[(v + 0.0).alias(n) for v, n in zip(values, [n for n in terms if n not in ("t0_hod_s1", "t0_hod_c1")])])
 
 
-def _final(t: Tables):
-    """The forest refitted on training and validation rows."""
-    use_checkpoints(t.spark)
+def _final(t: Tables, *names: str):
+    """The final models of these names, fitted on training and validation rows; features, those rows, test rows."""
     train, val, test = _parts(t)
-    fit = stored(train.unionByName(val))
-    features = AS.feature_columns(fit.columns)
-    model = M.forest_pipeline(features, trees=TREES, **RF_SPEC).fit(fit)
-    return model, features, fit, test
+    rows, features = train.unionByName(val), AS.feature_columns(train.columns)
+    pipelines = {"LR": _lr, "RF": _rf}
+    return {name: _fit(t, f"{name}-final")(pipelines[name](features), rows) for name in names}, features, rows, test
 
 
 @query("importance", "M13 M12 O04")
 def importance(t: Tables):
-    model, features, _, _ = _final(t)
-    return M.importance(model, features, t.spark)
+    models, features, _, _ = _final(t, "RF")
+    return M.importance(models["RF"], features, t.spark)
 
 
 @query("tier_permutation", "O10")
 def tier_permutation(t: Tables):
-    model, features, fit, test = _final(t)
-    return M.tier_permutation({"LR": M.logistic_pipeline(features, **LR_SPEC).fit(fit), "RF": model}, test, keep=1.0)
+    models, _, _, test = _final(t, "LR", "RF")
+    return M.tier_permutation(models, test, keep=1.0)
 
 
 @query("final_scores", "M12 M14 A25")
 def final_scores(t: Tables):
-    model, _, _, test = _final(t)
-    rows = M.class_probabilities(model, test, "label", "w", "regime")
-    return S.score(S.with_subsets(rows), "subset", weight="w")
+    """Scores by regime of both refitted models on the test rows."""
+    models, _, _, test = _final(t, "LR", "RF")
+    out = None
+    for name, model in models.items():
+        rows = M.class_probabilities(model, test, "label", "w", "regime")
+        table = S.score(S.with_subsets(rows), "subset", weight="w").withColumn("model", F.lit(name))
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
+def publish(t: Tables) -> None:
+    """Put what serving needs into the store: the final forest and the mapper of its rows."""
+    _, _, rows, _ = _final(t, "RF")
+    _store(t).table("mapper", _key(t), lambda: MP.fit_mapper(rows, F.col("w")))
+
+
+def served_by_newest(t: Tables, asked):
+    """Chances by the forest that was published last and its mapper; nothing is fitted."""
+    store = _store(t)
+    model, mapper = store.newest_model("RF-final"), t.spark.read.parquet(store.entries("tables", "mapper")[-1])
+    return SV.serve_model(asked, _parts(t)[2], model, mapper, GRID)
 
 
 @query("serve_many", "M15 J15 J16 P22")
 def serve_many(t: Tables):
-    """Ask for every test-period event at its own time, at three thresholds."""
-    model, features, fit, test = _final(t)
+    """Ask for every test-period event at its own time, at three thresholds; a session that has published its models only loads them."""
     asked = (
         t.gauge_events().where(F.col("slot") >= TEST_FROM)
         .select("station_id", F.col("ts").alias("at"), F.explode(F.array(F.lit(0.0), F.lit(3.0), F.lit(10.0))).alias("theta"))
     )
-    folder = f"{use_checkpoints(t.spark).rstrip('/')}/serving-{uuid.uuid4().hex}"
-    save_model(model, f"{folder}/model")
-    MP.fit_mapper(fit, F.col("w")).write.parquet(f"{folder}/mapper")
-    served = SV.serve_model(asked, test, load_model(f"{folder}/model"), t.spark.read.parquet(f"{folder}/mapper"), GRID)
-    return SV.with_outcome(served, t.labels(), GRID)
+    publish(t)
+    return SV.with_outcome(served_by_newest(t, asked), t.labels(), GRID)
 
 
 def _five(t: Tables):
-    """Test rows with the probabilities of the three counting forecasts and of both models, all fitted on the rows before."""
-    use_checkpoints(t.spark)
-    train, val, test = _parts(t)
-    fit, features = stored(train.unionByName(val)), AS.feature_columns(train.columns)
+    """Test rows with the probabilities of the three counting forecasts and of both models, all fitted on the rows before; made once."""
+    return _store(t).table("five", digest(_key(t), LR_SPEC, RF_SPEC, TREES, SP.STRENGTH), lambda: _five_built(t))
+
+
+def _five_built(t: Tables):
+    models, _, _, test = _final(t, "LR", "RF")
     before = t.labels().where(F.col("slot") < TEST_FROM)
     rows = test.select("station_id", "slot", "ts", "y_mm", "label", "past30_mm", "regime")
     rows = B.predict_climatology(B.fit_climatology(before, SP.STRENGTH), rows, "climatology")
     rows = B.predict_persistence(B.fit_persistence(before), B.predict_constant(B.fit_constant(before), rows, "constant"), "persistence")
-    models = {
-        "LR": M.logistic_pipeline(features, **LR_SPEC),
-        "RF": M.forest_pipeline(features, trees=TREES, **RF_SPEC),
-    }
-    for name, pipeline in models.items():
-        probs = M.class_probabilities(pipeline.fit(fit), test, "station_id", "slot").withColumnRenamed("probs", name)
-        rows = rows.join(probs, ["station_id", "slot"])
+    for name, model in models.items():
+        rows = rows.join(M.class_probabilities(model, test, "station_id", "slot").withColumnRenamed("probs", name), ["station_id", "slot"])
     return rows
 
 
 FIVE = [*SP.NAMES, "LR", "RF"]
+#: Resampled days of the intervals.
+RESAMPLES = 2000
 
 
 @query("five_scores", "M14 A25")
 def five_scores(t: Tables):
     """All scores of the five forecasts on the test rows, by regime."""
-    long = S.side_by_side(stored(_five(t)), FIVE, ["station_id", "slot", "label", "regime"])
+    long = S.side_by_side(_five(t), FIVE, ["station_id", "slot", "label", "regime"])
     return S.score(S.with_subsets(long), "forecast", "subset")
 
 
 @query("five_bootstrap", "O11 M14")
 def five_bootstrap(t: Tables):
     """RPS of the five forecasts over resampled days, and what the forest gains on the regression and on persistence."""
-    rows = stored(_five(t)).select("ts", "label", *[S.exceedances(F.col(n)).alias(n) for n in FIVE])
+    rows = _five(t).select("ts", "label", *[S.exceedances(F.col(n)).alias(n) for n in FIVE])
     daily = rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), *[F.sum(S.rps(n)).alias(n) for n in FIVE])
-    return I.block_bootstrap(daily, FIVE, 400, [("RF", "LR"), ("RF", "persistence")])
+    return I.block_bootstrap(daily, FIVE, RESAMPLES, [("RF", "LR"), ("RF", "persistence")])
 
 
 @query("serve_counting", "M15 J15 J16 P22", f"""

@@ -235,7 +235,7 @@ def station_clusters(t: Tables):
 
 # ---- inference ----
 
-REPS = 500
+REPS = 10_000
 C["g_shuffled"] = f"""
 SELECT v.rep, v.year, m.month, v.value FROM (
  SELECT rep, year, value, row_number() OVER (PARTITION BY rep, year ORDER BY ('0x' || substr(md5('months|' || rep || '|' || year || '|' || month), 1, 8))::BIGINT, month) AS k
@@ -269,7 +269,7 @@ def mean_interval(t: Tables):
     return I.mean_interval(PP.network(t), "value", "month").select("month", "n", *_r("mean", "sd", "half_width"))
 
 
-BOOT = 400
+BOOT = 2_000
 
 
 @query("block_bootstrap", "O11", f"""
