@@ -4,10 +4,10 @@ In a merge-type vocabulary two neighbouring tokens merge if their concatenation
 Every prefix of a text then has one encoding, and the encoding of a longer text begins with the encoding of what stands before its last
 token. So a table with the last token of every prefix holds all encodings:
 
-* an Aho-Corasick automaton over the pieces names the tokens that end at a character;
+* an Aho-Corasick automaton over the pieces names the tokens of several characters that end at a character;
 * such a token is the last one of the prefix if it is compatible with the last token of what stands before it: encoded together, the two stay
   apart (:class:`Merges`: the merges at the inner edges of both, in the order of their scores, against the merges across the border);
-* exactly one token passes; the ids are read backwards from the end of the table.
+* exactly one token passes, the character itself if no longer one does; the ids are read backwards from the end of the table.
 
 The table takes a step per character, however long the text. Where no piece can cross a border (before white space that follows other
 characters, around characters that are in no longer piece), a text is cut first, and a task remembers the ids of short chunks.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import codecs
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +38,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: The mark that stands for a space.
 MARK = "▁"
 #: Chunks of at most so many characters are remembered, so many of them and so many tested pairs in a task.
-SHORT, CHUNKS, TESTED = 64, 400_000, 1_000_000
-#: Tokens and characters that leave a task at once.
-BATCH_TOKENS = 1 << 19
+SHORT, CHUNKS, TESTED = 64, 600_000, 1_000_000
+#: Characters of a chunk whose part of the table is remembered for other chunks that begin the same.
+HEAD = 6
+#: Bytes of ids that leave a task at once.
+BATCH_BYTES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -134,22 +137,23 @@ class Merges:
                 j += 1
 
 
-def chunk_pattern(rank: dict[str, float]) -> re.Pattern:
-    """Chunks that no piece reaches over: marks with what follows them, ASCII characters that are in no longer piece, and what stands before
-    punctuation, if no piece has such a character before punctuation."""
+def _none_of(chars: set[str]) -> str:
+    return "[^" + "".join(map(re.escape, sorted(chars))) + "]"
+
+
+def chunk_patterns(rank: dict[str, float]) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of chunks that no piece reaches over. Coarse ones are cheap to find: ASCII characters that are in no longer piece, and marks with what
+    follows them. Fine ones cut these once more before punctuation, if no piece has such a character before punctuation."""
     if any(MARK in piece.lstrip(MARK) for piece in rank):
-        return re.compile(".+", re.S)
+        return re.compile(".+", re.S), re.compile(".+", re.S)
     used = {c for piece in rank if len(piece) > 1 for c in piece}
     alone = {c for c in map(chr, range(128)) if c not in used}
+    coarse = f"{MARK}*{_none_of(alone | {MARK})}+|{MARK}+|."
     marks = set(string.punctuation) - alone
     joined = {piece[i - 1] for piece in rank for i in range(1, len(piece)) if piece[i] in marks} | marks | alone | {MARK}
-
-    def none_of(chars: set[str]) -> str:
-        return "[^" + "".join(map(re.escape, sorted(chars))) + "]"
-
     some = "[" + "".join(map(re.escape, sorted(marks))) + "]"
-    before = f"{MARK}*{none_of(marks | alone | {MARK})}*{none_of(joined)}(?={some})|" if marks else ""
-    return re.compile(f"{before}{MARK}*{none_of(alone | {MARK})}+|{MARK}+|.", re.S)
+    fine = f"{MARK}*{_none_of(marks | alone | {MARK})}*{_none_of(joined)}(?={some})|" if marks else ""
+    return re.compile(coarse, re.S), re.compile(fine + coarse, re.S)
 
 
 class Encoder:
@@ -158,32 +162,48 @@ class Encoder:
     def __init__(self, model: Model, split: dict[str, tuple[str, str] | None]):
         self.model, self.names = model, list(split)
         self.ids = [model.token.get(name, -1) for name in self.names]
-        self.merges, self.tested, self.chunks = Merges(split, model.rank), {}, {}
+        self.merges, self.chunks, self.heads = Merges(split, model.rank), {}, {}
         self.width = max(map(len, self.names)).bit_length()
         self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.single, self.after, self.tested = {}, {}, 0
         for k, name in enumerate(self.names):  # a token is its number and its length
-            self.find.add_word(name, k << self.width | len(name))
+            token = k << self.width | len(name)
+            self.after[token] = {}  # tokens that were tested after it
+            if len(name) == 1:
+                self.single[name] = token
+            else:
+                self.find.add_word(name, token)
+        if not len(self.find):
+            self.find.add_word("\0\0", -1)  # an automaton without words cannot be asked
         self.find.make_automaton()
-        self.pattern = chunk_pattern(model.rank)
+        self.coarse, self.fine = chunk_patterns(model.rank)
 
     def last_tokens(self, text: str) -> list[int]:
-        """For every character the last token of the text up to it; -1 for a character that is in no piece."""
-        last, done, tested, known = [-1] * (len(text) + 1), -1, self.tested, self.tested.get  # the end of the list is before the text
-        width, names, apart = self.width, self.names, self.merges.apart
-        full = (1 << width) - 1
+        """For every character the last token of the text up to it, itself if no longer one passes; -1 for a character that is in no piece."""
+        single, after, done, full = self.single, self.after, -1, (1 << self.width) - 1
+        last = [single.get(c, -1) for c in text]
+        tested = [after.get(token) for token in last]
+        tested.append(None)  # the end of the list is before the text
+        head = self.heads.get(text[:HEAD])
+        if head:
+            last[:HEAD], tested[:HEAD] = head
+            done = HEAD - 1
         for end, token in self.find.iter(text):  # longest first at every end
-            if end == done:
+            if end <= done or token < 0:
                 continue
-            before = last[end - (token & full)]
-            if before >= 0:
-                pair = before << 32 | token
-                passed = known(pair)
+            known = tested[end - (token & full)]
+            if known is not None:
+                passed = known.get(token)
                 if passed is None:
-                    passed = tested[pair] = apart(names[before >> width], names[token >> width])
+                    before = last[end - (token & full)]
+                    passed = known[token] = self.merges.apart(self.names[before >> self.width], self.names[token >> self.width])
+                    self.tested += 1
                 if not passed:
                     continue
-            last[end] = token
+            last[end], tested[end] = token, after[token]
             done = end
+        if not head and len(text) > HEAD:
+            self.heads[text[:HEAD]] = last[:HEAD], tested[:HEAD]
         return last
 
     def chunk(self, text: str) -> list[int]:
@@ -200,22 +220,36 @@ class Encoder:
         out.reverse()
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
         if not text:
-            return []
-        out, chunks = [], self.chunks
+            return b""
+        chunks = self.chunks
         if len(chunks) > CHUNKS:
             chunks.clear()
-        if len(self.tested) > TESTED:
-            self.tested.clear()
-        for part in self.pattern.findall((MARK if self.model.prefixed else "") + text.replace(" ", MARK)):
-            ids = chunks.get(part)
-            if ids is None:
-                ids = self.chunk(part)
-                if len(part) <= SHORT:
-                    chunks[part] = ids
-            out += ids
-        return out
+            self.heads.clear()
+        if self.tested > TESTED:
+            self.tested = 0
+            for known in self.after.values():
+                known.clear()
+        parts = self.coarse.findall((MARK if self.model.prefixed else "") + text.replace(" ", MARK))
+        out = list(map(chunks.get, parts))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = self.remembered(parts[k], self.fine.findall(parts[k]))
+        return b"".join(out)
+
+    def remembered(self, part: str, finer: list[str]) -> bytes:
+        ids = self.chunks.get(part)
+        if ids is None:
+            if len(finer) > 1:
+                ids = b"".join([self.remembered(x, [x]) for x in finer])
+            else:
+                ids = array("i", self.chunk(part)).tobytes()
+            if len(part) <= SHORT:
+                self.chunks[part] = ids
+        return ids
 
 
 def encoded(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -227,12 +261,14 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
         for batch in batches:
             row = 0
             while row < len(batch):  # some rows at a time, so that ids of long texts do not pile up
-                first, ends, ids = row, [0], []
-                while row < len(batch) and len(ids) < BATCH_TOKENS:
-                    ids += encoder.encode(batch.column(1)[row].as_py() or "")
-                    ends.append(len(ids))
+                first, size, found = row, 0, []
+                while row < len(batch) and size < BATCH_BYTES:
+                    found.append(encoder.encode(batch.column(1)[row].as_py() or ""))
+                    size += len(found[-1])
                     row += 1
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, row - first), lists], names=["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -244,24 +280,32 @@ def decoded(rows: DataFrame, model: Model, ids: str = "ids", into: str = "decode
     number = {k: b for b, k in enumerate(model.byte_ids)}
     controls = {k for k in range(len(model.pieces)) if k not in number and model.pieces[k] not in model.token}
     table = [b"" if k in controls else bytes([number[k]]) if k in number else p.replace(MARK, " ").encode() for k, p in enumerate(model.pieces)]
-    marked = [model.prefixed and k not in number and p[:1] == MARK for k, p in enumerate(model.pieces)]
-    sent = rows.sparkSession.sparkContext.broadcast((table, marked))
+    # every id a second time, without the mark that encoding puts before a text
+    first = [t[1:] if model.prefixed and k not in number and p[:1] == MARK else t for k, (t, p) in enumerate(zip(table, model.pieces))]
+    sent = rows.sparkSession.sparkContext.broadcast((table + first, np.isin(np.arange(len(table)), list(controls))))
     at, schema = rows.columns.index(ids), StructType([*rows.schema.fields, StructField(into, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codecs.register_error("byte_by_byte", lambda e: ("�", e.start + 1))
-        table, marked = sent.value
+        table, silent = sent.value
+        pieces = pa.array(table, pa.large_binary())
         for batch in batches:
-            texts = []
-            for value in batch.column(at):
-                if not value.is_valid:
-                    texts.append(None)
-                    continue
-                numbers = value.values.to_pylist()
-                text = b"".join([table[k] for k in numbers]).decode("utf-8", "byte_by_byte")
-                first = next((k for k in numbers if table[k]), None)
-                texts.append(text[1:] if first is not None and marked[first] else text)  # the mark that encoding puts before a text
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            lists = batch.column(at)
+            numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            heard = np.flatnonzero(~silent[numbers])  # ids that stand for something; the first of each row loses its mark
+            opening = np.searchsorted(heard, ends[:-1])
+            some = np.flatnonzero(opening < len(heard))
+            some = some[heard[opening[some]] < ends[1:][some]]
+            numbers[heard[opening[some]]] += len(silent)
+            spelled = pieces.take(pa.array(numbers))
+            cuts = np.frombuffer(spelled.buffers()[1], np.int64, len(numbers) + 1, spelled.offset * 8)[ends]
+            data = spelled.buffers()[2]
+            whole = memoryview(data) if data else memoryview(b"")
+            texts = [bytes(whole[a:b]).decode("utf-8", "byte_by_byte") for a, b in zip(cuts.tolist(), cuts.tolist()[1:])]
+            made = pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
