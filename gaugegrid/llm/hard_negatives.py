@@ -21,6 +21,7 @@ table gives an empty result; other columns are not read. A score beyond 64 bits
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,37 +139,58 @@ class Tree:
                 break
             width = fan
 
+    def scores(self, anchors: np.ndarray, wants: list[list[tuple]], lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+        """Scores of the rows, leaf by leaf, for the anchors that have a window reaching into the leaf's bounds; others stay 0."""
+        out = np.zeros((len(anchors), len(self.ids)), np.int64)
+        ends = np.array([[low if least is None else max(low, least), high] for windows in wants for low, high, least in windows], np.int64).reshape(-1, 2)
+        starts = np.cumsum([0, *map(len, wants)])[:-1]
+        some = np.flatnonzero(np.array(list(map(len, wants))) > 0)
+        for leaf in range(lower.shape[1]):
+            owner = np.repeat(np.arange(len(wants)), list(map(len, wants)))
+            reach = (upper[owner, leaf] >= ends[:, 0]) & (lower[owner, leaf] <= ends[:, 1])
+            asked = some[np.logical_or.reduceat(reach, starts[some])] if len(some) else some
+            if len(asked):
+                rows = slice(leaf * self.leaf, (leaf + 1) * self.leaf)
+                out[asked, rows] = products(anchors[asked], self.v[rows])
+        return out
+
     def search(self, anchors: np.ndarray, own: list[int], wants: list[list[tuple]], k: int) -> Iterator[tuple[int, int, int, int]]:
         """(anchor number, want number, id, score) of the first k rows of every want (low, high, least): least score and largest, and the score
         below which nothing is wanted, or None."""
-        limits = [bounds(anchors, low, high) for low, high, _ in self.levels]
+        limits = [tuple(x.tolist() for x in bounds(anchors, low, high)) for low, high, _ in self.levels]
+        least_ids = [least.tolist() for _, _, least in self.levels]
+        scores = self.scores(anchors, wants, *map(np.array, limits[0]))
         top = len(self.levels) - 1
         for a, (me, windows) in enumerate(zip(own, wants)):
             best: list[list[tuple[int, int]]] = [[] for _ in windows]  # heaps of (score, -id), the last row on top
-            queue = [(-int(limits[top][1][a, 0]), int(self.levels[top][2][0]), top, 0)]
+            queue = [(-limits[top][1][a][0], least_ids[top][0], top, 0)]
             while queue:
                 upper, least, level, node = heapq.heappop(queue)
-                lower = int(limits[level][0][a, node])
+                lower = limits[level][0][a][node]
                 open_ = [w for w, window in enumerate(windows) if self._may_hold(window, best[w], k, lower, -upper, least)]
                 if not open_:
                     continue
                 if level:
-                    for child in range(node * self.fan, min((node + 1) * self.fan, len(self.levels[level - 1][2]))):
-                        heapq.heappush(queue, (-int(limits[level - 1][1][a, child]), int(self.levels[level - 1][2][child]), level - 1, child))
+                    uppers, ids = limits[level - 1][1][a], least_ids[level - 1]
+                    for child in range(node * self.fan, min((node + 1) * self.fan, len(ids))):
+                        heapq.heappush(queue, (-uppers[child], ids[child], level - 1, child))
                     continue
                 rows = slice(node * self.leaf, (node + 1) * self.leaf)
-                scores, ids = products(anchors[a:a + 1], self.v[rows])[0], self.ids[rows]
+                order = np.lexsort((-self.ids[rows], scores[a, rows]))
+                found, ids = scores[a, rows][order].tolist(), self.ids[rows][order].tolist()
                 for w in open_:
                     low, high, enough = windows[w]
-                    inside = (scores >= low) & (scores <= high) & (ids != me)
-                    floor = best[w][0][0] if len(best[w]) == k else enough
-                    if floor is not None:
-                        inside &= scores >= floor
-                    for row in zip(scores[inside].tolist(), (-ids[inside]).tolist()):
-                        if len(best[w]) < k:
-                            heapq.heappush(best[w], row)
-                        elif row > best[w][0]:
-                            heapq.heapreplace(best[w], row)
+                    floor, heap = low if enough is None else max(low, enough), best[w]
+                    for at in range(bisect_right(found, high) - 1, -1, -1):  # from the best row in the window down
+                        row = (found[at], -ids[at])
+                        if row[0] < floor or len(heap) == k and row <= heap[0]:
+                            break
+                        if ids[at] == me:
+                            continue
+                        if len(heap) < k:
+                            heapq.heappush(heap, row)
+                        else:
+                            heapq.heapreplace(heap, row)
             for w, found in enumerate(best):
                 for score, minus in found:
                     yield a, w, -minus, score
