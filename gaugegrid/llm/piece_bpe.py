@@ -38,11 +38,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 #: The mark that stands for a space.
 MARK = "▁"
 #: Chunks of at most so many characters are remembered, so many of them and so many tested pairs in a task.
-SHORT, CHUNKS, TESTED = 64, 600_000, 1_000_000
-#: Characters of a chunk whose part of the table is remembered for other chunks that begin the same.
-HEAD = 6
-#: Bytes of ids that leave a task at once.
-BATCH_BYTES = 1 << 21
+SHORT, CHUNKS, TESTED = 64, 200_000, 300_000
+#: Characters of a chunk whose part of the table is remembered for other chunks that begin the same, and how many such parts in a task.
+HEAD, HEADS = 6, 100_000
+#: Bytes of ids that leave a task at once, and ids that are decoded at once beside those of the last row.
+BATCH_BYTES, BATCH_IDS = 1 << 21, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -203,6 +203,8 @@ class Encoder:
             last[end], tested[end] = token, after[token]
             done = end
         if not head and len(text) > HEAD:
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
             self.heads[text[:HEAD]] = last[:HEAD], tested[:HEAD]
         return last
 
@@ -227,7 +229,6 @@ class Encoder:
         chunks = self.chunks
         if len(chunks) > CHUNKS:
             chunks.clear()
-            self.heads.clear()
         if self.tested > TESTED:
             self.tested = 0
             for known in self.after.values():
@@ -275,6 +276,16 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
+def portions(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose lists in column ``at`` begin within the same :data:`BATCH_IDS` entries, so that memory follows these and
+    the longest row, not the number of rows of a batch."""
+    sizes = np.nan_to_num(batch.column(at).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    turns = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BATCH_IDS)) + 1
+    edges = [0, *turns.tolist(), len(batch)]
+    for first, end in zip(edges, edges[1:]):
+        yield batch.slice(first, end - first)
+
+
 def decoded(rows: DataFrame, model: Model, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The rows with the text that the ids stand for; null ids give null."""
     number = {k: b for b, k in enumerate(model.byte_ids)}
@@ -289,7 +300,7 @@ def decoded(rows: DataFrame, model: Model, ids: str = "ids", into: str = "decode
         codecs.register_error("byte_by_byte", lambda e: ("�", e.start + 1))
         table, silent = sent.value
         pieces = pa.array(table, pa.large_binary())
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, at)):
             lists = batch.column(at)
             numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)

@@ -92,3 +92,16 @@ def test_query(spark, library):
 
 def test_empty(none, model):
     assert P.round_trip(none, model).count() == 0 and P.encoded(none, model).select(F.col("ids")).count() == 0
+
+
+def test_small_bounds_change_nothing(spark, model, library, monkeypatch):
+    """Caches that overflow all the time and portions of a few ids: the same ids and texts, in the same order."""
+    for name, bound in (("CHUNKS", 3), ("HEADS", 2), ("TESTED", 5), ("BATCH_BYTES", 64), ("BATCH_IDS", 7)):
+        monkeypatch.setattr(P, name, bound)
+    rows = EDGE + [(40 + k, "some words again " * (k % 5) + "w" * k) for k in range(40)]
+    got = P.decoded(P.encoded(documents(spark, rows), model), model).collect()
+    ids = {t: library.encode(t or "") for _, t in rows}
+    assert sorted(str((r.doc_id, r.ids, r.decoded)) for r in got) == sorted(str((i, ids[t], library.decode(ids[t]))) for i, t in rows)
+    lists = spark.createDataFrame([([3 + k % 250] * (k % 4),) if k % 6 else (None,) for k in range(50)], "ids array<int>")
+    for r in P.decoded(lists, model).collect():
+        assert r.decoded == (None if r.ids is None else library.decode(r.ids))
