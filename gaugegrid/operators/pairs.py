@@ -98,7 +98,20 @@ def lagged_correlation(readings: DataFrame, max_lag: int = 0, by: Column | None
 
     A negative lag is the positive lag of the swapped pair. ``reach`` (``stations``, ``within_km``) limits the pairs.
     """
-    sums = lagged_sums(readings, max_lag, by, **reach)
+    return correlated(lagged_sums(readings, max_lag, by, **reach))
+
+
+def rolled_up(sums: DataFrame, *levels: Column) -> DataFrame:
+    """Joint sums of coarser groups from those of finer ones: each level, an expression of ``g``, is a group that the rows add up to.
+
+    Levels need different names of groups; a level that is null for a row leaves it out.
+    """
+    spread = sums.select(F.explode(F.array_compact(F.array(*levels))).alias("_level"), "i", "j", "lag", *SUMS)
+    return spread.groupBy(F.col("_level").alias("g"), "i", "j", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def correlated(sums: DataFrame) -> DataFrame:
+    """Correlations for i < j and lags of both signs from joint sums."""
     forward = sums.where("i < j")
     backward = sums.where("i > j and lag > 0").select(
         "g", F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("lag")).alias("lag"), *SUMS
@@ -200,6 +213,12 @@ def motion_fit(lags: DataFrame, least_pairs: int = 2) -> DataFrame:
     )
 
 
+def motion_by_level(sums: DataFrame, stations: DataFrame, ring: tuple[float, float], slot_minutes: float, least_shared: int, least_pairs: int) -> DataFrame:
+    """Motion of every group of joint sums: peaks of pairs in the ring that share enough slots at a lag, where enough pairs have one."""
+    lags = with_distance(best_lags(correlated(sums).where(F.col("n") >= least_shared), slot_minutes), stations)
+    return motion_fit(lags.where(F.col("d").between(*ring)), least_pairs)
+
+
 def motion_of(fits: DataFrame, default: dict) -> dict[int, tuple[float, float]]:
     """Heading and speed by season code from fits whose group is the code (a row each); ``default`` where a season has no fit."""
     found = {int(r["g"]): (r["heading"], r["speed"]) for r in fits.where("speed IS NOT NULL").select("g", "heading", "speed").collect()}

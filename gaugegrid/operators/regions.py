@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugegrid.functions.geo import with_xy
+from gaugegrid.operators.inference import normal_tail
 from gaugegrid.operators.ranks import average_ranks
 from gaugegrid.settings import CLUSTER_TEST_BANDS
+from gaugegrid.sources.session import stored
 
 
 def read_regions(spark, path: str, name: str = "REGION_N") -> DataFrame:
@@ -84,30 +86,44 @@ def _nearest_region(points: DataFrame, vertices: DataFrame, key: str, lon: str,
     return sure.groupBy(key).agg(F.min_by("best.region", "level").alias("nearest"))
 
 
-def core_stations(pairs: DataFrame, stations: DataFrame, least_shared: int) -> DataFrame:
+def core_stations(pairs: DataFrame, stations: DataFrame, least_shared: int, by: str | None = None) -> DataFrame:
     """Stations left after repeatedly dropping the one with most pairs that share too few slots, the smallest id of equals.
 
     ``pairs`` (``i``, ``j``, ``n``) holds pairs that share some slot; a pair that is missing shares none. A station's short pairs are
-    therefore all others that are left, less those it shares enough with. Each round is one small aggregate, bounded by the network; only
-    the name of the dropped station comes back, so the plan does not grow.
+    therefore all others that are left, less those it shares enough with, so only the latter are kept. With ``by``, a column of both
+    tables, every group has its own answer and all groups are worked on together.
+
+    A station that comes before all its short partners in the order of dropping is dropped before any of them, whatever else goes first:
+    others drop only what comes before it, and none of these is a partner. So all such stations go in one round, and each takes one off
+    the count of those it shares enough with, not of the others. Rounds follow the longest chain of stations that wait for each other.
     """
-    both = pairs.where(F.col("n") >= least_shared).select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
-    good = both.select("p.i", "p.j").persist()
-    every = stations.select("station_id").distinct().persist()
-    total, dropped = every.count(), []
-    try:
-        while True:
-            left = every.where(~F.col("station_id").isin(dropped)) if dropped else every
-            rich = good.where(~F.col("j").isin(dropped)) if dropped else good
-            shared = rich.groupBy(F.col("i").alias("station_id")).agg(F.count(F.lit(1)).alias("shared"))
-            short = F.lit(total - len(dropped) - 1) - F.coalesce("shared", F.lit(0))
-            worst = left.join(shared, "station_id", "left").select("station_id", short.alias("short")).orderBy(F.desc("short"), "station_id").first()
-            if worst is None or worst["short"] <= 0:
-                return stations.select("station_id").distinct().where(~F.col("station_id").isin(dropped))
-            dropped.append(worst["station_id"])
-    finally:
-        good.unpersist()
-        every.unpersist()
+    return core_rounds(pairs, stations, least_shared, by)[0]
+
+
+def core_rounds(pairs: DataFrame, stations: DataFrame, least_shared: int, by: str | None = None) -> tuple[DataFrame, int]:
+    """The stations of :func:`core_stations` and the number of rounds it took."""
+    group = F.lit("all") if by is None else F.col(by)
+    enough = pairs.where((F.col("n") >= least_shared) & (F.col("i") != F.col("j"))).select(group.alias("_g"), "i", "j")
+    good = stored(enough.unionByName(enough.select("_g", F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
+    every = stations.select(group.alias("_g"), F.col("station_id").alias("i")).distinct()
+    left = stored(every.join(good.groupBy("_g", "i").agg(F.count(F.lit(1)).alias("good")), ["_g", "i"], "left").na.fill(0, ["good"]))
+    order = Window.partitionBy("_g").orderBy("good", "i")  # stations of a network: fewest good partners are most short ones
+    rounds = 0
+    while True:
+        ranked = left.withColumns({"place": F.row_number().over(order) - 1, "others": F.count(F.lit(1)).over(Window.partitionBy("_g")) - 1})
+        seen = ranked.select("_g", "i", "place")
+        before = (
+            good.join(seen, ["_g", "i"]).join(seen.select("_g", F.col("i").alias("j"), F.col("place").alias("of_j")), ["_g", "j"])
+            .where("of_j < place").groupBy("_g", "i").agg(F.count(F.lit(1)).alias("before"))
+        )
+        first = (F.col("good") < F.col("others")) & (F.col("place") == F.coalesce("before", F.lit(0)))  # nothing before it but good partners
+        judged = stored(ranked.join(before, ["_g", "i"], "left").select("_g", "i", "good", first.alias("goes")))
+        gone = judged.where("goes")
+        if gone.isEmpty():
+            return left.select(*([F.col("_g").alias(by)] if by else []), F.col("i").alias("station_id")), rounds
+        rounds += 1
+        lost = good.join(gone.select("_g", F.col("i").alias("j")), ["_g", "j"]).groupBy("_g", "i").agg(F.count(F.lit(1)).alias("lost"))
+        left = judged.where("not goes").join(lost, ["_g", "i"], "left").select("_g", "i", (F.col("good") - F.coalesce("lost", F.lit(0))).alias("good"))
 
 
 def station_clusters(pairs: DataFrame, stations: DataFrame, k: int = 3) -> DataFrame:
@@ -144,6 +160,37 @@ def assign_by_correlation(pairs: DataFrame, members: DataFrame, least_shared: in
     return best.where(F.col("shared") >= least_members).select(F.col("i").alias("station_id"), "cluster", "shared", "mean_r")
 
 
+def region_chain(pairs: DataFrame, stations: DataFrame, least_shared: int, k: int = 3, least_members: int = 5) -> DataFrame:
+    """Clusters of the core stations, and of the others by their correlation with those: (``station_id``, ``cluster``, ``core``).
+
+    Stations that share too few slots with the core have no cluster.
+    """
+    core = core_stations(pairs, stations, least_shared)
+    members = stored(station_clusters(among(pairs, core), stations.join(core, "station_id", "left_semi"), k).withColumnRenamed("position", "cluster"))
+    others = assign_by_correlation(pairs, members, least_shared, least_members).select("station_id", "cluster")
+    named = members.select("station_id", "cluster", F.lit(True).alias("core")).unionByName(others.withColumn("core", F.lit(False)))
+    return stations.select("station_id").distinct().join(named, "station_id", "left").select("station_id", "cluster", F.coalesce("core", F.lit(False)).alias("core"))
+
+
+def among(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs whose two stations are members."""
+    ids = members.select("station_id")
+    return pairs.join(ids.withColumnRenamed("station_id", "i"), "i", "left_semi").join(ids.withColumnRenamed("station_id", "j"), "j", "left_semi").select(*pairs.columns)
+
+
+def half_clusters(halves: DataFrame, stations: DataFrame, least_shared: int, k: int = 3) -> DataFrame:
+    """Clusters (``odd``, ``even``) that each half of the time gives to the stations that are core stations in both halves.
+
+    ``halves`` has the pairs of both halves under ``g`` = odd and even.
+    """
+    both = F.explode(F.array(F.lit("odd"), F.lit("even")))
+    cores = core_stations(halves, stations.select("station_id").distinct().withColumn("g", both), least_shared, by="g")
+    shared = stored(cores.groupBy("station_id").agg(F.count_distinct("g").alias("n")).where("n = 2").select("station_id"))
+    inner, places = stored(among(halves, shared)), stations.join(shared, "station_id", "left_semi")
+    odd, even = (station_clusters(inner.where(F.col("g") == half), places, k).withColumnRenamed("position", half) for half in ("odd", "even"))
+    return odd.join(even, "station_id")
+
+
 def _choose2(n: Column) -> Column:
     return n * (n - 1) / 2
 
@@ -163,8 +210,8 @@ def rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:
 def within_across(pairs: DataFrame, members: DataFrame, bands=CLUSTER_TEST_BANDS) -> DataFrame:
     """Correlations of pairs inside one cluster against pairs across clusters, per distance band.
 
-    Medians, Mann-Whitney U of the inside pairs and its tie-corrected normal deviate ``z`` (with continuity
-    correction, large when inside pairs correlate more).
+    Medians, Mann-Whitney U of the inside pairs, its tie-corrected normal deviate ``z`` (with continuity
+    correction, large when inside pairs correlate more) and the one-sided ``p``.
     """
     a = members.select(F.col("station_id").alias("i"), F.col("cluster").alias("ci"))
     b = members.select(F.col("station_id").alias("j"), F.col("cluster").alias("cj"))
@@ -194,4 +241,5 @@ def rank_test(rows: DataFrame, keys: list[str], value: str, inside: str, cells:
     n = n1 + n2
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
-    return s.select(*keys, "n_within", "n_across", "within", "across", u.alias("u"), F.try_divide(u - n1 * n2 / 2 - 0.5, sd).alias("z"))
+    z = F.try_divide(u - n1 * n2 / 2 - 0.5, sd)
+    return s.select(*keys, "n_within", "n_across", "within", "across", u.alias("u"), z.alias("z"), normal_tail(z).alias("p"))

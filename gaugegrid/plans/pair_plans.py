@@ -17,6 +17,7 @@ from gaugegrid.plans.registry import query
 from gaugegrid.operators import scoring as S
 from gaugegrid.settings import CLUSTER_TEST_BANDS
 from gaugegrid.sources.fixtures import GRID, Tables
+from gaugegrid.sources.session import stored
 
 C = sqltext.CTES
 _R = """(count(*) * sum(x * y) - sum(x) * sum(y)) / nullif(sqrt(greatest((count(*) * sum(x * x) - sum(x) ** 2) * (count(*) * sum(y * y) - sum(y) ** 2), 0)), 0)"""
@@ -150,6 +151,38 @@ def season_motion(t: Tables):
     return season_motion_fits(t).select("g", "pairs", *[F.round(c, 4).alias(c) for c in ("speed", "heading")], *_r("r2"))
 
 
+def season_year_fits(t: Tables):
+    """Motion per season (``year`` null) and per season and year. The series are read once, by season and year; their joint sums add up to those of
+    the seasons, and each level asks its own pairs for enough shared slots and its own groups for enough pairs."""
+    at = time_of("slot", GRID)
+    fine = F.concat_ws("|", season_code(F.month(at)), F.year(at))
+    sums = stored(P.lagged_sums(t.readings(), 3, fine, stations=t.stations(), within_km=P_RING[1]))
+    return P.motion_by_level(P.rolled_up(sums, F.substring_index("g", "|", 1), F.col("g")), t.stations(), P_RING, 180.0, LEAST_SHARED, LEAST_PAIRS)
+
+
+def _motions(source: str) -> str:
+    return f"""SELECT g, pairs, round(60 / sqrt(a * a + b * b), 4) AS speed, round(((degrees(atan2(a, b)) % 360) + 360) % 360, 4) AS heading,
+       round(1 - (tt - a * xt - b * yt) / (tt - t * t / pairs), 6) AS r2 FROM (
+ SELECT *, (yy * xt - xy * yt) / (xx * yy - xy * xy) AS a, (xx * yt - xy * xt) / (xx * yy - xy * xy) AS b FROM (
+  SELECT g, count(*) AS pairs, sum(dx * dx) AS xx, sum(dx * dy) AS xy, sum(dy * dy) AS yy, sum(dx * lag) AS xt, sum(dy * lag) AS yt, sum(lag * lag) AS tt, sum(lag) AS t
+  FROM {source} GROUP BY g HAVING count(*) >= {LEAST_PAIRS}))"""
+
+
+_REFERENCE = "TIMESTAMP '2024-01-01' + to_seconds(CAST(CASE WHEN l.lag >= 0 THEN a.slot ELSE b.slot END AS BIGINT) * 10800)"
+C["g_season_year_corr"] = _corr_sql("g_readings", 3, f"CASE WHEN month({_REFERENCE}) IN (12, 1, 2, 3) THEN '0' ELSE '1' END || '|' || year({_REFERENCE})")
+C["g_season_year_peaks"] = C["g_peaks"].replace("g_half_corr", f"g_season_year_corr WHERE n >= {LEAST_SHARED}")
+C["g_season_year_best"] = C["g_best"].replace("g_peaks", "g_season_year_peaks")
+
+
+@query("season_year_motion", "C12", f"""
+SELECT CAST(split_part(g, '|', 1) AS INTEGER) AS season, TRY_CAST(split_part(g, '|', 2) AS INTEGER) AS year, pairs, speed, heading, r2
+FROM ({_motions("g_season_best")} UNION ALL {_motions("g_season_year_best")})""")
+def season_year_motion(t: Tables):
+    parts = F.split("g", "[|]")
+    names = [F.get(parts, k).cast("int").alias(name) for k, name in enumerate(("season", "year"))]
+    return season_year_fits(t).select(*names, "pairs", *[F.round(c, 4).alias(c) for c in ("speed", "heading")], *_r("r2"))
+
+
 REGIONS = (
     ("A", 0, ((103.60, 1.20), (103.72, 1.20), (103.72, 1.26), (103.60, 1.26))),
     ("B", 0, ((103.72, 1.20), (103.80, 1.20), (103.80, 1.26), (103.72, 1.26))),
@@ -212,15 +245,17 @@ FROM g_corr c JOIN g_pairs p ON p.s = c.i AND p.j = c.j JOIN g_region a ON a.sta
 
 
 @query("rank_test", "C09 W12", """
-SELECT band, n1 AS n_within, n2 AS n_across, round(within, 6) AS within, round(across, 6) AS across, u, round((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z FROM (
+SELECT * EXCLUDE (zz, tail), round(zz, 6) AS z, round(CASE WHEN zz >= 0 THEN tail ELSE 1 - tail END, 9) AS p FROM (SELECT *, 0.5 - exp(-zz * zz / 2) / sqrt(2 * pi()) * abs(zz) *
+  list_sum(list_transform(range(0, 150), lambda k: exp(k * ln(greatest(zz * zz, 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))) AS tail FROM (
+SELECT band, n1 AS n_within, n2 AS n_across, round(within, 6) AS within, round(across, 6) AS across, u, ((u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0))))) AS zz FROM (
  SELECT band, count(*) FILTER (inside) AS n1, count(*) FILTER (NOT inside) AS n2, quantile_cont(r, 0.5) FILTER (inside) AS within, quantile_cont(r, 0.5) FILTER (NOT inside) AS across,
    sum(rk) FILTER (inside) - count(*) FILTER (inside) * (count(*) FILTER (inside) + 1) / 2 AS u, sum(t * t - 1) AS ties FROM (
-  SELECT *, rank() OVER (PARTITION BY band ORDER BY r) + (count(*) OVER (PARTITION BY band, r) - 1) / 2 AS rk, count(*) OVER (PARTITION BY band, r) AS t FROM g_tested WHERE band IS NOT NULL) GROUP BY band)""")
+  SELECT *, rank() OVER (PARTITION BY band ORDER BY r) + (count(*) OVER (PARTITION BY band, r) - 1) / 2 AS rk, count(*) OVER (PARTITION BY band, r) AS t FROM g_tested WHERE band IS NOT NULL) GROUP BY band)))""")
 def rank_test(t: Tables):
     members = R.region_of(t.stations(), region_table(t)).select("station_id", F.col("region").alias("cluster"))
     near = P.lagged_correlation(t.readings(), stations=t.stations(), within_km=float(CLUSTER_TEST_BANDS[-1][1]))
     pairs = P.with_distance(near, t.stations()).withColumn("r", F.round("r", 9))
-    return R.within_across(pairs, members).select("band", "n_within", "n_across", *_r("within", "across"), "u", *_r("z"))
+    return R.within_across(pairs, members).select("band", "n_within", "n_across", *_r("within", "across"), "u", *_r("z"), F.round("p", 9).alias("p"))
 
 
 @query("core_stations", "C04 O05")
@@ -228,6 +263,21 @@ def core_stations(t: Tables):
     return R.core_stations(P.lagged_correlation(t.readings()), t.stations(), 178)
 
 
+@query("region_chain", "C04 C05 C06 C07")
+def region_chain(t: Tables):
+    """Regions of all stations: clusters of the core stations, the others assigned to them."""
+    pairs = stored(P.lagged_correlation(t.readings()))
+    return R.region_chain(pairs, t.stations(), 178)
+
+
+@query("half_agreement", "C08 O05 P31")
+def half_agreement(t: Tables):
+    """Adjusted Rand index of the clusters of odd and of even days, over the stations that are core stations in both."""
+    odd = F.pmod(F.col("slot"), F.lit(16)) < 8
+    halves = stored(P.lagged_correlation(t.readings(), 0, F.when(odd, "odd").otherwise("even")))
+    return R.rand_index(R.half_clusters(halves, t.stations(), 89), "odd", "even").select("n", *_r("ari"))
+
+
 @query("station_clusters", "C05 C06")
 def station_clusters(t: Tables):
     return R.station_clusters(P.lagged_correlation(t.readings()), t.stations())
@@ -310,6 +360,13 @@ def harmonic_f(t: Tables):
     return I.nested_f(I.harmonic_fit(PP.network(t), "value", (F.col("month") - 0.5) / 12, (1, 2)), 1, 2)
 
 
+@query("month_f", "C14")
+def month_f(t: Tables):
+    """Do twelve month means explain more than two cos/sin pairs?"""
+    monthly = PP.network(t)
+    return I.level_f(I.harmonic_fit(monthly, "value", (F.col("month") - 0.5) / 12, (2,)), monthly, "value", "month", 2)
+
+
 def _levels(t: Tables):
     span = PP.network(t).agg(F.min("year"), F.max("year")).first()
     return {"month": list(range(1, 13)), "year": list(range(span[0], span[1] + 1))}
