@@ -299,8 +299,8 @@ SELECT theta, CAST(sum(CAST(y_mm > theta AS INTEGER)) FILTER (forecast = 'consta
   {", ".join(f"avg(CASE WHEN forecast = '{n}' THEN ({_exceed()} - CAST(y_mm > theta AS INTEGER)) ** 2 END) AS {n[:4]}" for n in NAMES)}
 FROM g_fc, {_theta_cte(SKILL_THETAS)} x GROUP BY theta)""")
 def skill_by_threshold(t: Tables):
-    at = M.with_thresholds(forecasts(t, exceed=True), M.fit_mapper(t.train_labels()), list(SKILL_THETAS), *NAMES)
-    out = S.skill_by_threshold(at, NAMES, "climatology")
+    shares = M.threshold_shares(M.fit_mapper(t.train_labels()), list(SKILL_THETAS))
+    out = S.skill_from_sums(forecasts(t, exceed=True), shares, NAMES, "climatology")
     return out.select("theta", "events", *_r("event_rate", "bss_constant", "bss_persistence"))
 
 
