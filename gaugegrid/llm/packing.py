@@ -16,7 +16,8 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,15 +85,19 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, text: str = "text"
     groups = rows.where("length > 0").count() // GROUP_PIECES + 1
     dealt = rows.where("length > 0").withColumn("sequence_group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "key", "start"], ascending=[False, True, True], na_position="last", ignore_index=True)
-        where, offset, shrunk = best_fit(part["length"].to_numpy(), lengths)
-        filled = np.bincount(where, weights=part["length"], minlength=len(shrunk)).astype(np.int64)
-        return part.assign(sequence=where, capacity=shrunk[where], filled=filled[where], offset=offset)
+    def run(part: pa.Table) -> pa.Table:
+        order = pc.sort_indices(part, sort_keys=[("length", "descending"), ("key", "ascending"), ("start", "ascending")])  # nulls last
+        part = part.take(order).combine_chunks()
+        sizes = part["length"].to_numpy()
+        where, offset, shrunk = best_fit(sizes, lengths)
+        filled = np.bincount(where, weights=sizes, minlength=len(shrunk)).astype(np.int64)
+        for name, column in (("sequence", where), ("capacity", shrunk[where]), ("filled", filled[where]), ("offset", offset)):
+            part = part.append_column(name, pa.array(column, pa.int64()))
+        return part
 
     kind = rows.schema["key"].dataType.simpleString()
     schema = (
         f"key {kind}, n_units long, start long, length int, sequence_group long, sequence long, capacity long, filled long, offset long"
     )
-    packed = dealt.groupBy("sequence_group").applyInPandas(run, schema)
+    packed = dealt.groupBy("sequence_group").applyInArrow(run, schema)
     return packed.unionByName(rows.where("length = 0"), allowMissingColumns=True).withColumnRenamed("key", key)

@@ -21,6 +21,44 @@ def test_best_fit_places_everything():
             assert sizes.sum() / lengths.sum() > 0.97
 
 
+def plain_best_fit(sizes, lengths, fixed):
+    """The rule in plain loops: look at every open sequence for every piece."""
+    rate = min((n + fixed) / n for n in lengths)
+    bins = []
+    for clock, size in enumerate(sizes):
+        fitting = [b for b in bins if b["room"] >= size]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["room"], -b["touched"]))  # of equal rooms the one changed last
+        else:
+            def cost(n):
+                return n + fixed - rate * (n - size) * sum(s <= n - size for s in sizes) / len(sizes)
+
+            n = min((n for n in lengths if n >= size), key=lambda n: (cost(n), n))
+            b = {"room": n, "contents": []}
+            bins.append(b)
+        b["room"] -= size
+        b["touched"] = clock
+        b["contents"].append(size)
+    return [(b["contents"], min(n for n in lengths if n >= sum(b["contents"]))) for b in bins]
+
+
+def test_best_fit_against_plain_loops():
+    draw = np.random.default_rng(7)
+    for lengths, fixed in (((64, 128, 256), 8), ((256, 512, 1024, 2048), 32), ((100,), 0), ((10, 11, 300), 500)):
+        for top in (3, max(lengths) // 3, max(lengths)):
+            sizes = np.sort(draw.integers(1, top + 1, 400))[::-1]
+            where, offset, shrunk = P.best_fit(sizes, lengths, fixed)
+            got = [(sizes[where == b].tolist(), int(shrunk[b])) for b in range(len(shrunk))]
+            assert got == plain_best_fit(sizes.tolist(), lengths, fixed)
+
+
+def test_large_ids_beside_a_null_id_stay_as_they_are(spark):
+    ids = [2**53 + 1, None, 2**53 + 3, 2**62 + 1, 5]
+    got = P.pack(documents(spark, [(i, "one two three") for i in ids])).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted(ids, key=str)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.offset)] == [5, 2**53 + 1, 2**53 + 3, 2**62 + 1, None]
+
+
 def test_documents_against_their_words(spark):
     rows = EDGE + [(50 + k, "w " * (k * 97 % 700)) for k in range(60)]
     got = P.pack(documents(spark, rows), lengths=(64, 128, 256)).collect()
