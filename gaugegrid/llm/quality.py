@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from gaugegrid.llm.common import SPACE, words_of
 
-#: Rows of the sample on which cost and selectivity are measured, at most.
+#: Rows of the sample on which cost and selectivity are measured, on average, and the seed of its draw.
 SAMPLE_ROWS = 200
+SEED = 42
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -84,17 +85,32 @@ def rules(m: Mapping[str, Column], text: Column) -> dict[str, Column]:
     }
 
 
-def cascade_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Names of the rules, most rejections per second of work first."""
-    rows = docs.select(F.col(text).alias("text")).take(sample_rows)  # reads as many partitions as it needs, and no more
-    sample = _parts(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), "text").persist()
+def sampled(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``sample_rows`` texts drawn from all partitions alike, in one partition."""
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    rows = docs.select(F.col(text).alias("text")).sample(share, SEED).collect()
+    return docs.sparkSession.createDataFrame(rows, "text string").coalesce(1)
+
+
+def cascade_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, repeats: int = 2) -> list[str]:
+    """Names of the rules, most rejections per second of work first; the work of a rule is its shortest run less that of a rule that is no work."""
+    sample = _parts(sampled(docs, text, sample_rows), "text").persist()
+
+    def timed(fails: Column) -> tuple[int, float]:
+        seconds = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            rejected = sample.select(F.count_if(fails)).first()[0]
+            seconds.append(time.perf_counter() - began)
+        return rejected, min(seconds)
+
     try:
         n = max(sample.count(), 1)
+        _, idle = timed(F.col("text").isNull())
         worth = {}
         for name, fails in _rules_of_parts().items():
-            began = time.perf_counter()
-            rejected = sample.select(F.count_if(fails)).first()[0]
-            worth[name] = (rejected / n) / max(time.perf_counter() - began, 1e-6)
+            rejected, seconds = timed(fails)
+            worth[name] = (rejected / n) / max(seconds - idle, 1e-6)
     finally:
         sample.unpersist()
     return sorted(worth, key=lambda name: -worth[name])

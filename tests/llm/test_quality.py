@@ -34,6 +34,13 @@ def test_order_changes_the_work_and_not_the_verdict(edge):
     assert verdicts[0] == verdicts[1]
 
 
+def test_the_sample_comes_from_all_partitions(spark, none):
+    docs = spark.range(4000, numPartitions=8).select(Q.F.col("id").alias("doc_id"), Q.F.concat(Q.F.lit("t"), Q.F.col("id")).alias("text"))
+    rows = [int(r.text[1:]) for r in Q.sampled(docs, sample_rows=400).collect()]
+    assert 250 < len(rows) < 550 and {i // 500 for i in rows} == set(range(8)) and len(set(rows)) == len(rows)
+    assert Q.sampled(none).count() == 0 and len(Q.cascade_order(none)) == 7
+
+
 def test_good_documents(spark, none):
     good = " ".join(f"word{k}" for k in range(80))
     docs = documents(spark, [(1, good), (2, " ".join(f"SHOUTING{'ABCDEFGH'[k % 8]}{'PQRSTUVWXYZ'[k % 11]}" for k in range(80))), (3, "x " * 100), (None, good), (4, None), (5, " ".join(f"w{k}#" for k in range(80)))])
