@@ -13,10 +13,12 @@ from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import scoring as S
 from gaugegrid.operators import serve as SV
 from gaugegrid.operators.trailing import observed_rows
+from gaugegrid.plans import feature_plans as FP
 from gaugegrid.plans import score_plans as SP
+from gaugegrid.plans import sqltext
 from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
-from gaugegrid.settings import BAND_CUTS
+from gaugegrid.settings import BAND_CUTS, STATION_FEATURES, T2_COLUMNS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
 from gaugegrid.sources.session import use_checkpoints
 from gaugegrid.sources.store import Store, content_key, digest
@@ -45,9 +47,14 @@ def _key(t: Tables) -> str:
     return digest("assembled", content_key(t.table("events")), repr(GRID), VALIDATION_FROM, TEST_FROM)
 
 
+def _model_table(t: Tables):
+    """The model table, made once for all queries on the same events."""
+    return _store(t).table("assembled", _key(t), lambda: assembled(t))
+
+
 def _parts(t: Tables):
-    """Sampled training rows, validation rows and test rows; the model table is made once for all queries on the same events."""
-    rows = _store(t).table("assembled", _key(t), lambda: assembled(t))
+    """Sampled training rows, validation rows and test rows."""
+    rows = _model_table(t)
     parts = AS.chronological_split(rows, "slot", VALIDATION_FROM, TEST_FROM)
     return AS.stratified_sample(parts["train"].drop("w"), KEEP), parts["val"], parts["test"]
 
@@ -71,20 +78,43 @@ _CAL = ", ".join(f"round(sin(2 * pi() * {k} * h), 6) AS t0_hod_s{k}, round(cos(2
     f"round(sin(2 * pi() * {k} * d), 6) AS t0_doy_s{k}, round(cos(2 * pi() * {k} * d), 6) AS t0_doy_c{k}" for k in (1, 2))
 
 
-@query("assembled", "J05 J06 D12 S11 M01", f"""
+C = sqltext.CTES
+C["g_assembled"] = f"""
 SELECT l.station_id, l.slot, ts, l.year, y_mm, label, 1.0::DOUBLE AS w, past30_mm, regime, round(x.x_km, 6) AS t0_x_km, round(x.y_km, 6) AS t0_y_km,
   round(r.t0_wet_ratio, 6) AS t0_wet_ratio, round(r.t0_heavy_ratio, 6) AS t0_heavy_ratio, {_CAL}, CAST({season_sql("month(ts)")} AS DOUBLE) AS t0_season,
   t1.* EXCLUDE (station_id, slot, year), t2.* EXCLUDE (station_id, slot, year), {_T3}
 FROM (SELECT *, (hour(ts) * 60 + minute(ts)) / 1440.0::DOUBLE AS h, (dayofyear(ts) - 1 + (hour(ts) * 60 + minute(ts)) / 1440.0::DOUBLE) / 366 AS d FROM g_labels) l
 JOIN g_xy x USING (station_id) JOIN g_ratios r ON r.station_id = l.station_id
 LEFT JOIN g_t1 t1 ON t1.station_id = l.station_id AND t1.slot = l.slot LEFT JOIN g_t2 t2 ON t2.station_id = l.station_id AND t2.slot = l.slot
-LEFT JOIN g_t3 t3 ON t3.station_id = l.station_id AND t3.slot = l.slot""")
+LEFT JOIN g_t3 t3 ON t3.station_id = l.station_id AND t3.slot = l.slot"""
+
+
+@query("assembled", "J05 J06 D12 S11 M01", "SELECT * FROM g_assembled")
 def assembled_table(t: Tables):
-    rows = assembled(t)
+    return _rounded_statics(assembled(t))
+
+
+def _rounded_statics(rows):
     rounded = [c for c in rows.columns if c.startswith("t0_") and c != "t0_season"]
     return rows.select(*[(F.round(c, 6) + 0.0).alias(c) if c in rounded else c for c in rows.columns])
 
 
+_STATIC = [*STATION_FEATURES, *[f"t0_{p}_{w}{k}" for p, ks in (("hod", (1, 2, 3)), ("doy", (1, 2))) for k in ks for w in ("s", "c")], "t0_season"]
+_SIGNALS = _STATIC + SP.T1 + list(T2_COLUMNS) + FP._CHANGES + FP._UPSTREAM
+C["g_drawn"] = f"""SELECT * FROM g_assembled WHERE slot < {VALIDATION_FROM} AND ('0x' || substr(md5('42|' || station_id || '|' || slot), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2"""
+
+
+@query("feature_signal_tiers", "A37 O08", f"""
+SELECT * FROM ({SP.signal_sql("g_drawn", _SIGNALS)})
+UNION ALL SELECT 'event_rate', 0, round(avg(CAST(label > 0 AS INTEGER)), 6), round(avg(CASE WHEN regime = 'dry_now' THEN CAST(label > 0 AS INTEGER) END), 6) FROM g_drawn""")
+def feature_signal_tiers(t: Tables):
+    """All features of the four tiers on a fifth of the training rows, beside what no skill reaches."""
+    train = AS.chronological_split(_rounded_statics(_model_table(t)), "slot", VALIDATION_FROM, TEST_FROM)["train"]
+    rows = AS.bernoulli_sample(train, 0.2)
+    found = S.feature_signal(rows, AS.feature_columns(rows.columns)).unionByName(S.event_rate_row(rows))
+    return found.select("feature", "direction", *[F.round(c, 6).alias(c) for c in ("auc_pr_all", "auc_pr_dry")])
+
+
 _SAMPLE = f"""SELECT station_id, slot, label, CASE WHEN label = 0 THEN {1 / KEEP} ELSE 1.0 END::DOUBLE AS w FROM g_train
 WHERE label > 0 OR ('0x' || substr(md5('42|' || station_id || '|' || slot), 1, 8))::BIGINT / 4294967296.0::DOUBLE < {KEEP}"""
 

@@ -305,15 +305,20 @@ def skill_by_threshold(t: Tables):
 
 
 T1 = [f"t1_rain_{m}" for m in TRAILING_SLOTS] + ["t1_max5_30", "t1_wet_slots_60", "t1_trend_30", "t1_min_since_rain", "t1_missing_120"]
-_SIGNAL = f"""(SELECT b.feature, b.direction, s.subset, CAST(b.value * b.direction AS DOUBLE) AS score, b.event FROM
- (SELECT *, CASE WHEN avg(CASE WHEN event = 1 THEN value END) OVER (PARTITION BY feature) >= avg(CASE WHEN event = 0 THEN value END) OVER (PARTITION BY feature) THEN 1 ELSE -1 END AS direction
-  FROM ({" UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CAST(label > 0 AS INTEGER) AS event, regime FROM (SELECT * EXCLUDE (year) FROM g_train) JOIN g_t1 USING (station_id, slot)" for f in T1)})) b
+
+
+def signal_sql(source: str, features: list[str]) -> str:
+    """Direction and areas of single features; ``source`` has the features, ``label`` and ``regime``."""
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CAST(label > 0 AS INTEGER) AS event, regime FROM {source}" for f in features)
+    rows = f"""(SELECT b.feature, b.direction, s.subset, CAST(b.value * b.direction AS DOUBLE) AS score, b.event FROM
+ (SELECT *, CASE WHEN round(avg(CASE WHEN event = 1 THEN value END) OVER (PARTITION BY feature) - avg(CASE WHEN event = 0 THEN value END) OVER (PARTITION BY feature), 9) < 0 THEN -1 ELSE 1 END AS direction
+  FROM ({long}) WHERE value IS NOT NULL) b
  JOIN (VALUES ('all'), ('dry_now')) s(subset) ON s.subset = 'all' OR b.regime = 'dry_now')"""
+    return f"""SELECT feature, direction, round(max(CASE WHEN subset = 'all' THEN auc_pr END), 6) AS auc_pr_all, round(max(CASE WHEN subset = 'dry_now' THEN auc_pr END), 6) AS auc_pr_dry
+FROM {_auc_sql(rows, 'feature, direction, subset')} GROUP BY feature, direction"""
 
 
-@query("feature_signal", "A37", f"""
-SELECT feature, direction, round(max(CASE WHEN subset = 'all' THEN auc_pr END), 6) AS auc_pr_all, round(max(CASE WHEN subset = 'dry_now' THEN auc_pr END), 6) AS auc_pr_dry
-FROM {_auc_sql(_SIGNAL, 'feature, direction, subset')} GROUP BY feature, direction""")
+@query("feature_signal", "A37", signal_sql("(SELECT * EXCLUDE (year) FROM g_train JOIN (SELECT * EXCLUDE (year) FROM g_t1) USING (station_id, slot))", T1))
 def feature_signal(t: Tables):
     rows = t.train_labels().drop("year").join(t.trailing(), ["station_id", "slot"])
     return S.feature_signal(rows, T1).select("feature", "direction", *_r("auc_pr_all", "auc_pr_dry"))
