@@ -49,9 +49,14 @@ def full_calendar(monthly: DataFrame) -> DataFrame:
     return spine.select(F.year("start").alias("year"), F.month("start").alias("month")).join(monthly, ["year", "month"], "left")
 
 
-def month_table(monthly: DataFrame, value: str = "value") -> DataFrame:
-    """Years as rows, months as columns ``m1`` .. ``m12``."""
-    return monthly.groupBy("year").agg(*[F.max(F.when(F.col("month") == m, F.col(value))).alias(f"m{m}") for m in range(1, 13)])
+def month_table(monthly: DataFrame, value: str = "value", *keys: str) -> DataFrame:
+    """Years (or ``keys``) as rows, months as columns ``m1`` .. ``m12``."""
+    return monthly.groupBy(*(keys or ("year",))).agg(*[F.max(F.when(F.col("month") == m, F.col(value))).alias(f"m{m}") for m in range(1, 13)])
+
+
+def hour_table(by_year: DataFrame, value: str = "rate") -> DataFrame:
+    """Years as rows, hours of the day as columns ``h0`` .. ``h23``, from a table of (year, hour)."""
+    return by_year.groupBy("year").agg(*[F.max(F.when(F.col("hour") == h, F.col(value))).alias(f"h{h}") for h in range(24)])
 
 
 def cutoff_sensitivity(years: DataFrame, cutoffs=COVERAGE_CUTOFFS) -> DataFrame:
@@ -188,6 +193,21 @@ def wet_day_transition(pairs: DataFrame) -> DataFrame:
     return by_month.withColumn("month", F.coalesce("month", F.lit(0)))
 
 
+def persistence_gaps(transition: DataFrame) -> DataFrame:
+    """How much likelier a wet day is after a wet one than after a dry one: of all months, and of the months where that is most and least (ties: the
+    earlier month). Months without a day of either kind before them do not count."""
+    gap = F.col("p_wet_after_wet") - F.col("p_wet_after_dry")
+    rows = transition.withColumn("gap", F.round(gap, 9)).where(F.col("gap").isNotNull())
+    monthly = F.col("month") > 0
+    return rows.agg(
+        F.max(F.when(~monthly, F.col("gap"))).alias("gap"),
+        F.max_by("month", F.when(monthly, F.struct(F.col("gap"), -F.col("month")))).alias("widest_month"),
+        F.max(F.when(monthly, F.col("gap"))).alias("widest"),
+        F.min_by("month", F.when(monthly, F.struct(F.col("gap"), F.col("month")))).alias("narrowest_month"),
+        F.min(F.when(monthly, F.col("gap"))).alias("narrowest"),
+    )
+
+
 def extremes(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
     """The ``k`` largest values, ties in the given order."""
     return rows.orderBy(F.desc("value"), *order).limit(k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugegrid.operators import assembly as AS
@@ -20,8 +22,9 @@ from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import season_sql
 from gaugegrid.settings import BAND_CUTS, STATION_FEATURES, T2_COLUMNS
 from gaugegrid.sources.fixtures import GRID, TEST_FROM, VALIDATION_FROM, Tables
-from gaugegrid.sources.session import use_checkpoints
-from gaugegrid.sources.store import Store, content_key, digest
+from gaugegrid.sources.session import stored, use_checkpoints
+from gaugegrid.sources.sinks import write_bucketed
+from gaugegrid.sources.store import FIT_BYTES, Store, content_key, digest
 
 KEEP = 0.25
 #: Settings of the final fits, as chosen by the tuning and the screening on the full data; trees of every forest.
@@ -94,6 +97,31 @@ def assembled_table(t: Tables):
     return _rounded_statics(assembled(t))
 
 
+def _bucketed(t: Tables, name: str, rows, buckets: int):
+    """The rows as a bucketed table of the session, written once for the same events."""
+    table = f"gaugegrid_{name}_{_key(t)}_{buckets}"
+    if not t.spark.catalog.tableExists(table):
+        write_bucketed(rows, table, f"{use_checkpoints(t.spark)}/{table}-{uuid.uuid4().hex}", buckets)
+    return t.spark.table(table)
+
+
+def assembled_from_tables(t: Tables):
+    """The model table from a table of labels and trailing features and one of neighbourhood features, bucketed alike, ``FIT_BYTES`` a bucket."""
+    buckets = max(8, -(-t.readings().count() * len(_SIGNALS) * 8 // FIT_BYTES))
+    observed = observed_rows(t.readings(), GRID).withColumn("year", F.year("ts"))
+    stations = t.stations()
+    rows = _bucketed(t, "observed", observed, buckets)
+    tiers = _bucketed(t, "neighbours", N.neighbour_features(observed, stations, GRID), buckets)
+    labels = rows.where("label is not null")
+    statics = stored(N.station_statics(labels.where(F.col("slot") < VALIDATION_FROM), stations))  # of known size, so the optimizer sees that it is small
+    return AS.assemble(labels, statics, tiers)
+
+
+@query("assembled_bucketed", "J05 J06 S11", "SELECT * FROM g_assembled")
+def assembled_bucketed(t: Tables):
+    return _rounded_statics(assembled_from_tables(t))
+
+
 def _rounded_statics(rows):
     rounded = [c for c in rows.columns if c.startswith("t0_") and c != "t0_season"]
     return rows.select(*[(F.round(c, 6) + 0.0).alias(c) if c in rounded else c for c in rows.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gaugegrid.functions.clock import clock_text, time_of
 from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import patterns as P
+from gaugegrid.operators.grid import block_sum
 from gaugegrid.plans import sqltext
 from gaugegrid.plans.registry import query
 from gaugegrid.sources.fixtures import GRID, Tables
@@ -79,6 +80,13 @@ def climatology_table(t: Tables):
     return P.month_table(network(t)).select("year", *_r(*[f"m{m}" for m in range(1, 13)]))
 
 
+@query("station_month_table", "R06 A35", "SELECT station_id, year, " + ", ".join(
+    f"round(max(CASE WHEN month = {m} THEN coverage END), 6) AS m{m}" for m in range(1, 13)) + " FROM g_months GROUP BY station_id, year")
+def station_month_table(t: Tables):
+    """Coverage with a row per station and year, so that the columns do not grow with the record."""
+    return P.month_table(months(t), "coverage", "station_id", "year").select("station_id", "year", *_r(*[f"m{m}" for m in range(1, 13)]))
+
+
 @query("cutoff_sensitivity", "A31", """
 SELECT year, cutoff, round(rate, 6) AS rate, stations, round(CASE WHEN k = 3 THEN hi - lo END, 6) AS spread FROM
 (SELECT *, max(rate) OVER (PARTITION BY year) AS hi, min(rate) OVER (PARTITION BY year) AS lo, count(*) OVER (PARTITION BY year) AS k FROM
@@ -124,6 +132,13 @@ def peak_hour(t: Tables):
     return peaks.withColumn("clock", clock_text(F.col("peak_hour") + 0.5))
 
 
+@query("hour_year_table", "R06 A33", "SELECT CAST(yr AS INTEGER) AS year, " + ", ".join(
+    f"round(max(CASE WHEN hr = {h} THEN rate END), 6) AS h{h}" for h in range(24)) + """ FROM (
+  SELECT yr, hr, avg(rain / n) AS rate FROM (SELECT station_id, yr, hr, sum(value) AS rain, count(*) AS n FROM g_hours GROUP BY 1, 2, 3) WHERE n >= 5 GROUP BY 1, 2) GROUP BY yr""")
+def hour_year_table(t: Tables):
+    return P.hour_table(P.hourly_by_year(hourly(t), "ts", 5)).select("year", *_r(*[f"h{h}" for h in range(24)]))
+
+
 _MONTH_HOUR = """SELECT month, hour, rate, rate / sum(rate) OVER (PARTITION BY month) AS share FROM (SELECT CAST(mo AS INTEGER) AS month, CAST(hr AS INTEGER) AS hour, avg(rain / n) AS rate FROM
  (SELECT station_id, mo, hr, sum(value) AS rain, count(*) AS n FROM g_hours GROUP BY 1, 2, 3) WHERE n >= 5 GROUP BY 1, 2)"""
 
@@ -174,6 +189,21 @@ def wet_day_transition(t: Tables):
     return out.select("month", "n", *_r("p_wet", "p_wet_after_wet", "p_wet_after_dry"))
 
 
+@query("wet_day_persistence", "A36 R09 W09", f"""
+WITH c AS (SELECT station_id, slot // {GRID.per_day} AS d, CAST(round(sum(value), 1) >= 1 - 1e-9 AS INTEGER) AS wet FROM g_readings GROUP BY 1, 2 HAVING count(*) = {GRID.per_day}),
+p AS (SELECT month(TIMESTAMP '2024-01-01' + to_days(CAST(a.d AS INTEGER))) AS m, a.wet AS t, b.wet AS y FROM c a JOIN c b ON a.station_id = b.station_id AND b.d = a.d - 1),
+g AS (SELECT m, round(avg(CASE WHEN y = 1 THEN t END) - avg(CASE WHEN y = 0 THEN t END), 9) AS gap FROM (SELECT * FROM p UNION ALL SELECT 0, t, y FROM p) GROUP BY m)
+SELECT round(max(gap) FILTER (m = 0), 6) AS gap, CAST(arg_max(m, (gap, -m)) FILTER (m > 0 AND gap IS NOT NULL) AS INTEGER) AS widest_month, round(max(gap) FILTER (m > 0), 6) AS widest,
+  CAST(arg_min(m, (gap, m)) FILTER (m > 0 AND gap IS NOT NULL) AS INTEGER) AS narrowest_month, round(min(gap) FILTER (m > 0), 6) AS narrowest FROM g""")
+def wet_day_persistence(t: Tables):
+    """Days whose every slot is there, and whose day before is complete too."""
+    complete = block_sum(t.readings(), GRID.per_day).select(
+        "station_id", F.col("total").alias("value"), F.col("block").alias("day_no"), F.month(time_of(F.col("block") * GRID.per_day, GRID)).alias("month")
+    )
+    gaps = P.persistence_gaps(P.wet_day_transition(P.wet_day_pairs(complete)))
+    return gaps.select("widest_month", "narrowest_month", *_r("gap", "widest", "narrowest"))
+
+
 @query("extremes", "A45 O01", "SELECT station_id, slot, value FROM g_readings ORDER BY value DESC, station_id, slot LIMIT 10")
 def extremes(t: Tables):
     return P.extremes(t.readings(), 10, "station_id", "slot").select("station_id", "slot", "value")
@@ -182,8 +212,6 @@ def extremes(t: Tables):
 @query("extreme_days", "A45 R09", """
 SELECT station_id, CAST(slot // 8 AS INTEGER) AS block, round(sum(value), 1) AS value FROM g_readings GROUP BY 1, 2 HAVING count(*) = 8 ORDER BY value DESC, station_id, block LIMIT 10""")
 def extreme_days(t: Tables):
-    from gaugegrid.operators.grid import block_sum
-
     return P.extremes(block_sum(t.readings(), 8).withColumnRenamed("total", "value"), 10, "station_id", "block")
 
 

@@ -6,13 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugegrid.operators import baselines as B
+from gaugegrid.operators import inference as I
 from gaugegrid.operators import mapper as M
+from gaugegrid.operators import neighbours as N
 from gaugegrid.operators import scoring as S
 from gaugegrid.plans import sqltext
 from gaugegrid.plans.registry import query
 from gaugegrid.plans.sqltext import past_class_sql
 from gaugegrid.settings import BETWEEN_EDGES, CLIMATOLOGY_STRENGTHS, EDGES, SCORE_EDGES, SKILL_THETAS, TRAILING_SLOTS
 from gaugegrid.sources.fixtures import TEST_FROM, VALIDATION_FROM, Tables
+from gaugegrid.sources.session import stored
 
 K = range(9)
 NAMES = ["climatology", "constant", "persistence"]
@@ -293,6 +296,19 @@ def skill_scores(t: Tables):
     return t.stations().select("station_id", "station_name").join(rated, "station_id")
 
 
+@query("neighbours_and_skill", "A41 C19 P29", f"""
+WITH k AS (SELECT station_id, round(1 - p / c, 6) AS skill FROM (SELECT station_id, avg(persi_rps) AS p, avg(clima_rps) AS c FROM {_WIDE} GROUP BY 1 HAVING count(*) >= 5)),
+c AS (SELECT k.station_id, skill, count(p.j) AS neighbours FROM k LEFT JOIN g_pairs p ON p.s = k.station_id AND p.dist_km > 0 AND p.dist_km <= 10 GROUP BY 1, 2),
+r AS (SELECT *, rank() OVER (ORDER BY neighbours) + (count(*) OVER (PARTITION BY neighbours) - 1) / 2 AS ra, rank() OVER (ORDER BY skill) + (count(*) OVER (PARTITION BY skill) - 1) / 2 AS rb FROM c)
+SELECT count(*) AS n, round(corr(ra, rb), 6) AS rho, round(quantile_cont(skill, 0.25), 6) AS q25, round(quantile_cont(skill, 0.5), 6) AS median, round(quantile_cont(skill, 0.75), 6) AS q75 FROM r""")
+def neighbours_and_skill(t: Tables):
+    """Rank correlation of a station's number of neighbours with the skill there, and the quartiles of that skill; stations with at least 5 rows."""
+    slices = S.rps_by_slices(forecasts(t, exceed=True), NAMES, ["station_id"]).where("slice = 'station_id' AND n >= 5")
+    skills = slices.select(F.col("value").alias("station_id"), F.round(S.skill("persistence", "climatology"), 6).alias("skill"))
+    rows = stored(skills.join(N.neighbour_counts(t.stations()), "station_id"))  # a row per station, read by several small jobs
+    return I.rank_and_quartiles(rows, "neighbours", "skill").select("n", *_r("rho", "q25", "median", "q75"))
+
+
 @query("skill_by_threshold", "A28 P23", f"""
 SELECT theta, events, event_rate, round(1 - cons / nullif(clim, 0), 6) AS bss_constant, round(1 - pers / nullif(clim, 0), 6) AS bss_persistence FROM (
 SELECT theta, CAST(sum(CAST(y_mm > theta AS INTEGER)) FILTER (forecast = 'constant') AS BIGINT) AS events, round(avg(CAST(y_mm > theta AS INTEGER)), 6) AS event_rate,
