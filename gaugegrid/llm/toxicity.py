@@ -227,6 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     _fit_field(field, x, y, counts)
     p, _ = marginals(x @ field.weights, counts, field.moves)
     field.score = _fit_score(summary(p, counts), toxic)
+    del own
+    pa.default_memory_pool().release_unused()  # the driver runs on for other stages
     return field
 
 
