@@ -138,3 +138,26 @@ def test_rolled_up_sums_are_those_of_the_coarser_groups(spark, small):
 
     assert table(both.where("g not like '%|%'")) == table(P.lagged_sums(rows, 2, F.col("slot") % 2))
     assert table(both.where("g like '%|%'")) == table(fine)
+
+
+def test_fronts_that_others_overtake(spark, monkeypatch):
+    """Fronts of three stations, so that stations outside them come first in between."""
+    monkeypatch.setattr(R, "FRONT", 3)
+    rng, pairs, stations, want = random.Random(3), [], [], set()
+    for g in range(6):
+        names, dense = [f"S{k:02d}" for k in range(rng.randrange(6, 10))], rng.random()
+        n = {(a, b): 50 if rng.random() < dense else 5 for i, a in enumerate(names) for b in names[i + 1:]}
+        pairs += [(f"g{g}", a, b, v) for (a, b), v in n.items()]
+        stations += [(f"g{g}", s) for s in names]
+        want |= {(f"g{g}", s) for s in plain_core(names, n, 10)}
+    found = R.core_stations(spark.createDataFrame(pairs, "g string, i string, j string, n int"), spark.createDataFrame(stations, "g string, station_id string"), 10, by="g")
+    assert sorted((r.g, r.station_id) for r in found.collect()) == sorted(want)
+
+
+def test_stations_that_wait_for_each_other_take_no_round_each(spark, monkeypatch):
+    """Thirty stations that are all short with each other go one after the other, in one round."""
+    written, kept = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df: written.append(1) or kept(df))
+    none = spark.createDataFrame([("S00", "S01", 5)], "i string, j string, n int")
+    left, chain = R.core_rounds(none, spark.createDataFrame([(f"S{k:02d}",) for k in range(30)], "station_id string"), 10)
+    assert [r.station_id for r in left.collect()] == ["S29"] and chain == 29 and len(written) < 12
