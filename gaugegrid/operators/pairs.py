@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from gaugegrid.functions.geo import bearing, length, with_xy
 from gaugegrid.operators.tiles import BLOCK_SLOTS, placed
 from gaugegrid.operators.windows import CHUNK, add_chunks
 from gaugegrid.settings import DISTANCE_BANDS, MIN_PEAK_CORRELATION
+from gaugegrid.sources.session import stored
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 #: Stations in a group, on average, where pairs of any distance are wanted.
@@ -147,18 +151,32 @@ def distance_bands(pairs: DataFrame, bands=DISTANCE_BANDS) -> DataFrame:
     )
 
 
-def _decays(pairs: DataFrame, reaches: Column) -> DataFrame:
-    """Least-squares amplitude and residual sum of r = c0 * exp(-d / reach) per group and candidate reach.
+def _decays(pairs: DataFrame, coarse: int) -> DataFrame:
+    """Least-squares amplitude and residual sum of r = c0 * exp(-d / reach) per group and candidate reach, every ``coarse``-th from ``low`` to ``high``.
 
-    For a given reach the best c0 is a ratio of two sums, so all candidates are one aggregate.
+    For a given reach the best c0 is a ratio of two sums, so all candidates are one aggregate; a batch of pairs is added up for all of its
+    candidates where it stands, and no pair is copied per candidate.
     """
-    tried = pairs.select("*", F.explode(reaches).alias("step")).withColumn("reach_km", F.round(F.pow(F.lit(1.02), F.col("step")), 6))
-    e = F.exp(-F.col("d") / F.col("reach_km"))
-    fits = tried.groupBy("g", "step", "reach_km").agg(
-        F.count("*").alias("pairs"), F.sum(F.col("r") * e).alias("re"), F.sum(e * e).alias("ee"), F.sum(F.col("r") * F.col("r")).alias("rr")
-    )
-    c0 = F.col("re") / F.col("ee")
-    scored = fits.select("g", "step", "reach_km", "pairs", c0.alias("c0"), (F.col("rr") - c0 * F.col("re")).alias("sse"))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.column(0).dictionary_encode()
+            at = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            r, d, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(1, 5))
+            known = ~batch.column(2).is_null().to_numpy(zero_copy_only=False)  # a pair without a distance counts, but has no part in c0
+            for code in np.unique(at):
+                rows = np.flatnonzero(at == code)
+                steps = np.arange(low[rows[0]], high[rows[0]] + 1, coarse, dtype=np.int32)
+                r_here, n = r[rows], len(steps)
+                e = np.where(known[rows][:, None], np.exp(-d[rows][:, None] / np.round(1.02**steps, 6)[None, :]), 0.0)
+                sums_of_e = (r_here @ e, np.einsum("ij,ij->j", e, e)) if known[rows].any() else (pa.nulls(n, pa.float64()),) * 2
+                columns = [np.full(n, len(rows)), *sums_of_e, np.full(n, r_here @ r_here)]
+                name = pa.array([None if code < 0 else groups.dictionary[int(code)].as_py()] * n, pa.string())
+                yield pa.RecordBatch.from_arrays([name, pa.array(steps), *map(pa.array, columns)], names=["g", "step", "pairs", "re", "ee", "rr"])
+
+    parts = pairs.select(F.col("g").cast("string"), "r", "d", "low", "high").mapInArrow(sums, "g string, step int, pairs long, re double, ee double, rr double")
+    fits = parts.groupBy("g", "step").agg(*[F.sum(c).alias(c) for c in ("pairs", "re", "ee", "rr")])
+    c0, reach = F.col("re") / F.col("ee"), F.round(F.pow(F.lit(1.02), F.col("step")), 6).alias("reach_km")
+    scored = fits.select("g", "step", reach, "pairs", c0.alias("c0"), (F.col("rr") - c0 * F.col("re")).alias("sse"))
     best = F.min_by(F.struct("step", "reach_km", "c0", "pairs"), F.struct(F.round("sse", 12), "reach_km")).alias("b")
     return scored.groupBy("g").agg(best).select("g", "b.*")
 
@@ -169,10 +187,10 @@ def decay_fit(pairs: DataFrame, steps: int = 600, coarse: int = 20) -> DataFrame
     First every ``coarse``-th reach of the grid, then all between the neighbours of the best. A correlation that does not fall with
     distance has no such reach: ``reach_km`` and ``c0`` are null and ``bounded`` is false where the best lies at an end of the grid.
     """
-    known = pairs.where(F.col("r").isNotNull()).select("g", "r", "d")
-    rough = _decays(known, F.sequence(F.lit(0), F.lit(steps), F.lit(coarse))).select("g", F.col("step").alias("around"))
-    between = F.sequence(F.greatest(F.col("around") - coarse, F.lit(0)), F.least(F.col("around") + coarse, F.lit(steps)))
-    fine = _decays(known.join(rough, "g"), between)
+    known = pairs.where(F.col("r").isNotNull()).select("g", F.col("r").cast("double"), F.col("d").cast("double"))
+    rough = _decays(known.withColumns({"low": F.lit(0), "high": F.lit(steps)}), coarse)
+    around = rough.select("g", F.greatest(F.col("step") - coarse, F.lit(0)).alias("low"), F.least(F.col("step") + coarse, F.lit(steps)).alias("high"))
+    fine = _decays(known.join(stored(around), "g"), 1)
     inside = (F.col("step") > 0) & (F.col("step") < steps)
     return fine.select("g", F.when(inside, F.col("c0")).alias("c0"), F.when(inside, F.col("reach_km")).alias("reach_km"), "pairs", inside.alias("bounded"))
 

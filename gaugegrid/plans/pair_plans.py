@@ -84,7 +84,8 @@ def _resolutions(t: Tables, **reach):
         rows = t.readings() if k == 1 else block_sum(t.readings(), k).select("station_id", F.col("block").alias("slot"), F.col("total").alias("value"))
         corr = P.lagged_correlation(rows, **reach).where("n >= 20 and r is not null").withColumn("g", F.lit(str(k)))
         out = corr if out is None else out.unionByName(corr)
-    return P.with_distance(out, t.stations())
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # the pairs are few rows for Spark, but rows of stations may repeat and multiply them
+    return P.with_distance(stored(out.repartition(parts)), stored(t.stations()))
 
 
 @query("multi_resolution_corr", "C02 R09", "SELECT g, i, j, n, round(r, 6) AS r, round(d, 6) AS d FROM g_res_d")

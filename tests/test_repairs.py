@@ -1,6 +1,7 @@
 """Cases that the derived tables do not hold."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,15 @@ def test_the_grid_reaches_to_the_last_slot(spark):
     assert sorted(map(tuple, dense)) == [("a", 3, 247, 245), ("b", 3, 247, 245)]
 
 
+def test_a_decay_copies_no_pair_per_reach(spark):
+    """The plan of a fit makes no rows from pairs; pairs without a distance count without a part in the amplitude."""
+    rows = [("a", 0.9 * math.exp(-d / 7), float(d)) for d in range(1, 40)] + [("a", 0.5, None), (None, 0.1, 1.0), ("b", 0.2, None)]
+    fit = pairs.decay_fit(spark.createDataFrame(rows, "g string, r double, d double"))
+    assert "Generate" not in fit._jdf.queryExecution().executedPlan().toString()
+    found = {r.g: r for r in fit.collect()}
+    assert found["a"].pairs == 40 and found["a"].bounded and abs(found["a"].reach_km / 7 - 1) < 0.02 and abs(found["a"].c0 - 0.9) < 0.05
+
+
 def test_a_flat_decay_has_no_reach(spark):
     flat = [("flat", 0.5, float(d)) for d in range(1, 40)]
     steep = [("steep", 0.9 * 2.718281828459045 ** (-d / 300.0), float(d)) for d in range(1, 900, 7)]
