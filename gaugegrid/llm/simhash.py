@@ -19,7 +19,7 @@ With a ``similarity``, a node is a shingle set, its fingerprint counts every shi
 fingerprints, needs that Jaccard similarity s of both sets. Wide distances, which similar texts need, bring many pairs that are not similar; three conditions that
 every similar pair meets keep them out of the search and of the rows that its joins make:
 
-* shingles of no other node are counted (:func:`own_shingles`); a set with more than (1 - s) of them has no partner and is not searched;
+* shingles of no other node are counted (:func:`own_shingles`, among every ``OWN_ONE_OF``-th, so the count is a lower bound); a set with more than (1 - s) of them has no partner and is not searched;
 * two sets have at least s / (1 + s) of their sizes in common, so neither may lack more than that by its own shingles;
 * the sets differ in at most (1 - s) / (1 + s) of their sizes, and so do their parity maps (``MAP_BITS`` bits, each the parity of the shingles that hash to it).
 
@@ -57,6 +57,8 @@ STAR_ROUNDS = 3
 #: Bits of a parity map, and its columns.
 MAP_BITS = 1024
 MAP = [f"m{k}" for k in range(MAP_BITS // 64)]
+#: Own shingles are counted among every second one, which halves what that count shuffles: a lower bound, and a text of its own has 0.5 of its size.
+OWN_ONE_OF = 2
 #: Hashes turned into bits at once.
 _BLOCK = 1 << 14
 
@@ -113,26 +115,46 @@ def parity_map(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """(key, fp, node, parity map, shingles) of every row; the node is the digest of the shingle set."""
-    names = ["key", "fp", "node", *MAP, "shingles"]
+    """(key, fp, node, size, parity map) of every row; the node is the digest of the shingle set, which :func:`shingles_of` makes again."""
+    names = ["key", "fp", "node", "size", *MAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                found = [shingle_set(t.as_py(), shingle, seed) for t in part.column(1)]
-                maps = np.stack([parity_map(h) for _, _, h in found])
-                sets = pa.array([h.view(np.int64) for _, _, h in found], pa.list_(pa.int64()))
-                fps, nodes = _signed([f for f, _, _ in found]), _signed([d for _, d, _ in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), fps, nodes, *map(pa.array, maps.T), sets], names=names)
+                found = [_summary(t.as_py(), shingle, seed) for t in part.column(1)]
+                maps = np.stack([m for _, _, _, m in found])
+                fps, nodes = _signed([f for f, _, _, _ in found]), _signed([d for _, d, _, _ in found])
+                sizes = pa.array([n for _, _, n, _ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), fps, nodes, sizes, *map(pa.array, maps.T)], names=names)
 
-    kind = f"key long, fp long, node long, {', '.join(f'{m} long' for m in MAP)}, shingles array<long>"
+    kind = f"key long, fp long, node long, size long, {', '.join(f'{m} long' for m in MAP)}"
     return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, kind)
 
 
-def own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a node are in no other one; nodes without any are left out. ``sets``: (node, shingles), repeated rows allowed."""
-    spread = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+def _summary(text: str | None, shingle: int, seed: int) -> tuple[int, int, int, np.ndarray]:
+    fp, node, hashes = shingle_set(text, shingle, seed)
+    return fp, node, len(hashes), parity_map(hashes)
+
+
+def shingles_of(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(node, shingles) of every row. The sets are as large as the texts, so they are made again where they are needed and never written whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                found = [shingle_set(t.as_py(), shingle, seed) for t in batch.column(0).slice(start, 256)]
+                sets = pa.array([h.view(np.int64) for _, _, h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([_signed([d for _, d, _ in found]), sets], names=["node", "shingles"])
+
+    return docs.select(F.col(text)).mapInArrow(run, "node long, shingles array<long>")
+
+
+def own_shingles(sets: DataFrame, one_of: int = 1) -> DataFrame:
+    """(node, own): how many shingles of a node are in no other one; nodes without any are left out. ``sets``: (node, shingles), repeated rows allowed.
+
+    ``one_of`` counts only the shingles whose hash it divides: never more than all, so what needs few own shingles still has few."""
+    every = sets.select("node", F.explode("shingles").alias("shingle")).where(F.pmod("shingle", F.lit(one_of)) == 0)
+    spread = every.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     return spread.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
@@ -290,6 +312,8 @@ def may_be_similar(similarity: float) -> Fits:
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose whole shingle sets have a Jaccard similarity of at least ``similarity``; ``sets``: (node, shingles)."""
     pairs = saved(pairs)
+    if pairs.isEmpty():
+        return pairs
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     picked = saved(sets.select("node", "shingles").join(needed, "node", "left_semi").dropDuplicates(["node"]))
     a, b = (picked.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "uv")
@@ -358,14 +382,18 @@ def near_duplicates(
         found = links(distinct, distance)
     else:
         inside = [F.min(m).alias(m) for m in MAP]
-        sized = rows.withColumn("size", F.size("shingles").cast("long")).groupBy("node").agg(
+        sets = shingles_of(docs, text, shingle, seed)
+        sized = rows.groupBy("node").agg(
             F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.min("size").alias("size"), *inside
         )
-        owned = sized.join(own_shingles(rows), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        owned = sized.join(own_shingles(sets, OWN_ONE_OF), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         distinct = saved(owned)
         worth = distinct.where(F.col("size") - F.col("own") >= F.col("size") * similarity - 1e-6)
         extra = ("size", "own", *MAP)
-        found = links(saved(worth.select("node", "fp", "n", *extra)), distance, extra, may_be_similar(similarity), lambda pairs: alike(pairs, rows, similarity))
+        near = saved(worth.select("node", "fp", "n", *extra))
+        searched = near.select("node")
+        sets = saved(sets.join(searched, "node", "left_semi").dropDuplicates(["node"]))  # only sets that a pair can hold
+        found = links(near, distance, extra, may_be_similar(similarity), lambda pairs: alike(pairs, sets, similarity))
     roots = components(found).withColumnRenamed("u", "node")
     rooted = saved(distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -185,3 +185,15 @@ def test_recall_at_four_fifths(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:400] + [f"e{k}x{i}" for i in range(84)] + words[484:]))]
     found = {r.doc_id: r.component_id for r in S.near_duplicates(documents(spark, rows), distance=S.WIDE_DISTANCE, shingle=5, similarity=0.8).collect()}
     assert sum(found[2 * k + 1] == 2 * k for k in range(60)) >= 54
+
+
+def test_sets_are_not_kept_and_own_shingles_are_a_lower_bound(spark):
+    """What is written for all rows has no shingles; counting among every second one never gives more than all, and about half of them."""
+    rows = [(k, " ".join(f"z{k}x{i}" if i > 40 * (k % 2) else f"c{i}" for i in range(300))) for k in range(6)] + [(9, None)]
+    docs = documents(spark, rows)
+    assert "shingles" not in S.shingle_sets(docs).columns
+    sets = {r.key: (r.node, r.size) for r in S.shingle_sets(docs).collect()}
+    made = {r.node: r.shingles for r in S.shingles_of(docs).collect()}
+    assert all(len(made[node]) == size for node, size in sets.values())
+    every, some = ({r.node: r.own for r in S.own_shingles(S.shingles_of(docs), k).collect()} for k in (1, 2))
+    assert every and all(some.get(n, 0) <= own and abs(some.get(n, 0) - own / 2) < 60 for n, own in every.items())
