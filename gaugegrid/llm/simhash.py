@@ -13,7 +13,8 @@ value of each part, the other probes all values within t_p bits, and what meets
 
 Without a ``similarity``, rows with equal fingerprints are one node. Before the search every fingerprint is linked to the most frequent one of its bucket if they are
 close enough, and the search leaves out pairs that are connected already: a large group of near copies is mostly a star and not
-the square of its size. Components come from :mod:`components`.
+the square of its size. A pair that meets in several parts or by several flips of the same bits is kept once (:func:`meeting_part`,
+:func:`one_way`). Components come from :mod:`components`.
 
 With a ``similarity``, a node is a shingle set, its fingerprint counts every shingle once, and every link, also one between equal
 fingerprints, needs that Jaccard similarity s of both sets. Wide distances, which similar texts need, bring many pairs that are not similar; three conditions that
@@ -324,6 +325,19 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def meeting_part(a: Column, b: Column, parts: list[list[int]], limits: list[int]) -> Column:
+    """The first part in which two fingerprints differ in at most its limit of bits: the one of all their parts under which a pair is kept."""
+    masks = [int(np.array(sum(1 << (BITS - 1 - bit) for bit in part), np.uint64).view(np.int64)) for part in parts]
+    differing = (F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit(mask))) for mask in masks)
+    return F.coalesce(*(F.when(d <= t, F.lit(k)) for k, (d, t) in enumerate(zip(differing, limits))))
+
+
+def one_way(flip: Column, other: Column) -> Column:
+    """Of all pairs of flips that differ in the same bits, the one with the upper half of these bits on the first side and the lower half on the other."""
+    lowest = flip.bitwiseAND(F.negative(flip))
+    return ((other == 0) | (lowest > other)) & (F.bit_count(flip) - F.bit_count(other)).between(0, 1)
+
+
 def links(
     distinct: DataFrame, distance: int, extra: tuple[str, ...] = (), fits: Fits | None = None,
     verified: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
@@ -352,20 +366,21 @@ def links(
     rooted = rooted.drop("n")
     crowded = rooted.groupBy("part", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     names = [F.col(c).alias(f"other_{c}") for c in ("fp", "root", *extra)] + [F.col("node").alias("v")]
-    unlinked = (F.col("node") < F.col("v")) & close(F.col, lambda c: F.col(f"other_{c}"))
+    here = meeting_part(F.col("fp"), F.col("other_fp"), parts, limits) == F.col("part")
+    unlinked = (F.col("node") < F.col("v")) & here & close(F.col, lambda c: F.col(f"other_{c}"))
     exact = [k for k, t in enumerate(limits) if t == 0]
     same = (  # equal values: only buckets that hold more than one component so far
         rooted.where(F.col("part").isin(exact)).join(crowded.where("low < high").select("part", "value"), ["part", "value"], "left_semi")
         .join(rooted.select("part", "value", *names), ["part", "value"]).where(unlinked)
     )
-    # each side takes half of the bits: fewer rows than all of them on one; of the ways to meet, one with the highest bit on the first side
+    # each side takes half of the bits: fewer rows than all of them on one
     ways = rooted.where(~F.col("part").isin(exact))
     wide = (
         probes(ways, parts, [t - t // 2 for t in limits], extra)
         .join(probes(ways, parts, [t // 2 for t in limits], extra).select("part", "value", *names, F.col("flip").alias("other_flip")), ["part", "value"])
-        .where((F.col("flip") > F.col("other_flip")) | ((F.col("flip") == 0) & (F.col("other_flip") == 0))).where(unlinked)
+        .where(one_way(F.col("flip"), F.col("other_flip"))).where(unlinked)
     )
-    found = saved(same.select("node", "v").unionByName(wide.select("node", "v")).withColumnRenamed("node", "u").distinct())
+    found = saved(same.select("node", "v").unionByName(wide.select("node", "v")).withColumnRenamed("node", "u"))
     discard(index, rooted)
     return stars.unionByName(verified(found))
 

@@ -197,3 +197,37 @@ def test_sets_are_not_kept_and_own_shingles_are_a_lower_bound(spark):
     assert all(len(made[node]) == size for node, size in sets.values())
     every, some = ({r.node: r.own for r in S.own_shingles(S.shingles_of(docs), k).collect()} for k in (1, 2))
     assert every and all(some.get(n, 0) <= own and abs(some.get(n, 0) - own / 2) < 60 for n, own in every.items())
+
+
+def test_a_pair_is_met_once(spark):
+    """Of all parts and flips under which two fingerprints meet, one is kept, and no pair within the distance is without one."""
+    draw, parts, limits = random.Random(9), [list(range(k, 64, 4)) for k in range(4)], [1, 0, 4, 3]
+    flipped = [sum(1 << b for b in draw.sample(range(64), draw.randrange(16))) for _ in range(400)]
+    prints = [(a, a ^ x) for x, a in ((x, draw.getrandbits(64)) for x in flipped)]
+    signed = [tuple(p - (p >> 63 << 64) for p in pair) for pair in prints]
+    got = spark.createDataFrame(signed, "a long, b long").select(
+        "a", "b", S.meeting_part(F.col("a"), F.col("b"), parts, limits).alias("k")).collect()
+    differing = {tuple(s): [sum((x ^ y) >> 63 - b & 1 for b in part) for part in parts] for s, (x, y) in zip(signed, prints)}
+    want = {s: next((k for k, (n, t) in enumerate(zip(d, limits)) if n <= t), None) for s, d in differing.items()}
+    assert {(r.a, r.b): r.k for r in got} == want and len(set(want.values())) > 3
+    assert all(want[s] is not None for s, d in differing.items() if sum(d) <= 11)
+    for t in range(6):
+        sides = [[m for m in range(1 << 7) if m.bit_count() <= most] for most in (t - t // 2, t // 2)]
+        both = spark.createDataFrame([(a, b) for a in sides[0] for b in sides[1]], "a long, b long")
+        kept = [r.a ^ r.b for r in both.where(S.one_way(F.col("a"), F.col("b"))).collect()]
+        assert sorted(kept) == [m for m in range(1 << 7) if m.bit_count() <= t]
+
+
+def test_the_search_makes_a_pair_one_row(spark):
+    """Pairs that are within the distance but not similar reach the last check once each, however many parts and flips they meet in."""
+    draw, checked = random.Random(4), []
+    base = draw.getrandbits(64)
+    prints = sorted({base ^ sum(1 << b for b in draw.sample(range(64), 3)) for _ in range(60)})
+    nodes = spark.createDataFrame([(k, p - (p >> 63 << 64), 1) for k, p in enumerate(prints)], "node long, fp long, n long")
+
+    def none(pairs):
+        checked.append([(r.u, r.v) for r in pairs.collect()])
+        return pairs.where("false")
+
+    assert S.links(nodes, 14, (), None, none).count() == 0
+    assert sorted(checked[-1]) == [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints))]
