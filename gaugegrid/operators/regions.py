@@ -201,20 +201,45 @@ def core_rounds(pairs: DataFrame, stations: DataFrame, least_shared: int, by: st
             return left.select(*([F.col("_g").alias(by)] if by else []), F.col("i").alias("station_id")), rounds
 
 
+#: Links in a partition of the graph of :func:`station_clusters`, on average.
+LINKS = 1 << 19
+
+
+def node_links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (``src``, ``dst``, ``weight``) between the nodes of the stations of each pair (``i``, ``j``, ``r``).
+
+    ``nodes`` (``station_id``, ``id``) numbers the rows of a station one after the other. All m rows of a station and all n rows of another would
+    take m * n links of weight r. In a power iteration the rows of a station have one value, as they have the same correlations, so only the
+    weight between a row and all rows of another station counts: n * r. It is kept with m + n - 1 links at most: the rows of
+    either station are laid side by side on a line of length m * n, and rows that overlap are linked by r times the length they share.
+
+    The links lie in partitions of ``LINKS``; the number follows from the rows alone, as the draws of the first centres of clusters depend on it.
+    """
+    spans = nodes.groupBy("station_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    linked = stored(
+        pairs.select("i", "j", "r")
+        .join(spans.select(F.col("station_id").alias("i"), F.col("first").alias("a"), F.col("rows").alias("m")), "i")
+        .join(spans.select(F.col("station_id").alias("j"), F.col("first").alias("b"), F.col("rows").alias("n")), "j")
+        .select("a", "m", "b", "n", "r")
+    )
+    most = linked.agg(F.sum(F.col("m") + F.col("n") - 1)).first()[0] or 0
+    own = linked.repartition(1 + most // LINKS).withColumn("p", F.explode(F.expr("sequence(0L, m - 1)")))
+    met = own.withColumn("q", F.explode(F.expr("sequence(p * n div m, ((p + 1) * n - 1) div m)")))
+    p, q, m, n = (F.col(c) for c in "pqmn")
+    share = F.least((p + 1) * n, (q + 1) * m) - F.greatest(p * n, q * m)
+    return met.select((F.col("a") + p).alias("src"), (F.col("b") + q).alias("dst"), (F.col("r") * share).alias("weight"))
+
+
 def station_clusters(pairs: DataFrame, stations: DataFrame, k: int = 3) -> DataFrame:
     """Clusters of stations that vary together: power iteration on the positive correlations, named west to east.
 
-    A different method from hierarchical linkage, so the labels are comparable in kind only.
+    A different method from hierarchical linkage, so the labels are comparable in kind only. Every row of ``stations`` is a node, a repeated
+    station too; links grow with the rows, not with their square (:func:`node_links`).
     """
-    ids = with_xy(stations).select("station_id", "x_km", F.row_number().over(Window.orderBy("station_id")).cast("long").alias("id"))
-    edges = (
-        pairs.where(F.col("r") > 0)
-        .join(ids.select(F.col("station_id").alias("i"), F.col("id").alias("src")), "i")
-        .join(ids.select(F.col("station_id").alias("j"), F.col("id").alias("dst")), "j")
-        .select("src", "dst", F.col("r").alias("weight"))
-    )
+    ids = stored(with_xy(stations).select("station_id", "x_km", F.row_number().over(Window.orderBy("station_id")).cast("long").alias("id")))
     pic = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight")
-    return name_by_position(pic.assignClusters(edges).join(ids, "id").select("station_id", "cluster", "x_km"))
+    clusters = pic.assignClusters(node_links(pairs.where(F.col("r") > 0), ids))
+    return name_by_position(clusters.join(ids, "id").select("station_id", "cluster", "x_km"))
 
 
 def name_by_position(clusters: DataFrame) -> DataFrame:

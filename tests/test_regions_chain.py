@@ -161,3 +161,31 @@ def test_stations_that_wait_for_each_other_take_no_round_each(spark, monkeypatch
     none = spark.createDataFrame([("S00", "S01", 5)], "i string, j string, n int")
     left, chain = R.core_rounds(none, spark.createDataFrame([(f"S{k:02d}",) for k in range(30)], "station_id string"), 10)
     assert [r.station_id for r in left.collect()] == ["S29"] and chain == 29 and len(written) < 12
+
+
+def test_rows_of_a_station_share_its_links(spark, monkeypatch):
+    """Repeated stations: m + n - 1 links a pair instead of m * n, the same weight from a row to all rows of another station, the clusters of all links."""
+    given, rng, assign = [], random.Random(4), R.PowerIterationClustering.assignClusters
+    monkeypatch.setattr(R.PowerIterationClustering, "assignClusters", lambda self, links: given.append(links) or assign(self, links))
+    names = [f"{side}{k}" for side in "EW" for k in range(5)]
+    rows = {s: 1 + (3 * at) % 5 + 6 * (at == 7) for at, s in enumerate(names)}
+    r = {(a, b): (0.9 if a[0] == b[0] else 0.05) * rng.uniform(0.8, 1) for at, a in enumerate(names) for b in names[at + 1:]}
+    r["E0", "W4"] = -0.2
+    places = [(s, (103.6 if s[0] == "W" else 103.9) + 0.001 * c, 1.3) for s in names for c in range(rows[s])] + [(None, 103.0, 1.3)]
+    pairs = spark.createDataFrame([(a, b, 50, v) for (a, b), v in r.items()], "i string, j string, n int, r double")
+    stations = spark.createDataFrame(places, "station_id string, location_longitude double, location_latitude double")
+    found = sorted((x.station_id, x.position) for x in R.station_clusters(pairs, stations, 2).collect())
+
+    of = dict(enumerate((s for s in names for _ in range(rows[s])), 2))  # the row without a station comes first
+    links = [(x.src, x.dst, x.weight) for x in given[0].collect()]
+    assert len(links) <= sum(rows[a] + rows[b] - 1 for (a, b), v in r.items() if v > 0) < sum(rows[a] * rows[b] for a, b in r) / 1.5
+    sums = {}
+    for src, dst, weight in links:
+        for own, other in ((src, dst), (dst, src)):
+            sums[own, of[other]] = sums.get((own, of[other]), 0) + weight
+    want = {(own, b): r[min(of[own], b), max(of[own], b)] * rows[b] for own in of for b in names if of[own] != b and r[min(of[own], b), max(of[own], b)] > 0}
+    assert sums == pytest.approx(want)
+    every = [(x, y, r[of[x], of[y]]) for x in of for y in of if of[x] < of[y] and r[of[x], of[y]] > 0]
+    pic = R.PowerIterationClustering(k=2, maxIter=20, initMode="degree", weightCol="weight")
+    plain = {x.id: x.cluster for x in assign(pic, spark.createDataFrame(every, "src long, dst long, weight double").repartition(1)).collect()}
+    assert found == sorted((of[x], 1 + (c != plain[max(of)])) for x, c in plain.items()) and {p for _, p in found} == {1, 2}
