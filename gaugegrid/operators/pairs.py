@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gaugegrid.functions.amounts import tenths
 from gaugegrid.functions.geo import bearing, length, with_xy
-from gaugegrid.operators.tiles import BLOCK_SLOTS, placed
+from gaugegrid.operators.neighbours import station_pairs
+from gaugegrid.operators.tiles import BLOCK_SLOTS, tile_of
 from gaugegrid.operators.windows import CHUNK, add_chunks
 from gaugegrid.settings import DISTANCE_BANDS, MIN_PEAK_CORRELATION
 from gaugegrid.sources.session import stored
@@ -30,44 +31,64 @@ def _grouped(readings: DataFrame) -> DataFrame:
     here = F.struct(F.col("own").alias("ga"), F.col("other").alias("gb"), F.lit(True).alias("left"), (F.col("own") == F.col("other")).alias("right"))
     there = F.struct(F.col("other").alias("ga"), F.col("own").alias("gb"), F.lit(False).alias("left"), F.lit(True).alias("right"))
     roles = F.when(F.col("own") == F.col("other"), F.array(here)).otherwise(F.array(here, there))
-    return rows.select(*readings.columns, F.explode(roles).alias("role")).select(
-        *readings.columns, "role.*", F.lit(0.0).alias("x_km"), F.lit(0.0).alias("y_km")
+    return rows.select(*readings.columns, F.explode(roles).alias("role")).select(*readings.columns, "role.*")
+
+
+def near_rows(stations: DataFrame, within_km: float) -> DataFrame:
+    """(``i``, ``j``, ``d``, ``ga``, ``gb``): rows of two stations at most ``within_km`` apart, in both orders, and the tile that the row of ``i`` lies in."""
+    side = tile_of(within_km)
+    return station_pairs(stations, within_km).select(
+        F.col("s").alias("i"), "j", F.col("dist_km").alias("d"), F.floor(F.col("sx") / side).alias("ga"), F.floor(F.col("sy") / side).alias("gb")
     )
 
 
-def _near(readings: DataFrame, stations: DataFrame, within_km: float) -> DataFrame:
-    """Readings in the tile of their station (``left``) and in the tiles within reach of it."""
-    tiles = placed(stations, within_km).select("station_id", "x_km", "y_km", F.col("tx").alias("ga"), F.col("ty").alias("gb"), F.col("own").alias("left"))
-    return readings.join(tiles, "station_id").withColumn("right", F.lit(True))
+def near_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of stations (``i``, ``j``) of ``near_rows`` and the tile (``ga``, ``gb``) they are worked on in.
+
+    A station may have several rows; two stations are a pair once, in the first tile that has a row of ``i`` within reach of one of ``j``.
+    """
+    return rows.groupBy("i", "j").agg(F.min(F.struct("ga", "gb")).alias("tile")).select("i", "j", "tile.*")
+
+
+def _in_tiles(readings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Readings in the tiles that need their station."""
+    return readings.join(pairs.select(F.explode(F.array("i", "j")).alias("station_id"), "ga", "gb").distinct(), "station_id")
 
 
 def lagged_sums(
     readings: DataFrame, max_lag: int, by: Column | None = None, stations: DataFrame | None = None, within_km: float | None = None,
-    block: int = BLOCK_SLOTS,
+    block: int = BLOCK_SLOTS, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Joint counts and sums of every ordered station pair (``i`` at t, ``j`` at t + lag) for lags 0..``max_lag``.
 
-    Stations are dealt to tiles (``within_km``: only pairs that close, no others are computed) or to pairs of groups of bounded size, the
+    Stations are dealt to tiles (``within_km``: only pairs that close, no others are computed; ``pairs``: those of ``near_pairs``) or to pairs of groups of bounded size, the
     series to blocks of slots with a halo of ``max_lag``; each is one task with dense matrices, and its sums are matrix products, so pairs
     are never joined slot by slot. Blocks add up by a grouped sum that Spark combines before its shuffle. Sums are in whole tenths and
     therefore exact. ``by`` (a function of the slot) splits the reference time t, e.g. by season or year.
     """
     size = max(8 * max_lag, block)
-    reach = float("inf") if within_km is None else within_km
 
-    def products(key, pdf):
+    def products(key, pdf, near):
         first, lag_range = int(key[2]) * size, range(max_lag + 1)
+        parts = {"g": [np.array([], object)], "i": [np.array([], object)], "j": [np.array([], object)], "lag": [np.array([], np.int32)]}
+        parts |= {c: [np.array([])] for c in SUMS}
         ids, at = np.unique(pdf["station_id"].to_numpy(dtype=object), return_inverse=True)
+        if near is None:
+            left, right = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+            left[at], right[at] = pdf["left"], pdf["right"]
+            a, b = np.flatnonzero(left), np.flatnonzero(right)
+            wanted = a[:, None] != b[None, :]
+        else:
+            i, j = (pd.Index(ids).get_indexer(near[c]) for c in ("i", "j"))
+            here = (i >= 0) & (j >= 0)  # both report in this block
+            (a, row_of), (b, column_of) = (np.unique(x[here], return_inverse=True) for x in (i, j))
+            wanted = np.zeros((len(a), len(b)), bool)
+            wanted[row_of, column_of] = True
         row = pdf["slot"].to_numpy() - first
-        used = int(row.max()) + 1
+        used = int(row.max()) + 1 if wanted.any() else 0
         value, there, group = np.zeros((used, len(ids))), np.zeros((used, len(ids))), np.full(used, "", dtype=object)
-        value[row, at], there[row, at], group[row] = pdf["t"], 1.0, pdf["g"]
-        x, y, left, right = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-        x[at], y[at], left[at], right[at] = pdf["x_km"], pdf["y_km"], pdf["left"], pdf["right"]
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        wanted = (a[:, None] != b[None, :]) & (np.hypot(x[a][:, None] - x[b][None, :], y[a][:, None] - y[b][None, :]) <= reach)
-        parts = {"g": [np.array([], object)], "i": [np.array([], object)], "j": [np.array([], object)], "lag": [np.array([], np.int32)]}
-        parts |= {c: [np.array([])] for c in SUMS}
+        if used:
+            value[row, at], there[row, at], group[row] = pdf["t"], 1.0, pdf["g"]
         for g in set(group[:size]) - {""}:
             for lag in lag_range:
                 own = np.flatnonzero(group[:min(size, used - lag)] == g)
@@ -83,10 +104,17 @@ def lagged_sums(
     rows = readings.where(F.col("value").isNotNull()).select(
         "station_id", "slot", tenths("value").cast("double").alias("t"), (F.lit("all") if by is None else by.cast("string")).alias("g")
     )
-    dealt = _grouped(rows) if within_km is None else _near(rows, stations, within_km)
     schema = "g string, i string, j string, lag int, " + ", ".join(f"{c} double" for c in SUMS)
-    blocks = dealt.transform(add_chunks, 0, max_lag, size)  # a block looks ahead by the largest lag
-    return blocks.groupBy("ga", "gb", CHUNK).applyInPandas(products, schema).groupBy("g", "i", "j", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
+    keys = ("ga", "gb", CHUNK)
+    if within_km is None and pairs is None:
+        found = _grouped(rows).transform(add_chunks, 0, max_lag, size).groupBy(*keys).applyInPandas(lambda key, pdf: products(key, pdf, None), schema)  # a block looks ahead by the largest lag
+    else:
+        pairs = stored(near_pairs(near_rows(stations, within_km))) if pairs is None else pairs
+        dealt = _in_tiles(stored(rows).transform(add_chunks, 0, max_lag, size), pairs)
+        block_of = F.broadcast(dealt.select(F.col(CHUNK).alias("block")).distinct())  # a row per block of slots
+        near = pairs.join(block_of).select("i", "j", F.col("ga").alias("a"), F.col("gb").alias("b"), F.col("block").alias("c"))
+        found = dealt.groupBy(*keys).cogroup(near.groupBy("a", "b", "c")).applyInPandas(products, schema)
+    return found.groupBy("g", "i", "j", "lag").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def correlation() -> Column:
@@ -100,7 +128,7 @@ def correlation() -> Column:
 def lagged_correlation(readings: DataFrame, max_lag: int = 0, by: Column | None = None, **reach) -> DataFrame:
     """corr(x_i(t), x_j(t + lag)) and shared slots for i < j and lags -``max_lag``..``max_lag``.
 
-    A negative lag is the positive lag of the swapped pair. ``reach`` (``stations``, ``within_km``) limits the pairs.
+    A negative lag is the positive lag of the swapped pair. ``reach`` (``stations``, ``within_km``, or ``pairs``) limits the pairs.
     """
     return correlated(lagged_sums(readings, max_lag, by, **reach))
 

@@ -78,14 +78,20 @@ def lagged_corr_halves(t: Tables):
     return _halves(t).select("g", "i", "j", "lag", "n", *_r("r"))
 
 
-def _resolutions(t: Tables, **reach):
-    out = None
+def _resolutions(t: Tables, within_km: float | None = None):
+    out, reach, stations = None, {}, stored(t.stations())
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # stations and pairs are few rows for Spark, but rows of stations may repeat and multiply them
+    if within_km is not None:
+        near = stored(P.near_rows(stations.repartition(parts), within_km))
+        reach["pairs"] = stored(P.near_pairs(near))
     for k in (1, 2, 4):
         rows = t.readings() if k == 1 else block_sum(t.readings(), k).select("station_id", F.col("block").alias("slot"), F.col("total").alias("value"))
         corr = P.lagged_correlation(rows, **reach).where("n >= 20 and r is not null").withColumn("g", F.lit(str(k)))
         out = corr if out is None else out.unionByName(corr)
-    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))  # the pairs are few rows for Spark, but rows of stations may repeat and multiply them
-    return P.with_distance(stored(out.repartition(parts)), stored(t.stations()))
+    rows = stored(out.repartition(parts))
+    if within_km is None:
+        return P.with_distance(rows, stations)
+    return rows.join(near.where("i < j").select("i", "j", "d"), ["i", "j"])  # a row per two rows of the stations; far ones never meet
 
 
 @query("multi_resolution_corr", "C02 R09", "SELECT g, i, j, n, round(r, 6) AS r, round(d, 6) AS d FROM g_res_d")
@@ -97,7 +103,7 @@ def multi_resolution_corr(t: Tables):
 SELECT g, CAST(band AS INTEGER) AS band, round(quantile_cont(d, 0.5), 6) AS distance, round(quantile_cont(r, 0.5), 6) AS median_r, count(*) AS pairs
 FROM (SELECT *, {_BAND} AS band FROM g_res_d) WHERE band IS NOT NULL GROUP BY g, band""")
 def distance_bands(t: Tables):
-    rows = _resolutions(t, stations=t.stations(), within_km=float(P.DISTANCE_BANDS[-1]))
+    rows = _resolutions(t, float(P.DISTANCE_BANDS[-1]))
     return P.distance_bands(rows).select("g", "band", *_r("distance", "median_r"), "pairs")
 
 
